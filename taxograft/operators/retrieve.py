@@ -20,7 +20,11 @@ from taxograft.plans.skew import balanced_join
 #: Scores are rounded so that ties do not depend on the order of summation.
 DIGITS = 9
 EPSILON = 1e-8
-BEST_FIRST = [F.desc("score"), F.asc("id")]
+
+
+def best_first() -> list:
+    """Order of candidates: by score, then by id."""
+    return [F.desc("score"), F.asc("id")]
 
 
 # ---------------------------------------------------------------- sparse search
@@ -105,7 +109,7 @@ def sparse_top_k(
                 "q", "id", (F.col("score") + F.coalesce("static", F.lit(0.0))).alias("score")
             )
         scores = scores.select("q", "id", F.round("score", DIGITS).alias("score"))
-        return top_k(scores, "q", BEST_FIRST, k)
+        return top_k(scores, "q", best_first(), k)
 
     stats = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("pw").alias("mw"))
     hot = cut_lineage(stats.where(F.col("df") > hot_df).select("token", "mw"))
@@ -255,6 +259,13 @@ def _scores(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
     raise ValueError(metric)
 
 
+def _final(metric: str, q: np.ndarray, v: np.ndarray, s: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Scores of the chosen vectors; distances are taken again without cancellation."""
+    if metric != "l2":
+        return np.take_along_axis(s, best, 1)
+    return np.round(-np.sqrt(((q[:, None, :] - v[best]) ** 2).sum(-1)), DIGITS)
+
+
 def _block_top_k(metric: str, k: int, rows: int = 256):
     """Kernel over one block of queries and one block of vectors: best ``k`` per query."""
 
@@ -266,13 +277,14 @@ def _block_top_k(metric: str, k: int, rows: int = 256):
             ids, v = ids[order], _matrix(right["vector"])[order]
             qs = left["q"].to_numpy()
             for at in range(0, len(left), rows):
-                s = np.round(_scores(metric, _matrix(left["vector"].iloc[at : at + rows]), v), DIGITS)
+                q = _matrix(left["vector"].iloc[at : at + rows])
+                s = np.round(_scores(metric, q, v), DIGITS)
                 # stable sort on ids in order: score descending, then id ascending
                 best = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 n = best.shape[1]
                 out_q.append(np.repeat(qs[at : at + rows], n))
                 out_i.append(ids[best].ravel())
-                out_s.append(np.take_along_axis(s, best, 1).ravel())
+                out_s.append(_final(metric, q, v, s, best).ravel())
         if not out_q:
             return pd.DataFrame({"q": [], "id": [], "score": []})
         return pd.DataFrame(
@@ -329,7 +341,7 @@ def block_search(
         left.groupBy(*key).cogroup(right.groupBy(*key))
         .applyInPandas(_block_top_k(metric, k), schema)
     )
-    return top_k(found, "q", BEST_FIRST, k).select("q", "rank", "id", "score")
+    return top_k(found, "q", best_first(), k).select("q", "rank", "id", "score")
 
 
 def nearest_exact(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "ip", block_rows: int = 8_192) -> DataFrame:
@@ -391,7 +403,7 @@ def nearest_approx(
     # a vector is met in several tables: keep enough rows to have k different ones
     met = block_search(hq, hv, k * tables, "ip", ("table", "bucket"), block_rows)
     once = met.groupBy("q", "id").agg(F.max("score").alias("score"))
-    return top_k(once, "q", BEST_FIRST, k).select("q", "rank", "id", "score")
+    return top_k(once, "q", best_first(), k).select("q", "rank", "id", "score")
 
 
 def recall_of(approx: DataFrame, exact: DataFrame) -> DataFrame:
