@@ -16,7 +16,7 @@ TABLES = [
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {}  # without the derived inputs, see oracle()
 INPUTS: dict[str, str] = {}
 STORED: set[str] = set()
 _written: dict[tuple[str, str, str], DataFrame] = {}
@@ -98,7 +98,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = lambda spark, folder: fn(Inputs(spark, folder))
         if sql is not None:
-            ORACLES[name] = oracle(sql)
+            ORACLES[name] = sql
         return fn
 
     return wrap
