@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxograft.functions.ids import is_complex, usable
 from taxograft.model import Sentinels
 from taxograft.plans.lineage import cut_lineage
-from taxograft.plans.order import first_rows, number_rows
+from taxograft.plans.order import first_rows, number_rows, running_sum
 from taxograft.plans.skew import balanced_join
 
 NAMES = Sentinels()
@@ -21,53 +20,74 @@ PROFILES = {
 }
 
 
-def concept_info(annotations: DataFrame, profile: str = "skos") -> DataFrame:
-    """Title, definition and synonyms of each concept from ``(id, prop, value)`` rows.
+def concept_heads(annotations: DataFrame) -> DataFrame:
+    """Title and definition of each concept: the first label and the first definition."""
+    first = lambda prop: F.coalesce(F.min(F.when(F.col("prop") == prop, F.col("value"))), F.lit(""))
+    return annotations.groupBy("id").agg(first("label").alias("title"), first("definition").alias("definition"))
 
-    Values are sorted: the first label is the title, the first definition is kept, and
-    the other labels are synonyms, property by property in the profile's order.
+
+def concept_synonyms(annotations: DataFrame, profile: str = "skos") -> DataFrame:
+    """Synonyms of each concept, one per row: ``(id, prop_rank, synonym)``.
+
+    All labels but the title, property by property in the profile's order, sorted by value.
     """
     props = PROFILES[profile]
+    rank = F.coalesce(*[F.when(F.col("prop") == p, F.lit(i)) for i, p in enumerate(props)])
+    labels = annotations.select("id", rank.alias("prop_rank"), F.col("value").alias("synonym")).where(
+        F.col("prop_rank").isNotNull()
+    ).distinct()
+    title = annotations.where(F.col("prop") == props[0]).groupBy("id").agg(F.min("value").alias("synonym"))
+    return labels.join(title.withColumn("prop_rank", F.lit(0)), ["id", "prop_rank", "synonym"], "left_anti")
+
 
-    def values(prop: str) -> Column:
-        return F.array_sort(F.collect_set(F.when(F.col("prop") == prop, F.col("value"))))
+def concept_info(annotations: DataFrame, profile: str = "skos", chunk: int = 10_000) -> DataFrame:
+    """Title, definition and synonym list of each concept from ``(id, prop, value)`` rows.
 
-    grouped = annotations.groupBy("id").agg(
-        *[values(p).alias(f"_{p}") for p in props],
-        F.min(F.when(F.col("prop") == "definition", F.col("value"))).alias("definition"),
+    A concept with more than ``chunk`` synonyms has several rows, told apart by ``part``,
+    so that no list grows with the data.
+    """
+    synonyms = cut_lineage(concept_synonyms(annotations, profile))
+    sizes = synonyms.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_parts"))
+    lists = (
+        synonyms.join(sizes, "id")
+        .withColumn("part", F.pmod(F.xxhash64("synonym"), F.col("_parts")).cast("int"))
+        .groupBy("id", "part").agg(F.array_sort(F.collect_list(F.struct("prop_rank", "synonym"))).alias("_s"))
     )
-    rest = F.slice(F.col(f"_{props[0]}"), 2, 1_000_000)
-    return grouped.select(
-        "id",
-        F.coalesce(F.get(f"_{props[0]}", F.lit(0)), F.lit("")).alias("title"),
-        F.coalesce("definition", F.lit("")).alias("definition"),
-        F.concat(rest, *[F.col(f"_{p}") for p in props[1:]]).alias("synonyms"),
+    return concept_heads(annotations).join(lists, "id", "left").select(
+        "id", F.coalesce("part", F.lit(0)).alias("part"), "title", "definition",
+        F.coalesce(F.col("_s.synonym"), F.array().cast("array<string>")).alias("synonyms"),
     )
 
 
-def entity_rows(concepts: DataFrame, synonyms: str = "attr") -> DataFrame:
-    """Catalogue rows from ``(id, title, definition, synonyms)`` in one of three layouts.
+def entity_rows(annotations: DataFrame, synonyms: str = "attr", profile: str = "skos") -> DataFrame:
+    """Catalogue rows of annotated concepts in one of three layouts.
 
     ``attr`` keeps one row with the synonyms as a ``|`` list, ``rows`` gives the title and
     every synonym a row of its own under the same id, ``concat`` appends the synonyms to
     the title.  ``pos`` is the row's place within its concept.
     """
-    base = concepts.select("id", "title", "definition", "synonyms")
-    joined = F.array_join("synonyms", "|")
-    if synonyms == "attr":
-        return base.select(
-            F.col("id").alias("idx"), F.lit(0).alias("pos"), "title",
-            F.col("title").alias("entity"), F.col("definition").alias("text"), joined.alias("synonyms"),
-        )
     if synonyms == "rows":
+        heads = cut_lineage(concept_heads(annotations))
+        titles = heads.select("id", F.lit(-1).alias("prop_rank"), F.col("title").alias("synonym"))
+        ordered = number_rows(
+            titles.unionByName(concept_synonyms(annotations, profile)), ["id", "prop_rank", "synonym"], "_n"
+        )
+        first = ordered.where("prop_rank = -1").select("id", F.col("_n").alias("_first"))
+        return ordered.join(first, "id").join(heads, "id").select(
+            F.col("id").alias("idx"), (F.col("_n") - F.col("_first")).cast("int").alias("pos"),
+            F.col("synonym").alias("title"), F.col("title").alias("entity"), F.col("definition").alias("text"),
+            F.lit("").alias("synonyms"),
+        )
+    base = concept_info(annotations, profile)
+    if synonyms == "attr":
         return base.select(
-            F.col("id").alias("idx"),
-            F.posexplode(F.concat(F.array("title"), "synonyms")).alias("pos", "title"),
+            F.col("id").alias("idx"), F.col("part").alias("pos"), "title",
             F.col("title").alias("entity"), F.col("definition").alias("text"),
-        ).select("idx", "pos", "title", "entity", "text", F.lit("").alias("synonyms"))
+            F.array_join("synonyms", "|").alias("synonyms"),
+        )
     if synonyms == "concat":
         return base.select(
-            F.col("id").alias("idx"), F.lit(0).alias("pos"),
+            F.col("id").alias("idx"), F.col("part").alias("pos"),
             F.trim(F.concat_ws(" ", F.array("title"), "synonyms")).alias("title"),
             F.col("title").alias("entity"), F.col("definition").alias("text"), F.lit("").alias("synonyms"),
         )
@@ -77,7 +97,7 @@ def entity_rows(concepts: DataFrame, synonyms: str = "attr") -> DataFrame:
 def property_catalogue(properties: DataFrame, annotations: DataFrame, profile: str = "skos") -> DataFrame:
     """Catalogue rows of the ontology's properties ``(id)``."""
     own = annotations.join(properties.select("id").distinct(), "id", "left_semi")
-    return entity_rows(concept_info(own, profile), "attr")
+    return entity_rows(own, "attr", profile)
 
 
 def fill_neighbours(
@@ -194,10 +214,8 @@ def local_ids(catalogue: DataFrame, order: list[str], concept: str = "idx") -> D
 
 def rows_by_concept(numbered: DataFrame, concept: str = "idx") -> DataFrame:
     """All catalogue rows of each concept in row order, numbered from 0 (long form)."""
-    window = W.partitionBy(concept).orderBy("local_id")
-    return numbered.select(
-        concept, (F.row_number().over(window) - 1).alias("pos"), "local_id", "title"
-    )
+    counted = running_sum(numbered, [concept], "local_id", F.lit(1), "_n")
+    return counted.select(concept, (F.col("_n") - 1).alias("pos"), "local_id", "title")
 
 
 def merge_neighbours(atomic: DataFrame, complex_: DataFrame) -> DataFrame:

@@ -99,20 +99,20 @@ def _(t):
 @query("concept_info_skos", """
 SELECT id, coalesce(title, '') AS title, definition, concat_ws('|', pref, alt) AS synonyms FROM part_info""")
 def _(t):
-    return C.concept_info(t.annotation).withColumn("synonyms", F.array_join("synonyms", "|"))
+    return C.concept_info(t.annotation).drop("part").withColumn("synonyms", F.array_join("synonyms", "|"))
 
 
 @query("concept_info_exact", """
 SELECT id, coalesce(title, '') AS title, definition, coalesce(exact_syn, '') AS synonyms FROM part_info""")
 def _(t):
-    return C.concept_info(t.annotation, "exact").withColumn("synonyms", F.array_join("synonyms", "|"))
+    return C.concept_info(t.annotation, "exact").drop("part").withColumn("synonyms", F.array_join("synonyms", "|"))
 
 
 @query("entity_rows_attr", """
 SELECT id AS idx, 0 AS pos, coalesce(title, '') AS title, coalesce(title, '') AS entity, definition AS text,
        concat_ws('|', pref, alt) AS synonyms FROM part_info""")
 def _(t):
-    return C.entity_rows(C.concept_info(t.annotation), "attr")
+    return C.entity_rows(t.annotation, "attr")
 
 
 @query("entity_rows_synonym_rows", """
@@ -121,14 +121,14 @@ SELECT id AS idx, row_number() OVER (PARTITION BY id ORDER BY ord) - 1 AS pos, t
   UNION ALL SELECT id, 1, pref, title, definition FROM part_info WHERE pref IS NOT NULL
   UNION ALL SELECT id, 2, alt, title, definition FROM part_info WHERE alt IS NOT NULL)""")
 def _(t):
-    return C.entity_rows(C.concept_info(t.annotation), "rows")
+    return C.entity_rows(t.annotation, "rows")
 
 
 @query("entity_rows_concat", """
 SELECT id AS idx, 0 AS pos, trim(concat_ws(' ', title, pref, alt)) AS title, title AS entity, definition AS text,
        '' AS synonyms FROM part_info""")
 def _(t):
-    return C.entity_rows(C.concept_info(t.annotation), "concat")
+    return C.entity_rows(t.annotation, "concat")
 
 
 @query("property_catalogue", """
@@ -142,7 +142,7 @@ def _(t):
 SELECT count(*) AS n_concepts, sum(CASE WHEN definition <> '' THEN 1 ELSE 0 END) AS n_defined,
        avg(CASE WHEN definition <> '' THEN 1.0 ELSE 0.0 END) AS share FROM part_info""")
 def _(t):
-    return C.definition_share(C.concept_info(t.annotation))
+    return C.definition_share(C.concept_heads(t.annotation))
 
 
 @query("local_ids", """
@@ -153,7 +153,7 @@ FROM (SELECT idx, pos, title, row_number() OVER (ORDER BY idx, pos) AS rn FROM (
   UNION ALL SELECT id, 1, pref FROM part_info WHERE pref IS NOT NULL
   UNION ALL SELECT id, 2, alt FROM part_info WHERE alt IS NOT NULL))""")
 def _(t):
-    rows = C.entity_rows(C.concept_info(t.annotation), "rows")
+    rows = C.entity_rows(t.annotation, "rows")
     return C.local_ids(rows, ["idx", "pos"]).select("idx", "title", "local_id", "canonical_id")
 
 
@@ -164,14 +164,14 @@ SELECT idx, pos, rn - 1 AS local_id, title FROM (
   UNION ALL SELECT id, 1, pref FROM part_info WHERE pref IS NOT NULL
   UNION ALL SELECT id, row_number() OVER (PARTITION BY id ORDER BY 1) + 1, alt FROM part_info WHERE alt IS NOT NULL))""")
 def _(t):
-    rows = C.entity_rows(C.concept_info(t.annotation), "rows")
+    rows = C.entity_rows(t.annotation, "rows")
     return C.rows_by_concept(C.local_ids(rows, ["idx", "pos"]))
 
 
 @query("append_nil", """
 SELECT id AS idx, title FROM part_info UNION ALL SELECT 'NIL', 'NIL'""")
 def _(t):
-    return C.append_nil(C.entity_rows(C.concept_info(t.annotation))).select("idx", "title")
+    return C.append_nil(C.entity_rows(t.annotation)).select("idx", "title")
 
 
 @query("append_complex", """
@@ -179,7 +179,7 @@ SELECT id AS idx, title FROM part_info
 UNION ALL SELECT DISTINCT id, id FROM complex_id WHERE id LIKE '[EX.]%'""")
 def _(t):
     extra = t.complex_id.select("id", F.col("id").alias("title"))
-    return C.append_complex(C.entity_rows(C.concept_info(t.annotation)), extra).select("idx", "title")
+    return C.append_complex(C.entity_rows(t.annotation), extra).select("idx", "title")
 
 
 @query("is_complex", """
