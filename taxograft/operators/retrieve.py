@@ -275,9 +275,9 @@ def _block_top_k(metric: str, k: int, rows: int = 256):
             ids = right["id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, v = ids[order], _matrix(right["vector"])[order]
-            qs = left["q"].to_numpy()
+            qs = left["l_q"].to_numpy()
             for at in range(0, len(left), rows):
-                q = _matrix(left["vector"].iloc[at : at + rows])
+                q = _matrix(left["l_vector"].iloc[at : at + rows])
                 s = np.round(_scores(metric, q, v), DIGITS)
                 # stable sort on ids in order: score descending, then id ascending
                 best = np.argsort(-s, axis=1, kind="stable")[:, :k]
@@ -337,8 +337,10 @@ def block_search(
         ]
     )
     key = [*group, "_qb", "_vb"]
+    # fresh names, as both sides may come from the same table
+    left = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns])
     found = (
-        left.groupBy(*key).cogroup(right.groupBy(*key))
+        left.groupBy(*[f"l_{c}" for c in key]).cogroup(right.groupBy(*key))
         .applyInPandas(_block_top_k(metric, k), schema)
     )
     return top_k(found, "q", best_first(), k).select("q", "rank", "id", "score")
