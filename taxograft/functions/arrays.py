@@ -10,6 +10,11 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), lambda v: fn(v)), F.lit(0))
+
+
 def list_union(a: Column | str, b: Column | str) -> Column:
     """Ordered union without repeats."""
     return F.array_union(_c(a), _c(b))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from taxograft.functions.arrays import let
 from taxograft.functions.text import strip
 from taxograft.model import Sentinels
 
@@ -111,9 +112,6 @@ def parse_prompt(prompt, answer) -> Column:
     parents, their distinct children, the gold ones of these, and the gold numbers.
     """
     p = _c(prompt)
-    context = F.substring_index(F.substring_index(p, "mention in context:", -1), "options:", 1)
-    gold = F.split(_c(answer), ",")
-    lines = F.split(strip(F.substring_index(p, "options:", -1)), "\n")
 
     def option(line: Column) -> Column:
         edge = F.regexp_replace(line, r"^[^.]*\.", "")
@@ -123,22 +121,41 @@ def parse_prompt(prompt, answer) -> Column:
             F.get(F.split(edge, " -> "), F.lit(1)).alias("child"),
         )
 
-    options = F.transform(lines, option)
-    right = F.filter(options, lambda o: F.array_contains(gold, o["num"]))
-    gold_parents = F.array_distinct(F.transform(right, lambda o: o["parent"]))
-    narrowed = F.flatten(
-        F.transform(gold_parents, lambda g: F.filter(options, lambda o: o["parent"] == g))
-    )
-    gold_narrowed = F.filter(narrowed, lambda o: F.array_contains(gold, o["num"]))
-    return F.struct(
-        strip(marked_mention(context)).alias("mention"),
-        F.array_distinct(F.transform(options, lambda o: o["parent"])).alias("parents"),
-        gold_parents.alias("gold_parents"),
-        F.transform(narrowed, lambda o: o["num"]).alias("narrowed"),
-        F.array_distinct(F.transform(narrowed, lambda o: o["child"])).alias("children"),
-        F.array_distinct(F.transform(gold_narrowed, lambda o: o["child"])).alias("gold_children"),
-        gold.alias("gold"),
-    )
+    def read(text: Column) -> Column:
+        context = F.substring_index(F.substring_index(text, "mention in context:", -1), "options:", 1)
+        lines = F.split(strip(F.substring_index(text, "options:", -1)), "\n")
+        return F.struct(
+            strip(marked_mention(context)).alias("mention"), F.transform(lines, option).alias("options"),
+            F.split(_c(answer), ",").alias("gold"),
+        )
+
+    def with_parents(r: Column) -> Column:
+        right = F.filter(r["options"], lambda o: F.array_contains(r["gold"], o["num"]))
+        return F.struct(
+            r["mention"].alias("mention"), r["options"].alias("options"), r["gold"].alias("gold"),
+            F.array_distinct(F.transform(right, lambda o: o["parent"])).alias("gold_parents"),
+        )
+
+    def with_narrowed(r: Column) -> Column:
+        under = F.transform(r["gold_parents"], lambda g: F.filter(r["options"], lambda o: o["parent"] == g))
+        return F.struct(
+            r["mention"].alias("mention"), r["options"].alias("options"), r["gold"].alias("gold"),
+            r["gold_parents"].alias("gold_parents"), F.flatten(under).alias("narrowed"),
+        )
+
+    def finish(r: Column) -> Column:
+        hit = F.filter(r["narrowed"], lambda o: F.array_contains(r["gold"], o["num"]))
+        return F.struct(
+            r["mention"].alias("mention"),
+            F.array_distinct(F.transform(r["options"], lambda o: o["parent"])).alias("parents"),
+            r["gold_parents"].alias("gold_parents"),
+            F.transform(r["narrowed"], lambda o: o["num"]).alias("narrowed"),
+            F.array_distinct(F.transform(r["narrowed"], lambda o: o["child"])).alias("children"),
+            F.array_distinct(F.transform(hit, lambda o: o["child"])).alias("gold_children"),
+            r["gold"].alias("gold"),
+        )
+
+    return let(let(let(let(p, read), with_parents), with_narrowed), finish)
 
 
 def order_answer(col) -> Column:
@@ -160,12 +177,15 @@ def instruction(prompt, answer, reasoning: bool = False) -> Column:
     tail = F.concat(F.lit(RESPONSE_MARK + "\n"), ordered, F.lit("\n"))
     if not reasoning:
         return F.concat(head, tail)
-    said = parse_prompt(prompt, ordered)
-    comma = lambda name: F.array_join(said[name], ", ")
-    why = F.format_string(
-        REASONING, comma("parents"), said["mention"], comma("gold_parents"), comma("narrowed"),
-        comma("children"), said["mention"], comma("gold_children"), comma("gold"),
-    )
+
+    def explain(said: Column) -> Column:
+        comma = lambda name: F.array_join(said[name], ", ")
+        return F.format_string(
+            REASONING, comma("parents"), said["mention"], comma("gold_parents"), comma("narrowed"),
+            comma("children"), said["mention"], comma("gold_children"), comma("gold"),
+        )
+
+    why = let(parse_prompt(prompt, ordered), explain)
     return F.concat(head, F.lit("### Explanation:\n"), why, F.lit("\n\n"), tail)
 
 

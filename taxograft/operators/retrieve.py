@@ -29,12 +29,21 @@ def best_first() -> list:
 
 # ---------------------------------------------------------------- sparse search
 
-def build_postings(concepts: DataFrame, tokenizer=None) -> DataFrame:
-    """Postings ``(token, id, tf)`` of the distinct texts ``(id, text)`` of each concept."""
-    return (
-        concepts.select("id", F.explode(tokenize("text", tokenizer)).alias("token"))
-        .groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"))
-    )
+def build_postings(concepts: DataFrame, tokenizer=None, only: DataFrame | None = None) -> DataFrame:
+    """Postings ``(token, id, tf)`` of the texts ``(id, text)`` of each concept.
+
+    ``only(token)`` keeps the tokens that are asked for, before anything is shuffled.
+    """
+    tokens = concepts.select("id", F.explode(tokenize("text", tokenizer)).alias("token"))
+    if only is not None:
+        tokens = tokens.join(only.select("token").distinct(), "token", "left_semi")
+    return tokens.groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def text_lengths(concepts: DataFrame, tokenizer=None) -> DataFrame:
+    """Token count ``(id, dl)`` of each concept that has any."""
+    n = F.size(tokenize("text", tokenizer))
+    return concepts.groupBy("id").agg(F.sum(n).alias("dl")).where(F.col("dl") > 0)
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -156,15 +165,17 @@ def idf_select(queries: DataFrame, concepts: DataFrame, k: int, hot_df: int = 10
 
     ``queries(q, text)``; repeated query tokens count repeatedly.
     """
-    postings = cut_lineage(build_postings(concepts, tokenizer))
-    terms = idf_terms(query_terms(queries, tokenizer), postings, concept_count(concepts))
+    asked = cut_lineage(query_terms(queries, tokenizer))
+    postings = cut_lineage(build_postings(concepts, tokenizer, asked))
+    terms = idf_terms(asked, postings, concept_count(concepts))
     return sparse_top_k(terms, postings.withColumn("pw", F.lit(1.0)), k, hot_df)
 
 
 def concept_idf_similarity(pairs: DataFrame, concepts: DataFrame, tokenizer=None) -> DataFrame:
     """Summed idf over the tokens of ``a`` (with repeats) that ``b`` has, per pair ``(a, b)``."""
+    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     postings = cut_lineage(build_postings(concepts, tokenizer))
-    used = concepts.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+    used = concepts.join(named, "id", "left_semi")
     terms = idf_terms(
         query_terms(used.select(F.col("id").alias("q"), "text"), tokenizer), postings, concept_count(concepts)
     )
@@ -174,29 +185,30 @@ def concept_idf_similarity(pairs: DataFrame, concepts: DataFrame, tokenizer=None
     return scored.select(F.col("q").alias("a"), F.col("id").alias("b"), F.col("score").alias("sim"))
 
 
-def bm25_weights(postings: DataFrame, n_docs: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Postings ``(token, id, pw)`` with Okapi weights.
+def bm25_weights(postings: DataFrame, lengths: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """Postings ``(token, id, pw)`` with Okapi weights, for lengths ``(id, dl)``.
 
     ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``, never negative.
     """
-    length = cut_lineage(postings.groupBy("id").agg(F.sum("tf").alias("dl")))
-    n = length.agg(F.count(F.lit(1)).alias("n")) if n_docs is None else n_docs
-    mean = length.agg(F.avg("dl").alias("m"))
+    sizes = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("m"))
+    n, mean = sizes.select("n").scalar(), sizes.select("m").scalar()
     df = document_frequency(postings)
-    idf = F.log(1 + (n.scalar() - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf")
-    weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / mean.scalar()))
+    weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / mean))
+    # the token and the id of a posting may be hot; both joins only look up one row
     joined = balanced_join(postings, df, "token", spread=["id"], fanout=False)
-    return balanced_join(joined, length, "id", spread=["token"], fanout=False).select("token", "id", weight.alias("pw"))
+    return joined.join(lengths, "id").select("token", "id", weight.alias("pw"))
 
 
 def bm25(
     queries: DataFrame, concepts: DataFrame, k: int, k1: float = 1.5, b: float = 0.75,
     hot_df: int = 100_000, tokenizer=None,
 ) -> DataFrame:
-    postings = cut_lineage(build_postings(concepts, tokenizer))
-    terms = query_terms(queries, tokenizer).select("q", "token", F.col("qtf").cast("double").alias("w"))
-    return sparse_top_k(terms, bm25_weights(postings, k1=k1, b=b), k, hot_df)
+    asked = cut_lineage(query_terms(queries, tokenizer))
+    postings = cut_lineage(build_postings(concepts, tokenizer, asked))
+    weights = bm25_weights(postings, cut_lineage(text_lengths(concepts, tokenizer)), k1, b)
+    return sparse_top_k(asked.select("q", "token", F.col("qtf").cast("double").alias("w")), weights, k, hot_df)
 
 
 def multi_field_search(
@@ -218,7 +230,9 @@ def multi_field_search(
     for name, weight in weights.items():
         own = fields.where(F.col("field") == name).select("id", "text")
         mark = lambda c: F.concat(F.lit(name + "\u0001"), c)
-        p = bm25_weights(cut_lineage(build_postings(own, tokenizer))).withColumn("token", mark(F.col("token")))
+        p = bm25_weights(
+            cut_lineage(build_postings(own, tokenizer, terms)), cut_lineage(text_lengths(own, tokenizer))
+        ).withColumn("token", mark(F.col("token")))
         t = terms.select("q", mark(F.col("token")).alias("token"), (F.col("qtf") * float(weight)).alias("w"))
         all_postings = p if all_postings is None else all_postings.unionByName(p)
         all_terms = t if all_terms is None else all_terms.unionByName(t)

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str | list[str], line_sep: str | None = None) -> DataFrame:
-    """``(file, line_no, value)`` with 0-based line numbers and without a byte-order mark.
+    """``(file, line_no, row_no, value)`` without a byte-order mark.
 
-    Lines are counted per file split; only the split totals are added up in order, so a
-    file of any size stays spread over its splits.
+    ``line_no`` counts from 0 within the file, ``row_no`` over all files in path order.
+    Lines are counted per file split; only the split totals, one row per split, are added
+    up in order, so a file of any size stays spread over its splits.
     """
     reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
     raw = reader.text(path).select(
@@ -22,10 +23,14 @@ def read_lines(spark: SparkSession, path: str | list[str], line_sep: str | None
         F.monotonically_increasing_id().alias("_seq"),
     )
     splits = raw.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
-    before = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    in_file = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    in_all = W.orderBy("file", "_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = splits.select(
-        "file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+        "file", "_block", "_first",
+        F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_line"),
+        F.coalesce(F.sum("_n").over(in_all), F.lit(0)).alias("_row"),
     )
+    place = F.col("_seq") - F.col("_first")
     return raw.join(offsets, ["file", "_block"]).select(
-        "file", (F.col("_offset") + F.col("_seq") - F.col("_first")).alias("line_no"), "value"
+        "file", (F.col("_line") + place).alias("line_no"), (F.col("_row") + place).alias("row_no"), "value"
     )

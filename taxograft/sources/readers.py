@@ -21,9 +21,9 @@ from taxograft.sources.lines import read_lines
 # ------------------------------------------------------------------- catalogues
 
 def parse_catalogue(lines: DataFrame, schema: T.StructType) -> DataFrame:
-    """JSON lines as rows with their 0-based line number as ``row_id``."""
+    """JSON lines as rows with their 0-based number over all files as ``row_id``."""
     return lines.where(strip("value") != "").select(
-        F.col("line_no").alias("row_id"), F.from_json("value", schema).alias("r")
+        F.col("row_no").alias("row_id"), F.from_json("value", schema).alias("r")
     ).select("row_id", "r.*")
 
 

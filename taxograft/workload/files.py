@@ -24,14 +24,14 @@ def scratch(spark) -> str:
 SELECT row_number() OVER (ORDER BY parent_idx, child_idx) - 1 AS row_id, parent_idx, child_idx, parent, child, degree FROM edge""")
 def _(t):
     path = scratch(t.spark)
-    K.write_jsonl(t.edge.orderBy("parent_idx", "child_idx").coalesce(1), path)
+    K.write_jsonl(t.edge.orderBy("parent_idx", "child_idx"), path)
     return S.read_catalogue(t.spark, path, EDGE)
 
 
 @query("read_mentions_limit", "SELECT mention_id, mention FROM mention ORDER BY mention_id LIMIT 200")
 def _(t):
     path = scratch(t.spark)
-    K.write_jsonl(t.mention.select("mention_id", "mention").orderBy("mention_id").coalesce(1), path)
+    K.write_jsonl(t.mention.select("mention_id", "mention").orderBy("mention_id"), path)
     schema = T.StructType([T.StructField("mention_id", T.LongType()), T.StructField("mention", T.StringType())])
     return S.read_mentions(t.spark, path, schema, limit=200).drop("row_id")
 
