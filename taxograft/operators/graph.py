@@ -412,7 +412,7 @@ def best_similarity(
     g = gold.select(
         "mention_id", F.col("parent").alias("gold_parent"), F.col("child").alias("gold_child")
     ).distinct()
-    met = balanced_join(p, g, "mention_id")
+    met = cut_lineage(balanced_join(p, g, "mention_id"))
     sims = edge_similarity(met, closure, depth, isa, properties, names)
     key = ["pred_parent", "pred_child", "gold_parent", "gold_child"]
     rest = [c for c in p.columns]
@@ -451,7 +451,8 @@ def relax_targets(gold: DataFrame, isa: DataFrame, hops: int = 1) -> DataFrame:
 
     wp = widen(g, up, "parent").select(F.col("parent").alias("new_parent"), F.col("origin").alias("parent"))
     wc = widen(g, down, "child").select(F.col("child").alias("new_child"), F.col("origin").alias("child"))
-    wide = balanced_join(balanced_join(g, wp, "parent"), wc, "child")
+    raised = cut_lineage(balanced_join(g, wp, "parent"))
+    wide = balanced_join(raised, wc, "child")
     return wide.select(
         "mention_id", F.col("new_parent").alias("parent"), F.col("new_child").alias("child")
     ).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxograft.functions.text import first_n, last_n, words
@@ -233,30 +233,36 @@ def complement(classes: DataFrame, keep: DataFrame) -> DataFrame:
     return classes.select("id").distinct().join(keep.select("id"), "id", "left_anti")
 
 
-def detect_mentions(sentences: DataFrame, names: DataFrame, max_words: int = 4, detector=None) -> DataFrame:
-    """Spans ``(doc_id, sent_id, start_word, n_words, mention, id)`` of known names.
-
-    ``names(name, id)`` is matched against every run of up to ``max_words`` words;
-    ``detector``, a function from the sentences to spans, replaces the dictionary.
-    """
-    if detector is not None:
-        return detector(sentences)
-    tokens = sentences.select(
-        "doc_id", "sent_id",
-        F.filter(words(F.lower("text")), lambda w: w != "").alias("w"),
-    )
-    runs = F.flatten(
+def word_runs(words_: Column, lengths: Column) -> Column:
+    """All runs of consecutive words with one of the given lengths."""
+    return F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.lit(max_words)),
+            F.filter(lengths, lambda n: n <= F.size(words_)),
             lambda n: F.transform(
-                F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")),
+                F.sequence(F.lit(1), F.size(words_) - n + 1),
                 lambda i: F.struct(
-                    (i - 1).alias("start_word"), n.alias("n_words"),
-                    F.array_join(F.slice("w", i, n), " ").alias("mention"),
+                    (i - 1).alias("start_word"), n.alias("n_words"), F.array_join(F.slice(words_, i, n), " ").alias("text")
                 ),
             ),
         )
     )
-    spans = tokens.select("doc_id", "sent_id", F.explode(runs).alias("r")).select("doc_id", "sent_id", "r.*")
+
+
+def detect_mentions(sentences: DataFrame, names: DataFrame, detector=None) -> DataFrame:
+    """Spans ``(doc_id, sent_id, start_word, n_words, mention, id)`` of known names.
+
+    ``names(name, id)`` is matched against every run of words as long as some name;
+    ``detector``, a function from the sentences to spans, replaces the dictionary.
+    """
+    if detector is not None:
+        return detector(sentences)
     known = names.select(F.lower("name").alias("mention"), "id").distinct()
-    return balanced_join(spans, known, "mention")
+    # one entry per occurring name length, which the longest name bounds
+    lengths = known.agg(F.array_sort(F.collect_set(F.size(words("mention")))).alias("n"))
+    tokens = sentences.select(
+        "doc_id", "sent_id", F.filter(words(F.lower("text")), lambda w: w != "").alias("w")
+    ).withColumn("_n", lengths.scalar())
+    spans = tokens.select("doc_id", "sent_id", F.explode(word_runs(F.col("w"), F.col("_n"))).alias("r"))
+    return balanced_join(
+        spans.select("doc_id", "sent_id", "r.start_word", "r.n_words", F.col("r.text").alias("mention")), known, "mention"
+    )

@@ -24,7 +24,7 @@ SELECT e.p AS parent_idx, e.c AS child_idx,
        CASE WHEN e.p = 'THING' THEN 'TOP' ELSE a.title END AS parent,
        CASE WHEN e.c = 'NULL' THEN 'NULL' ELSE b.title END AS child, e.degree
 FROM edge_pair e LEFT JOIN concept a ON e.p = a.id LEFT JOIN concept b ON e.c = b.id
-""")
+""", stored=True)
 derive("part_info", """
 SELECT id, min(CASE WHEN prop = 'label' THEN value END) AS title,
        coalesce(min(CASE WHEN prop = 'definition' THEN value END), '') AS definition,

@@ -249,6 +249,23 @@ def _(t):
     return out.select("mention_id", *[F.round(c, 6).alias(c) for c in ("wp_avg", "wp_min", "wp_max")])
 
 
+@query("similarity_at_graph", """
+WITH r AS (SELECT gold_parent AS mention_id, max(sim) AS sim, row_number() OVER (PARTITION BY gold_parent ORDER BY pred_parent, pred_child) AS rank
+  FROM edge_sim GROUP BY gold_parent, pred_parent, pred_child),
+p AS (SELECT mention_id, k, avg(sim) AS a, min(sim) AS mi, max(sim) AS ma FROM r JOIN (VALUES (1), (5), (10)) v(k) ON rank <= k GROUP BY mention_id, k)
+SELECT k, count(*) AS n_evaluated, round(avg(a), 9) AS wp_avg, round(avg(mi), 9) AS wp_min, round(avg(ma), 9) AS wp_max FROM p GROUP BY k""")
+def _(t):
+    from taxograft.operators.evaluate import similarity_at
+    from taxograft.plans.order import top_k
+
+    pg, closure, depth, isa = _edge_context(t)
+    pred = pg.select(F.col("gold_parent").alias("mention_id"), F.col("pred_parent").alias("parent"), F.col("pred_child").alias("child")).distinct()
+    gold = pg.select(F.col("gold_parent").alias("mention_id"), F.col("gold_parent").alias("parent"), F.col("gold_child").alias("child"))
+    ranked = top_k(pred, "mention_id", [F.asc("parent"), F.asc("child")], 10)
+    out = similarity_at(G.best_similarity(ranked, gold, closure, depth, isa))
+    return out.select("k", "n_evaluated", *[F.round(c, 9).alias(c) for c in ("wp_avg", "wp_min", "wp_max")])
+
+
 @query("subsumes", """
 SELECT a AS sub, b AS super FROM concept_pair JOIN ancestry ON id = a AND anc = b""")
 def _(t):

@@ -15,6 +15,9 @@ TABLES = [
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+#: Tables with long texts and their keys.
+LONG_TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}  # without the derived inputs, see oracle()
 INPUTS: dict[str, str] = {}
@@ -72,7 +75,12 @@ class Inputs:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            cores = self.spark.sparkContext.defaultParallelism
+            if name in LONG_TEXTS and len(df.inputFiles()) < cores:
+                # fewer files than cores: spread the texts before tokenising them
+                df = df.repartition(cores, LONG_TEXTS[name])
+            return df
         if name in STORED:
             key = (self.spark.sparkContext.applicationId, self.folder, name)
             if key not in _written:

@@ -143,6 +143,11 @@ def _(t):
     return _shown(R.nearest_exact(_qv(t), _iv(t), 10))
 
 
+@query("score_all", _NN.format(m=_METRIC["ip"], on="true").replace("rank <= 10", "rank <= 50"))
+def _(t):
+    return _shown(R.score_all(_qv(t), _iv(t), 50))
+
+
 @query("nearest_exact_blocks", _NN.format(m=_METRIC["ip"], on="true"))
 def _(t):
     return _shown(R.nearest_exact(_qv(t), _iv(t), 10, block_rows=200))
