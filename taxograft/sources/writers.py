@@ -33,20 +33,21 @@ def keep_list(concepts: DataFrame, id_map: DataFrame, prefix: str) -> DataFrame:
     ).distinct()
 
 
-def export_ranked(ranked: DataFrame, form: str = "map") -> DataFrame:
+def export_ranked(ranked: DataFrame, form: str = "map", chunk: int = 1_000) -> DataFrame:
     """Ranked edges ``(mention_id, rank, edge, score)`` of each mention in one value.
 
-    ``map`` gives edge to score, ``text`` the edges best first with their scores.  A list
-    is as long as the cap of the ranking.
+    ``map`` gives edge to score, ``text`` the edges best first with their scores.  A value
+    holds ``chunk`` ranks at most; longer rankings go on in further parts.
     """
     rows = F.array_sort(F.collect_list(F.struct("rank", "edge", "score")))
-    grouped = ranked.groupBy("mention_id").agg(rows.alias("r"))
+    part = F.floor((F.col("rank") - 1) / chunk).cast("int")
+    grouped = ranked.groupBy("mention_id", part.alias("part")).agg(rows.alias("r"))
     if form == "map":
         pairs = F.transform("r", lambda x: F.struct(x["edge"], x["score"]))
-        return grouped.select("mention_id", F.map_from_entries(pairs).alias("edges"))
+        return grouped.select("mention_id", "part", F.map_from_entries(pairs).alias("edges"))
     if form == "text":
         each = F.transform("r", lambda x: F.format_string("%s (%.4f)", x["edge"], x["score"]))
-        return grouped.select("mention_id", F.array_join(each, "; ").alias("edges"))
+        return grouped.select("mention_id", "part", F.array_join(each, "; ").alias("edges"))
     raise ValueError(form)
 
 

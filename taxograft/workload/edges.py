@@ -103,9 +103,9 @@ def _(t):
 
 
 @query("leaf_score", """
-SELECT mention_id, parent_idx, CASE WHEN mention_id % 2 = 0 THEN 'NULL' ELSE child_idx END AS child_idx, CASE WHEN mention_id % 2 = 0 THEN 1000.0 ELSE score END AS score FROM cand_edge""")
+SELECT mention_id, parent_idx, CASE WHEN score > 40 THEN 'NULL' ELSE child_idx END AS child_idx, CASE WHEN score > 40 THEN 1000.0 ELSE score END AS score FROM cand_edge""")
 def _(t):
-    c = F.when(F.col("mention_id") % 2 == 0, "NULL").otherwise(F.col("child_idx"))
+    c = F.when(F.col("score") > 40, "NULL").otherwise(F.col("child_idx"))
     return N.leaf_score(t.cand_edge.select("mention_id", "parent_idx", c.alias("child_idx"), "score"), 1000, on=True)
 
 
@@ -149,11 +149,13 @@ def _(t):
 
 
 @query("expand_to_pairs", """
-SELECT l_orderkey, l_linenumber, l_partkey, parent_idx, child_idx FROM lineitem JOIN cand_edge ON mention_id = l_partkey WHERE rank <= 2""")
+SELECT l_orderkey, count(*) AS n, min(parent_idx || child_idx) AS first_edge, max(parent_idx || child_idx) AS last_edge FROM lineitem JOIN cand_edge ON mention_id = l_partkey GROUP BY l_orderkey""")
 def _(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("mention_id"))
-    top = t.cand_edge.where("rank <= 2").select("mention_id", "parent_idx", "child_idx")
-    return N.expand_to_pairs(top, rows, ["mention_id"]).withColumnRenamed("mention_id", "l_partkey")
+    ranked = t.cand_edge.select("mention_id", "parent_idx", "child_idx")
+    edge = F.concat("parent_idx", "child_idx")
+    return N.expand_to_pairs(ranked, rows, ["mention_id"]).groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n"), F.min(edge).alias("first_edge"), F.max(edge).alias("last_edge"))
 
 
 @query("filter_degree", "SELECT * FROM core_edge WHERE degree <> 0")
@@ -175,10 +177,12 @@ def _(t):
 
 
 @query("pair_edges", """
-SELECT mention_id, c.parent_idx AS pred_parent, c.child_idx AS pred_child, g.parent_idx AS gold_parent, g.child_idx AS gold_child
-FROM cand_edge c JOIN gold_edge g USING (mention_id) WHERE rank <= 5""")
+SELECT mention_id, c.parent_idx AS pred_parent, c.child_idx AS pred_child, count(*) AS n, min(g.parent_idx || g.child_idx) AS first_gold, max(g.parent_idx || g.child_idx) AS last_gold
+FROM cand_edge c JOIN gold_edge g USING (mention_id) GROUP BY mention_id, c.parent_idx, c.child_idx""")
 def _(t):
-    return N.pair_edges(t.cand_edge.where("rank <= 5"), t.gold_edge)
+    gold = F.concat("gold_parent", "gold_child")
+    return N.pair_edges(t.cand_edge, t.gold_edge).groupBy("mention_id", "pred_parent", "pred_child").agg(
+        F.count(F.lit(1)).alias("n"), F.min(gold).alias("first_gold"), F.max(gold).alias("last_gold"))
 
 
 @query("match_marks", """

@@ -272,10 +272,10 @@ def _(t):
 
 
 @query("parse_worlds", """
-SELECT doc_id, source AS domain, text[:256] AS text FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING max(doc_id) % 2 = 0)""")
+SELECT doc_id, source AS domain, text[:256] AS text FROM documents WHERE source < 'src2'""")
 def _(t):
-    domains = t.documents.groupBy(F.col("source").alias("domain")).agg(
-        F.when(F.max("doc_id") % 2 == 0, "train").otherwise("valid").alias("split"))
+    domains = t.documents.select(F.col("source").alias("domain")).distinct().withColumn(
+        "split", F.when(F.col("domain") < "src2", "train").otherwise("valid"))
     return S.parse_worlds(t.documents.select("doc_id", F.col("source").alias("domain"), "text"), domains, "train")
 
 
@@ -296,13 +296,13 @@ def _(t):
 
 
 derive("dump_line", """
-SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '{"id":"Q' || p_partkey || '","sitelinks":{"dewiki":{"title":"x"}}},' WHEN p_size % 5 = 1 THEN '{"id": broken'
+SELECT p_partkey, CASE WHEN p_size <= 10 THEN '{"id":"Q' || p_partkey || '","sitelinks":{"dewiki":{"title":"x"}}},' WHEN p_size <= 20 THEN '{"id": broken'
   ELSE '{"id":"Q' || p_partkey || '","sitelinks":{"enwiki":{"title":"' || p_name || '"}},"aliases":{"en":[{"value":"' || p_brand || '"},{"value":"' || p_type || '"}]},"labels":{"en":{"value":"' || upper(p_name) || '"}},"descriptions":{}},' END AS value FROM part
 """)
 
 
 @query("parse_wikidata", """
-SELECT 'Q' || p_partkey AS item_id, p_name AS title, p_brand || '|' || p_type AS aliases, upper(p_name) AS label, CAST(NULL AS VARCHAR) AS description FROM part WHERE p_size % 5 > 1""")
+SELECT 'Q' || p_partkey AS item_id, p_name AS title, p_brand || '|' || p_type AS aliases, upper(p_name) AS label, CAST(NULL AS VARCHAR) AS description FROM part WHERE p_size > 20""")
 def _(t):
     return S.parse_wikidata(t.dump_line.select("value")).withColumn("aliases", F.array_join("aliases", "|")).drop("quote_title")
 
@@ -339,22 +339,22 @@ def _(t):
 
 
 @query("read_mapping", """
-SELECT DISTINCT url AS title, 'Q' || page_id AS item_id FROM pages WHERE page_id % 2 = 0""")
+SELECT DISTINCT url AS title, 'Q' || page_id AS item_id FROM pages WHERE url LIKE 'https%'""")
 def _(t):
-    item = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("Q"), "page_id"))
+    item = F.when(F.col("url").startswith("https"), F.concat(F.lit("Q"), "page_id"))
     return S.read_mapping(t.pages.select("page_id", F.col("url").alias("title"), item.alias("item_id")))[0]
 
 
 @query("export_ranked_text", """
-SELECT mention_id, string_agg('S' || cand_id || ' (' || format('{:.4f}', score) || ')', '; ' ORDER BY rank) AS edges FROM ranked_cand WHERE rank <= 5 GROUP BY mention_id""")
+SELECT mention_id, 0 AS part, string_agg('S' || cand_id || ' (' || format('{:.4f}', score) || ')', '; ' ORDER BY rank) AS edges FROM ranked_cand GROUP BY mention_id""")
 def _(t):
-    r = t.ranked_cand.where("rank <= 5").select("mention_id", "rank", F.concat(F.lit("S"), "cand_id").alias("edge"), "score")
+    r = t.ranked_cand.select("mention_id", "rank", F.concat(F.lit("S"), "cand_id").alias("edge"), "score")
     return K.export_ranked(r, "text")
 
 
-@query("export_ranked_map", "SELECT mention_id, count(*) AS n, max(score) AS best FROM ranked_cand WHERE rank <= 5 GROUP BY mention_id")
+@query("export_ranked_map", "SELECT mention_id, count(*) AS n, max(score) AS best FROM ranked_cand GROUP BY mention_id")
 def _(t):
-    r = t.ranked_cand.where("rank <= 5").select("mention_id", "rank", F.concat(F.lit("S"), "cand_id").alias("edge"), "score")
+    r = t.ranked_cand.select("mention_id", "rank", F.concat(F.lit("S"), "cand_id").alias("edge"), "score")
     return K.export_ranked(r, "map").select("mention_id", F.size("edges").alias("n"), F.array_max(F.map_values("edges")).alias("best"))
 
 

@@ -57,15 +57,15 @@ def _(t):
 
 
 @query("drop_disambiguation", """
-SELECT p_partkey AS id FROM part WHERE p_size > 5 AND NOT (p_type = 'SMALL' AND p_size % 2 = 0)""")
+SELECT p_partkey AS id FROM part WHERE p_size > 5 AND NOT (p_type = 'SMALL' AND p_size > 30)""")
 def _(t):
     title = F.when(F.col("p_size") <= 5, F.concat("p_name", F.lit(" (disambiguation)"))).otherwise(F.col("p_name"))
-    desc = F.when((F.col("p_type") == "SMALL") & (F.col("p_size") % 2 == 0), "Disambiguation page")
+    desc = F.when((F.col("p_type") == "SMALL") & (F.col("p_size") > 30), "Disambiguation page")
     return B.drop_disambiguation(t.part.select(F.col("p_partkey").alias("id"), title.alias("title"), desc.alias("item_desc"))).select("id")
 
 
 @query("flatten_kb", r"""
-SELECT doc_id AS id, lang AS title, CASE WHEN doc_id % 2 = 0 THEN 'Q' || doc_id ELSE 'I' || doc_id END AS item_id,
+SELECT doc_id AS id, lang AS title, CASE WHEN lang = 'en' THEN 'Q' || doc_id ELSE 'I' || doc_id END AS item_id,
   array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), ' ') AS "desc", '"' || source || '" "' || lang || '"' AS aliases, '' AS item_desc,
   len(string_split(text, ' ')) AS num_tokens, 0 AS num_incoming_links, coalesce(s[1], '') AS sent_desc_1, coalesce(s[2], '') AS sent_desc_2
 FROM (SELECT *, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)""")
@@ -73,7 +73,7 @@ def _(t):
     from taxograft.functions.text import sentences
 
     docs = t.documents.select(
-        F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Q"), "doc_id")).alias("item_id"),
+        F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.when(F.col("lang") == "en", F.concat(F.lit("Q"), "doc_id")).alias("item_id"),
         F.concat(F.lit("I"), "doc_id").alias("index_id"), F.split("text", "\n").alias("intro_lines"), F.array(F.col("source"), F.lit("\U0001F600"), F.col("lang")).alias("aliases"),
         F.lit(None).cast("string").alias("item_desc"), F.size(F.split("text", " ")).alias("num_tokens"), F.lit(None).cast("int").alias("num_incoming_links"),
         sentences("text").alias("sentences"))
@@ -140,7 +140,7 @@ def _(t):
 
 
 derive("coref_mention", """
-SELECT doc_id, mention_id, CASE WHEN mention_id % 2 = 0 THEN upper(mention) ELSE split_part(mention, ' ', 2) END AS mention, label_concept FROM mention
+SELECT doc_id, mention_id, CASE WHEN split <> 'train' THEN upper(mention) ELSE split_part(mention, ' ', 2) END AS mention, label_concept FROM mention
 """)
 derive("coref_cand", """
 SELECT mention_id, 1 AS rank, p_type AS entity, p_size / 100.0 AS p FROM coref_mention JOIN part ON label_concept = 'P' || p_partkey

@@ -7,8 +7,8 @@ from taxograft.workload.registry import derive, query
 
 # Ten candidates per part with scaled scores; one supplier plays the unseen mark.
 derive("scored", """
-SELECT mention_id, CAST(rank AS INT) AS rank, CASE WHEN rank = 1 + mention_id % 7 THEN 'NIL' ELSE 'S' || cand_id END AS cand_id, score / 40 AS score
-FROM ranked_cand WHERE rank <= 10
+SELECT mention_id, CAST(rank AS INT) AS rank, CASE WHEN rank = 1 + CAST(floor(p_size / 8) AS INT) THEN 'NIL' ELSE 'S' || cand_id END AS cand_id, score / 40 AS score
+FROM ranked_cand JOIN part ON p_partkey = mention_id WHERE rank <= 10
 """)
 derive("unmarked", "SELECT mention_id, CAST(rank AS INT) AS rank, 'S' || cand_id AS cand_id, score / 40 AS score FROM ranked_cand WHERE rank <= 10")
 _P = "pr AS (SELECT *, exp(score - max(score) OVER m) / sum(exp(score - 1)) OVER m * exp(max(score) OVER m - 1) AS p FROM {t} {f} WINDOW m AS (PARTITION BY mention_id))"

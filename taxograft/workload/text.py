@@ -37,9 +37,9 @@ def _(t):
 
 @query("escape_query", r"""
 SELECT conv_id, turn, regexp_replace(q, '([&|+\-!(){}\[\]/^"~*?:])', '\\\1', 'g') AS escaped FROM (
-SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'and ' ELSE 'x or ' END || replace(text, '\', '') || ' or' AS q FROM conversations)""")
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'and ' ELSE 'x or ' END || replace(text, '\', '') || ' or' AS q FROM conversations)""")
 def _(t):
-    q = F.concat(F.when(F.col("turn") % 2 == 0, "AND ").otherwise("x OR "), F.replace("text", F.lit("\\"), F.lit("")), F.lit(" OR"))
+    q = F.concat(F.when(F.col("role") == "user", "AND ").otherwise("x OR "), F.replace("text", F.lit("\\"), F.lit("")), F.lit(" OR"))
     return t.conversations.select("conv_id", "turn", X.escape_query(q).alias("escaped"))
 
 
@@ -270,12 +270,12 @@ def _(t):
 
 
 @query("parse_prompt", """
-SELECT p_partkey, p_name AS mention, CASE WHEN p_size % 2 = 0 THEN '0,1' ELSE '2' END AS gold, p_type || '|' || p_brand AS parents,
-  CASE WHEN p_size % 2 = 0 THEN p_type || '|' || p_brand ELSE p_type END AS gold_parents,
-  CASE WHEN p_size % 2 = 0 THEN '0,2,1' ELSE '0,2' END AS narrowed,
-  p_brand || '|NULL' AS children, CASE WHEN p_size % 2 = 0 THEN p_brand || '|NULL' ELSE 'NULL' END AS gold_children FROM part""")
+SELECT p_partkey, p_name AS mention, CASE WHEN p_size > 25 THEN '0,1' ELSE '2' END AS gold, p_type || '|' || p_brand AS parents,
+  CASE WHEN p_size > 25 THEN p_type || '|' || p_brand ELSE p_type END AS gold_parents,
+  CASE WHEN p_size > 25 THEN '0,2,1' ELSE '0,2' END AS narrowed,
+  p_brand || '|NULL' AS children, CASE WHEN p_size > 25 THEN p_brand || '|NULL' ELSE 'NULL' END AS gold_children FROM part""")
 def _(t):
-    answer = F.when(F.col("p_size") % 2 == 0, "0,1").otherwise("2")
+    answer = F.when(F.col("p_size") > 25, "0,1").otherwise("2")
     said = _prompt(t).select("p_partkey", P.parse_prompt(P.rewrite_prompt("prompt"), answer).alias("s"))
     j = lambda c, sep="|": F.array_join(f"s.{c}", sep).alias(c)
     return said.select(
@@ -335,9 +335,9 @@ def _(t):
 
 
 @query("clean_answers", """
-SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN '2' ELSE '0,1' END AS answer FROM part WHERE p_size % 3 > 0""")
+SELECT p_partkey, CASE WHEN p_size <= 30 THEN '2' ELSE '0,1' END AS answer FROM part WHERE p_size > 10""")
 def _(t):
-    a = F.when(F.col("p_size") % 3 == 0, "-1").when(F.col("p_size") % 3 == 1, "-1,2,-1").otherwise("0,1")
+    a = F.when(F.col("p_size") <= 10, "-1").when(F.col("p_size") <= 30, "-1,2,-1").otherwise("0,1")
     return P.clean_answers(t.part.select("p_partkey", a.alias("answer")))
 
 

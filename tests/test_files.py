@@ -119,3 +119,10 @@ def test_streams_over_several_batches(spark, tmp_path):
     last = spark.read.parquet(str(tmp_path / "n")).groupBy("window_start", "m").agg(F.max_by("n", "batch").alias("n"))
     want = df.groupBy(F.window("ts", "10 minutes").alias("w"), "m").count()
     assert {(r.window_start, r.m, r.n) for r in last.collect()} == {(r.w.start, r.m, r["count"]) for r in want.collect()}
+
+
+def test_long_rankings_go_on_in_parts(spark):
+    rows = [(1, r, f"e{r}", 1.0 / r) for r in range(1, 26)]
+    got = K.export_ranked(spark.createDataFrame(rows, "mention_id long, rank int, edge string, score double"), "map", chunk=10)
+    sizes = {r.part: len(r.edges) for r in got.collect()}
+    assert sizes == {0: 10, 1: 10, 2: 5}
