@@ -188,7 +188,13 @@ def sentence_context(sentences: DataFrame, prev: bool = True, next: bool = True)
 
 def sentence_mentions(sentences: DataFrame, mentions: DataFrame) -> DataFrame:
     """Every sentence with its mentions, one per row; a sentence without any has nulls."""
-    return balanced_join(sentences, mentions, ["doc_id", "sent_id"], "left")
+    key = ["doc_id", "sent_id"]
+    with_any = balanced_join(mentions, sentences, key, fanout=False)
+    bare = sentences.join(mentions.select(*key).distinct(), key, "left_anti")
+    extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in mentions.schema if f.name not in key]
+    return with_any.select(*sentences.columns, *[c for c in mentions.columns if c not in key]).unionByName(
+        bare.select("*", *extra)
+    )
 
 
 def rejoin_mentions(cands: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -263,6 +269,7 @@ def detect_mentions(sentences: DataFrame, names: DataFrame, detector=None) -> Da
         "doc_id", "sent_id", F.filter(words(F.lower("text")), lambda w: w != "").alias("w")
     ).withColumn("_n", lengths.scalar())
     spans = tokens.select("doc_id", "sent_id", F.explode(word_runs(F.col("w"), F.col("_n"))).alias("r"))
-    return balanced_join(
-        spans.select("doc_id", "sent_id", "r.start_word", "r.n_words", F.col("r.text").alias("mention")), known, "mention"
-    )
+    # a name stands for few ids, so a frequent name is only split, at run time
+    return spans.select(
+        "doc_id", "sent_id", "r.start_word", "r.n_words", F.col("r.text").alias("mention")
+    ).join(known, "mention")

@@ -23,27 +23,29 @@ def hot_keys(
     right: DataFrame | None,
     keys: Sequence[str],
     rows_per_task: int = ROWS_PER_TASK,
+    both_sides: bool = False,
 ) -> DataFrame:
-    """At most ``MAX_HOT_KEYS`` rows ``(keys, _salts)``: the keys worth splitting.
+    """At most ``MAX_HOT_KEYS`` rows ``(keys, _a, _b)``: the keys worth splitting.
 
-    With ``right`` given, the weight of a key is the number of joined rows it makes.
+    ``_a`` is the number of slices of the left rows, ``_b`` that of the right ones.  With
+    ``right`` given, the weight of a key is the number of joined rows it makes, and with
+    ``both_sides`` the right rows are sliced where the left ones are too few.
     """
     weight = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if right is not None:
         fan = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-        weight = weight.join(fan, list(keys)).select(
-            *keys, (F.col("_n") * F.col("_m")).alias("_n")
-        )
+        weight = weight.join(fan, list(keys))
+    else:
+        weight = weight.withColumn("_m", F.lit(1))
+    total = F.col("_n") * F.col("_m")
+    slices = F.least(F.ceil(total / F.lit(rows_per_task)), F.lit(MAX_SALTS))
+    a = F.least(slices, F.col("_n"))
+    b = F.ceil(slices / a) if both_sides else F.lit(1)
     return (
-        weight.where(F.col("_n") > rows_per_task)
-        .orderBy(F.desc("_n"), *keys)
+        weight.where(total > rows_per_task)
+        .orderBy(total.desc(), *keys)
         .limit(MAX_HOT_KEYS)
-        .select(
-            *keys,
-            F.least(F.ceil(F.col("_n") / F.lit(rows_per_task)), F.lit(MAX_SALTS))
-            .cast("int")
-            .alias("_salts"),
-        )
+        .select(*keys, a.cast("long").alias("_a"), b.cast("long").alias("_b"))
     )
 
 
@@ -56,23 +58,29 @@ def balanced_join(
     fanout: bool = True,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Equi-join that spreads the hot keys of ``left`` over salted copies of ``right``.
+    """Equi-join that spreads the rows of hot keys over many tasks.
 
-    Each left row gets one salt, computed from its ``spread`` columns, and each right
-    row of a hot key is repeated once per salt, so the result equals the plain join.
-    ``how`` may be inner, left, left_semi or left_anti.
+    A left row of a hot key goes to one of ``a`` slices, computed from its ``spread``
+    columns, and is repeated for the ``b`` slices of the right rows; a right row the other
+    way round.  Each pair meets exactly once, so the result equals the plain join.  Only
+    inner joins slice the right side.  ``how`` may be inner, left, left_semi or left_anti.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"balanced_join cannot do {how!r}")
-    hot = F.broadcast(hot_keys(left, right if fanout else None, keys, rows_per_task))
+    both = how == "inner" and fanout
+    hot = F.broadcast(hot_keys(left, right if fanout else None, keys, rows_per_task, both))
+    zero = F.lit(0).cast("long")
+
+    def slot(count: str, by: Sequence[str]):
+        return F.coalesce(F.pmod(F.xxhash64(*by), F.col(count)), zero)
+
+    def copies(count: str):
+        return F.explode(F.sequence(zero, F.coalesce(F.col(count) - 1, zero)))
+
     spread = list(spread) if spread else left.columns
-    salted_left = left.join(hot, keys, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0).cast("long"))
-    )
-    salted_right = right.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts") - 1, F.lit(0)).cast("long"))),
-    )
-    joined = salted_left.drop("_salts").join(salted_right.drop("_salts"), keys + ["_salt"], how)
-    return joined.drop("_salt")
+    l = left.join(hot, keys, "left").withColumn("_i", slot("_a", spread))
+    l = l.withColumn("_j", copies("_b") if both else zero).drop("_a", "_b")
+    r = right.join(hot, keys, "left").withColumn("_j", slot("_b", right.columns) if both else zero)
+    r = r.withColumn("_i", copies("_a")).drop("_a", "_b")
+    return l.join(r, [*keys, "_i", "_j"], how).drop("_i", "_j")

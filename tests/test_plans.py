@@ -29,8 +29,18 @@ def test_balanced_join(skewed, how, fanout):
 
 def test_hot_key_is_salted(skewed):
     left, right = skewed
-    hot = {r.k: r._salts for r in K.hot_keys(left, right, ["k"], 20).collect()}
-    assert hot["hot"] > 10 and len(hot) <= K.MAX_HOT_KEYS
+    hot = {r.k: (r._a, r._b) for r in K.hot_keys(left, right, ["k"], 20).collect()}
+    assert hot["hot"][0] > 10 and hot["hot"][1] == 1 and len(hot) <= K.MAX_HOT_KEYS
+
+
+def test_hot_right_side_is_sliced(skewed):
+    right, left = skewed
+    left, right = left.where("w <> 'r0'"), right
+    hot = {r.k: (r._a, r._b) for r in K.hot_keys(left, right, ["k"], 20, both_sides=True).collect()}
+    assert hot["hot"][0] == 6 and hot["hot"][1] > 5
+    got = K.balanced_join(left, right, "k", rows_per_task=20)
+    want = left.join(right, "k")
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
 def test_running_sum_and_last_seen_over_blocks(spark):
