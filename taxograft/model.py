@@ -23,7 +23,6 @@ class Settings:
     """Parameters of a placement run (what a command line would carry)."""
 
     seeds: int = 10
-    concept_pool: int = 20
     cap: int = 50
     alpha: float = 0.5
     leaf_value: float | None = None

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from taxograft.functions.arrays import blend
 from taxograft.model import Settings
-from taxograft.operators import enrich, retrieve
+from taxograft.operators import enrich, evaluate, retrieve
 from taxograft.plans.lineage import cut_lineage
 from taxograft.plans.skew import balanced_join
 
@@ -73,3 +73,17 @@ def place_mentions(
     return balanced_join(keyed, cut_lineage(ranked), "q").select(
         "mention_id", "rank", "parent_idx", "child_idx", "score"
     )
+
+
+def evaluate_placement(ranked: DataFrame, gold: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """Precision, recall and any/all rates of ranked edges at the cut-offs of the settings.
+
+    ``gold(mention_id, parent_idx, child_idx)``.
+    """
+    settings = settings or Settings()
+    edge = F.struct("parent_idx", "child_idx").alias("cand_id")
+    cands = cut_lineage(ranked.select("mention_id", "rank", edge))
+    wanted = gold.select("mention_id", edge)
+    rates = evaluate.precision_recall_at(cands, wanted, settings.ks)
+    per_mention = evaluate.recall_any_all_at(cands, wanted, settings.ks).drop("n_mentions")
+    return rates.join(per_mention, "k")

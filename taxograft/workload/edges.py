@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from taxograft.model import Settings
 from taxograft.operators import enrich as N
-from taxograft.plans.placement import place_mentions
+from taxograft.plans.placement import evaluate_placement, place_mentions
 from taxograft.workload.registry import derive, query
 from taxograft.workload.search import _TITLE_TF, _TOK
 
@@ -230,3 +230,18 @@ f1 AS (SELECT mention_id, parent_idx, child_idx FROM f0 UNION SELECT mention_id,
        + _PLACE_RANK.format(f="f1", leaf="round((coalesce(a.sim, 0) + coalesce(b.sim, 0)) / 2, 9)", join=""))
 def _(t):
     return _place(t, t.core_edge)
+
+
+_PLACED = ("WITH " + _PLACE + _PLACE_RANK.format(f="f0", leaf="round((coalesce(a.sim, 0) + coalesce(b.sim, 0)) / 2, 9)", join="")).replace(
+    "\nSELECT p_partkey AS mention_id", ",\npl AS (SELECT p_partkey AS mention_id")
+
+
+@query("evaluate_placement", _PLACED + """),
+g AS (SELECT g.mention_id, pl.rank FROM gold_edge g LEFT JOIN pl ON pl.mention_id = g.mention_id AND pl.parent_idx = g.parent_idx AND pl.child_idx = g.child_idx),
+n AS (SELECT count(DISTINCT mention_id) AS n_mentions, count(*) AS n_gold FROM gold_edge),
+per AS (SELECT mention_id, k, bool_or(coalesce(rank <= k, false)) AS a, bool_and(coalesce(rank <= k, false)) AS b, count(*) FILTER (rank <= k) AS tp
+  FROM g CROSS JOIN (VALUES (1), (5), (20)) v(k) GROUP BY mention_id, k)
+SELECT k, any_value(n_mentions) AS n_mentions, any_value(n_gold) AS n_gold, sum(tp) AS tp, sum(tp) / (any_value(n_mentions) * k) AS precision,
+  sum(tp) / any_value(n_gold) AS recall, avg(CAST(a AS INT)) AS "any", avg(CAST(b AS INT)) AS "all" FROM per, n GROUP BY k""")
+def _(t):
+    return evaluate_placement(_place(t, enrich=False), t.gold_edge, Settings(ks=(1, 5, 20)))
