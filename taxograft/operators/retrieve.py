@@ -256,49 +256,52 @@ def retrieval_grid(
 
 # ----------------------------------------------------------------- dense search
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 1))
-
-
-def _scores(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Higher is better for every metric."""
-    if metric == "ip":
-        return q @ v.T
-    if metric == "cosine":
-        qn, vn = np.linalg.norm(q, axis=1, keepdims=True), np.linalg.norm(v, axis=1, keepdims=True)
-        return (q / np.where(qn == 0, 1, qn)) @ (v / np.where(vn == 0, 1, vn)).T
-    if metric == "l2":
+def _block_top_k(metric: str, k: int, rows: int = 256):
+    """Kernel over one block of queries and one block of vectors: best ``k`` per query.
+
+    The helpers are nested so that workers get them by value and need no package.
+    """
+    if metric not in {"ip", "cosine", "l2"}:
+        raise ValueError(metric)
+    digits = DIGITS
+
+    def matrix(column: pd.Series) -> np.ndarray:
+        return np.stack(column.to_numpy()).astype(np.float64)
+
+    def unit_rows(m: np.ndarray) -> np.ndarray:
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(n == 0, 1, n)
+
+    def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        # higher is better for every metric
+        if metric == "ip":
+            return q @ v.T
+        if metric == "cosine":
+            return unit_rows(q) @ unit_rows(v).T
         d2 = (q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * q @ v.T
         return -np.sqrt(np.maximum(d2, 0))
-    raise ValueError(metric)
-
 
-def _final(metric: str, q: np.ndarray, v: np.ndarray, s: np.ndarray, best: np.ndarray) -> np.ndarray:
-    """Scores of the chosen vectors; distances are taken again without cancellation."""
-    if metric != "l2":
-        return np.take_along_axis(s, best, 1)
-    return np.round(-np.sqrt(((q[:, None, :] - v[best]) ** 2).sum(-1)), DIGITS)
-
-
-def _block_top_k(metric: str, k: int, rows: int = 256):
-    """Kernel over one block of queries and one block of vectors: best ``k`` per query."""
+    def final(q: np.ndarray, v: np.ndarray, s: np.ndarray, best: np.ndarray) -> np.ndarray:
+        # distances of the chosen vectors are taken again without cancellation
+        if metric != "l2":
+            return np.take_along_axis(s, best, 1)
+        return np.round(-np.sqrt(((q[:, None, :] - v[best]) ** 2).sum(-1)), digits)
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out_q, out_i, out_s = [], [], []
         if len(left) and len(right):
             ids = right["id"].to_numpy()
             order = np.argsort(ids, kind="stable")
-            ids, v = ids[order], _matrix(right["vector"])[order]
+            ids, v = ids[order], matrix(right["vector"])[order]
             qs = left["l_q"].to_numpy()
             for at in range(0, len(left), rows):
-                q = _matrix(left["l_vector"].iloc[at : at + rows])
-                s = np.round(_scores(metric, q, v), DIGITS)
+                q = matrix(left["l_vector"].iloc[at : at + rows])
+                s = np.round(scores(q, v), digits)
                 # stable sort on ids in order: score descending, then id ascending
                 best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                n = best.shape[1]
-                out_q.append(np.repeat(qs[at : at + rows], n))
+                out_q.append(np.repeat(qs[at : at + rows], best.shape[1]))
                 out_i.append(ids[best].ravel())
-                out_s.append(_final(metric, q, v, s, best).ravel())
+                out_s.append(final(q, v, s, best).ravel())
         if not out_q:
             return pd.DataFrame({"q": [], "id": [], "score": []})
         return pd.DataFrame(
@@ -389,7 +392,7 @@ def hash_signatures(df: DataFrame, dim: int, tables: int, bits: int, seed: int)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = _matrix(pdf["lifted"]) if len(pdf) else np.zeros((0, dim))
+            x = np.stack(pdf["lifted"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, dim))
             for t in range(tables):
                 yield pdf.assign(table=t, bucket=((x @ planes[t].T > 0) * powers).sum(1))
 
