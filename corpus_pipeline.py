@@ -2,60 +2,84 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; what it returns is written as Parquet and read
 again as the next stage's documents.  All but the last return the columns of ``documents``.
+Rows are told apart by doc_id and the hash of their text, so null and repeated ids are no
+obstacle; of repeated rows that are equal in both, exact_dedup keeps one.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxograft.llm import exact_dup, near_dup
-from taxograft.llm.common import prepare
+from taxograft.llm import decontaminate, exact_dup, mixing, near_dup, toxicity
+from taxograft.llm.common import prepare, table
+from taxograft.plans.lineage import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``decisions(doc_id)``; a null id matches a null id."""
-    ids = decisions.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+KEY = ["_id", "_none", "_mark"]
+
+
+def _keyed(rows: DataFrame, mark: Column) -> DataFrame:
+    return rows.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull(), "_mark": mark})
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are not in ``rejected(doc_id, mark)``."""
+    gone = _keyed(rejected, F.col("mark")).select(*KEY).distinct()
+    return _keyed(docs, F.xxhash64("text")).join(gone, KEY, "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go."""
+    found = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    return without(docs, found.where("rejected"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return keep(docs, exact_dup.exact_duplicates(docs).where("kept"))
+    kept = _keyed(exact_dup.exact_duplicates(docs).where("kept"), F.col("mark")).select(*KEY)
+    same = _keyed(docs.select(*COLUMNS), F.xxhash64("text")).join(kept, KEY, "left_semi")
+    return same.dropDuplicates(KEY).select(*COLUMNS)  # on the keys of the join: no further shuffle
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate component stays."""
-    return keep(docs, near_dup.near_duplicates(docs).where("kept"))
+    return without(docs, near_dup.near_duplicates(docs).where("NOT kept"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return without(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every remaining document gets its place in the mix."""
+    return mixing.mix(docs)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", exact_dedup),
     ("near_dedup", near_dedup),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
 ]
 
 #: Neither trained stages nor MinHash links are SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder for the results of the stages, beside the checkpoints all executors share."""
-    from taxograft.plans.lineage import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written beside the shared checkpoints and read again."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    top = shared_folder(spark)
+    ensure_checkpoint_dir(spark)
+    top = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         out = f"{top}/{number}_{name}"
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
+        stage(prepare(spark), docs, sf_dir).write.mode("overwrite").parquet(out)
         docs = spark.read.parquet(out)
     return docs

@@ -17,11 +17,12 @@ def normalised(text: Column) -> Column:
 
 
 def exact_duplicates(docs: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFrame:
-    """One row ``(doc_id, keep_id, group_size, kept, text_sha256)`` for each row of ``docs``.
+    """One row ``(doc_id, keep_id, group_size, kept, text_sha256, mark)`` for each row of ``docs``.
 
     Texts are equal when they are identical without blanks.  Of equal texts the row with most
     code points stays, then the one with the smallest doc_id (a null id comes last), then the
-    first row read.  ``kept`` is true for exactly one row of a group.
+    first row read.  ``kept`` is true for exactly one row of a group; ``mark`` is the hash of the
+    original text, by which rows that share an id are told apart.
 
     Every input partition is a run; ``runs`` of them exist.  In each round up to ``fan_in``
     neighbouring runs are merged: equal digests meet, sizes add up and the better row survives,
@@ -31,10 +32,10 @@ def exact_duplicates(docs: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFr
     """
     clean = normalised(F.col("text"))
     rows = cut_lineage(
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .select("doc_id", F.length("text").alias("size"), clean.alias("clean"))
+        docs.select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+        .select("doc_id", "mark", F.length("text").alias("size"), clean.alias("clean"))
         .select(
-            "doc_id", "size",
+            "doc_id", "mark", "size",
             F.unhex(F.sha2("clean", 256)).alias("digest"),
             F.xxhash64("clean").alias("check"), F.length("clean").alias("length"),
         )
@@ -58,7 +59,7 @@ def exact_duplicates(docs: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFr
     )
     return rows.join(winners, key).select(
         "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        F.lower(F.hex("digest")).alias("text_sha256"), "mark",
     )
 
 

@@ -76,8 +76,8 @@ def _cut(texts, width: int):
 
 
 def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """``(doc_id, n, f1, f2, sig, keys)`` of every row."""
-    schema = "doc_id long, n long, f1 long, f2 long, sig array<long>, keys array<long>"
+    """``(doc_id, mark, n, f1, f2, sig, keys)`` of every row."""
+    schema = "doc_id long, mark long, n long, f1 long, f2 long, sig array<long>, keys array<long>"
 
     def run(batches):
         for batch in batches:
@@ -90,12 +90,12 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel().view(np.int64))
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [ids[at:to].cast(pa.int64()), pa.array(n), pa.array(f1), pa.array(f2),
+                    [ids[at:to].cast(pa.int64()), batch.column(2)[at:to], pa.array(n), pa.array(f1), pa.array(f2),
                      flat(pack(low)), flat(band_keys(low, bands, rows))],
-                    names=["doc_id", "n", "f1", "f2", "sig", "keys"],
+                    names=["doc_id", "mark", "n", "f1", "f2", "sig", "keys"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, schema)
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
@@ -197,7 +197,7 @@ def _blocks(threshold: Fraction, minima: int):
 def near_duplicates(
     docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5), bands: int = 26, rows: int = 4
 ) -> DataFrame:
-    """One row ``(doc_id, n_shingles, component_id, class_id, kept)`` for each row of ``docs``.
+    """One row ``(doc_id, n_shingles, component_id, class_id, kept, mark)`` for each row of ``docs``.
 
     Texts are linked when their sets of distinct ``width``-word shingles have a Jaccard
     similarity of at least ``threshold``; ``component_id`` is the smallest doc_id reachable.
@@ -206,8 +206,9 @@ def near_duplicates(
     and is its own component.  ``class_id`` is the smallest doc_id with the same set.
 
     Rows with a null doc_id take part; an id is null only where every doc_id of the group is.
-    ``kept`` marks the rows with ``doc_id = component_id``, so a repeated row stays repeated,
-    and a row with a null id stays only if its whole group has none.  Other columns are ignored.
+    ``kept`` marks the rows with ``doc_id = component_id``, so a repeated row stays repeated; of
+    a component without any id, it marks the first row read.  ``mark`` is the hash of the text,
+    by which rows that share an id are told apart.  Other columns are ignored.
     A link at the threshold escapes all bands with probability ``(1 - t**rows) ** bands``.
     """
     rows_ = cut_lineage(sketch(docs, width, bands, rows).withColumn("uid", F.monotonically_increasing_id()))
@@ -285,11 +286,14 @@ def near_duplicates(
         .withColumn("comp", F.coalesce("comp", "node")).drop("node")
     )
     smallest = members.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    named = members.join(smallest, "comp").drop("comp")
-    out = rows_.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
+    named = members.join(smallest, "comp")
+    out = rows_.select("uid", "doc_id", "mark", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     own = F.col("n") == 0
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        # the label of a component is the smallest row number in it
+        F.when(own, F.lit(True)).when(F.col("component_id").isNull(), F.col("uid") == F.col("comp"))
+        .otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"), "mark",
+    )
