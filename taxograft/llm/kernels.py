@@ -82,19 +82,25 @@ class Words:
         self.ends = np.flatnonzero(last) + 1
         self.text = np.searchsorted(offsets, self.starts, side="right") - 1
         self.per_text = np.bincount(self.text, minlength=self.n_texts)
-        self.hashes = self._hash()
+        self.hashes = self._hash(self.starts, self.ends)
 
-    def _hash(self) -> np.ndarray:
-        out = np.empty(len(self.starts), dtype=np.uint64)
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first ``size`` bytes of the longer words, and their text numbers."""
+        longer = self.ends - self.starts > size
+        starts = self.starts[longer]
+        return self._hash(starts, starts + size) ^ _U(size), self.text[longer]
+
+    def _hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.empty(len(starts), dtype=np.uint64)
         at = 0
         while at < len(out):
-            low = self.starts[at]
-            to = max(at + 1, int(np.searchsorted(self.ends, low + PIECE, side="right")))
-            high = self.ends[to - 1]
+            low = starts[at]
+            to = max(at + 1, int(np.searchsorted(ends, low + PIECE, side="right")))
+            high = ends[to - 1]
             total = np.zeros(high - low + 1, dtype=np.uint64)
             np.cumsum(_VALUE[self.data[low:high]] * _power("up", high - low)[: high - low], out=total[1:])
-            s = self.starts[at:to] - low
-            out[at:to] = (total[self.ends[at:to] - low] - total[s]) * _power("down", high - low + 1)[s]
+            s = starts[at:to] - low
+            out[at:to] = (total[ends[at:to] - low] - total[s]) * _power("down", high - low + 1)[s]
             at = to
         return mix(out)
 

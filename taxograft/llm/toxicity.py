@@ -1,4 +1,4 @@
-"""Toxicity by a classifier chain of linear models over hashed words.
+"""Toxicity by a classifier chain of linear models over hashed words and word beginnings.
 
 Categories are predicted one after the other; the probability of each earlier category is a
 feature of every later model.  For training, those probabilities are out of fold: they come
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxograft.llm import kernels as K
+from taxograft.plans.lineage import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -25,10 +26,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_ROWS = 8_000
 #: Words taken for each category, by the chi-squared statistic of their document counts.
 WORDS = 100
-LEAST_CHI2 = 30.0
+LEAST_CHI2 = 40.0
 LEAST_DOCS = 5
+#: Bytes of the word beginnings that are features besides whole words: stems, whatever the ending.
+BEGINNINGS = (3, 5, 7)
+#: Shingle minima by which copies among the training rows are recognised.
+COPY_KEYS = 4
+#: Probability from which a document is rejected.
+THRESHOLD = 0.4
 FOLDS = 5
-RIDGE = 1.0
+RIDGE = 0.3
 
 
 @dataclass(frozen=True)
@@ -89,13 +96,19 @@ def train(counts: np.ndarray, targets: np.ndarray, folds: np.ndarray) -> list[tu
     return models
 
 
+def _features(words: K.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and word beginnings, and their text numbers."""
+    parts = [(words.hashes, words.text), *(words.prefixes(k) for k in BEGINNINGS)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 def _word_rows(batches, kinds: int):
     """Distinct word hashes of every text, with the targets of the row."""
     for batch in batches:
         targets = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(kinds)], axis=1)
         for at, _, raw, offsets in K.chunks(batch.column(0)):
             words = K.Words(raw, offsets, K.ALNUM)
-            values, offs = K.distinct(words.hashes, words.text, words.n_texts)
+            values, offs = K.distinct(*_features(words), words.n_texts)
             rows = np.repeat(np.arange(at, at + words.n_texts), np.diff(offs))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(values.view(np.int64)), *(pa.array(targets[rows, i].astype(np.int32)) for i in range(kinds))],
@@ -103,18 +116,39 @@ def _word_rows(batches, kinds: int):
             )
 
 
+def _copy_keys(batches):
+    """A few MinHash minima of the shingles of every training row."""
+    for batch in batches:
+        for at, to, raw, offsets in K.chunks(batch.column(1)):
+            words = K.Words(raw, offsets, K.ALNUM)
+            low = K.minima(*K.distinct(*K.shingles(words, 3), words.n_texts), COPY_KEYS).astype(np.int64)
+            low += np.arange(COPY_KEYS, dtype=np.int64) << 32
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, low.size + 1, COPY_KEYS, dtype=np.int32)), pa.array(low.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], lists], names=["row", "keys"])
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """Training rows that share no shingle minimum with an earlier one: a text that was copied
+    many times, with its label, would make its own words look telling."""
+    keys = sample.select("row", "text").mapInArrow(_copy_keys, "row long, keys array<long>").select("row", F.explode("keys").alias("key"))
+    first = keys.groupBy("key").agg(F.min("row").alias("first"))
+    late = keys.join(first, "key").where("row > first").select("row").distinct()
+    return sample.join(late, "row", "left_anti")
+
+
 def _counts(words: K.Words, vocabulary: np.ndarray) -> np.ndarray:
     """Occurrences of each vocabulary word in each text."""
     size = len(vocabulary)
     if not size or not len(words.hashes):
         return np.zeros((words.n_texts, size))
-    p = np.minimum(np.searchsorted(vocabulary, words.hashes), size - 1)
-    hit = vocabulary[p] == words.hashes
-    return np.bincount(words.text[hit] * size + p[hit], minlength=words.n_texts * size).reshape(-1, size)
+    hashes, text = _features(words)
+    p = np.minimum(np.searchsorted(vocabulary, hashes), size - 1)
+    hit = vocabulary[p] == hashes
+    return np.bincount(text[hit] * size + p[hit], minlength=words.n_texts * size).reshape(-1, size)
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_rows: int = MAX_ROWS) -> Chain:
-    """Train the chain on at most ``max_rows`` labelled rows.
+    """Train the chain on at most ``max_rows`` labelled rows, copies among them left out.
 
     ``categories`` names 0/1 expressions over the columns of ``labels``, in chain order; a
     null counts as 0.  Labels of one doc_id are merged by their maximum; rows with a null id
@@ -127,7 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_r
     present = docs.select(F.col("doc_id").alias("_id")).distinct()
     chosen = known.join(present, "_id", "left_semi").orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(max_rows)
     # at most max_rows rows of a few integers: bounded whatever the size of the tables
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id")
+    drawn = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id")
+    drawn = cut_lineage(drawn.withColumn("row", F.monotonically_increasing_id()))
+    sample = cut_lineage(without_copies(drawn))
     ys = [f"y{i}" for i in range(len(kinds))]
     n_kinds = len(kinds)
     by_word = (
@@ -171,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_r
     return Chain(tuple(kinds), words, tuple(train(counts, targets, rows["fold"].to_numpy())))
 
 
-def score(docs: DataFrame, chain: Chain, verdict: str, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, chain: Chain, verdict: str, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, p_<category>..., rejected, mark)`` for each row of ``docs``.
 
     ``rejected`` says that the probability of the category ``verdict`` reaches ``threshold``.
@@ -204,6 +240,6 @@ CATEGORY_SQL = {
 }
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Train on the labelled rows of ``docs`` and score every row; see :func:`score`."""
     return score(docs, fit(docs, labels, {k: F.expr(v) for k, v in CATEGORY_SQL.items()}), "toxic", threshold)
