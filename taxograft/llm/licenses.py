@@ -131,7 +131,6 @@ def rules() -> list[Rule]:
             out.append(Rule(first, f"{ids} ?v?{short}(?: 0)?\\+?{later}", f"{label}-{number[v]}+", 0))
         out.append(Rule("spdx", f"spdx license identifier {ids}", label, 1))
         out.append(Rule(key, title, label, 2))
-        out.append(Rule("licensed", f"licensed under the (?:terms of the )?{title}", label, 2))
         out.append(Rule(ids.split(" ")[0], f"{ids} licen[sc]ed?", label, 2))
     for short, long in CREATIVE:
         words = short.replace("-", " ")

@@ -47,23 +47,32 @@ def frame(parts: list[int]) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def phases(blocks: list[int], parts: list[int]) -> list[tuple[int, int, int, int, int, list[tuple[int, int, int]]]]:
-    """``(source, first block, frames, first slot, Q, slots of a frame)`` until all blocks are dealt.
+Slots = list[tuple[int, int, int]]
 
-    A phase ends when a source cannot fill its parts of another frame; one shorter frame then
-    deals its rest, and the weights of the others are carried on among themselves.
+
+def phases(blocks: list[int], parts: list[int]) -> list[tuple[int, int, int, int, int, float, Slots]]:
+    """``(source, first block, frames, first slot, slots of a frame, weight, own slots)`` until
+    all blocks are dealt.
+
+    Whole frames are dealt while every source can fill them; the next frame is cut before the
+    slot that a source cannot fill.  That source has run out then and leaves, and the weights of
+    the others are carried on among themselves.
     """
     left, done, start = list(blocks), [0] * len(blocks), 0
     out = []
     while active := [s for s, n in enumerate(left) if n > 0]:
         frames = min(left[s] // parts[s] for s in active)
-        share = [parts[s] if frames else min(parts[s], left[s]) for s in active]
-        frames = max(frames, 1)
-        total = sum(share)
-        for s, p, slots in zip(active, share, frame(share), strict=True):
-            out.append((s, done[s], frames, start, total, slots))
-            done[s] += frames * p
-            left[s] -= frames * p
+        dealt = frame([parts[s] for s in active])
+        total = whole = sum(parts[s] for s in active)
+        if not frames:
+            total = min(slots[left[s]][0] for s, slots in zip(active, dealt, strict=True) if left[s] < parts[s])
+            frames = 1
+        for s, slots in zip(active, dealt, strict=True):
+            own = [x for x in slots if x[0] < total]
+            if own:
+                out.append((s, done[s], frames, start, total, parts[s] / whole, own))
+            done[s] += frames * len(own)
+            left[s] -= frames * len(own)
         start += frames * total
     return out
 
@@ -97,13 +106,13 @@ def mix(
     parts = [max(1, round(PARTS * w / sum(target))) for w in target]
     plan = phases([-(-r["n"] // block) for r in table], parts)
     schema = (
-        "source string, first long, first_block long, last_block long, start long, total int, parts int, "
+        "source string, first long, first_block long, last_block long, start long, total int, parts int, weight double, "
         "slots array<struct<slot:int,release:int,deadline:int>>"
     )
     deals = docs.sparkSession.createDataFrame(
         [
-            (table[s]["source"], table[s]["first"], done, done + frames * len(slots), start, total, len(slots), slots)
-            for s, done, frames, start, total, slots in plan
+            (table[s]["source"], table[s]["first"], done, done + frames * len(slots), start, total, len(slots), weight, slots)
+            for s, done, frames, start, total, weight, slots in plan
         ],
         schema,
     )
@@ -122,5 +131,5 @@ def mix(
     return joined.select(
         "doc_id", "source", "block", "place",
         *((base + deal[k]).cast("long").alias(k) for k in ("slot", "release", "deadline")),
-        (F.col("parts") / F.col("total")).alias("weight"),
+        "weight",
     )
