@@ -1,8 +1,9 @@
 """URL filters: explicit rules, else an empirical-Bayes reputation of the host.
 
 Labelled page outcomes (bad or not) are counted by host, registered domain and public suffix.
-Each level gets a beta prior whose mean is the posterior mean of the level above and whose
-strength is estimated from how much the rates of that level vary more than binomial noise.  A
+Each level gets a beta prior whose mean is the posterior mean of the level above, the member's
+own labels left out so that none counts twice, and whose strength is estimated from how much
+the rates of that level vary more than binomial noise.  A
 host is blocked when the lower bound of its bad rate, under its posterior, passes the limit;
 a host without labels has the posterior of its domain, suffix or of all pages.
 """
@@ -28,7 +29,9 @@ TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au"
               "co.nz", "co.za", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.kr", "com.ar", "com.sg")
 #: Highest bad rate that is let through, and standard deviations of the bound.
 LIMIT = 0.3
-DEVIATIONS = 1.0
+DEVIATIONS = 1.645
+#: Bad rate taken for granted before any label is seen, and the number of labels it is worth.
+PRIOR_BAD, PRIOR_LABELS = 0.05, 2
 #: Bounds of a level's intraclass correlation: strengths from 1 to 10 000 labels.
 LEAST_RHO, MOST_RHO = 1e-4, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,12 +96,19 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     total = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = total(hosts, "domain", "suffix")
     suffixes = total(domains, "suffix")
-    everything = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("mean"))
-    by_suffix = _shrunk(suffixes.crossJoin(F.broadcast(everything)))  # one row of one number
-    by_domain = _shrunk(domains.join(by_suffix.select("suffix", F.col("post").alias("mean")), "suffix"))
-    return _shrunk(hosts.join(by_domain.select("domain", F.col("post").alias("mean")), "domain")).select(
-        "host", "n", "bad", "a", "b", "post"
-    )
+    bad, n = F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
+    a = bad + F.lit(PRIOR_BAD * PRIOR_LABELS)
+    everything = hosts.agg(a.alias("pa"), (n + PRIOR_LABELS - a).alias("pb"))
+    # the posterior of the level above, without the labels of the row itself
+    rest = ((F.col("pa") - F.col("bad")) / (F.col("pa") + F.col("pb") - F.col("n"))).alias("mean")
+
+    def under(rows: DataFrame) -> DataFrame:
+        return _shrunk(rows.select("*", rest).drop("pa", "pb"))
+
+    up = lambda df, key: df.select(key, F.col("a").alias("pa"), F.col("b").alias("pb"))
+    by_suffix = under(suffixes.crossJoin(F.broadcast(everything)))  # one row of two numbers
+    by_domain = under(domains.join(up(by_suffix, "suffix"), "suffix"))
+    return under(hosts.join(up(by_domain, "domain"), "domain")).select("host", "n", "bad", "a", "b", "post")
 
 
 def filter_urls(
@@ -164,16 +174,16 @@ WITH p AS (
     CASE WHEN two IN {TWO_LABELS} THEN two ELSE string_split(bare, '.')[-1] END AS suffix FROM h1
 ), d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL
 ), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL
-), g AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS mean FROM h
-), sm AS (SELECT s.*, mean, greatest(1e-6, least(1 - 1e-6, mean)) AS m FROM s, g
+), g AS (SELECT coalesce(sum(bad), 0) + {PRIOR_BAD * PRIOR_LABELS} AS pa, coalesce(sum(n), 0) + {PRIOR_LABELS} AS pn FROM h
+), sm AS (SELECT *, greatest(1e-6, least(1 - 1e-6, mean)) AS m FROM (SELECT s.*, (pa - bad) / (pn - n) AS mean FROM s, g)
 ), sr AS (SELECT 1 / greatest({LEAST_RHO}, least({MOST_RHO}, coalesce(CASE WHEN sum(n - 1) > 0
             THEN (sum(pow(bad / n - m, 2) * n / (m * (1 - m))) - count(*)) / sum(n - 1) END, {LEAST_RHO}))) - 1 AS k FROM sm WHERE n > 0
-), sp AS (SELECT suffix, (k * mean + bad) / (k + n) AS mean FROM sm, sr
-), dm AS (SELECT d.*, mean, greatest(1e-6, least(1 - 1e-6, mean)) AS m FROM d JOIN sp USING (suffix)
+), sp AS (SELECT suffix, k * mean + bad AS pa, k + n AS pn FROM sm, sr
+), dm AS (SELECT *, greatest(1e-6, least(1 - 1e-6, mean)) AS m FROM (SELECT d.*, (pa - bad) / (pn - n) AS mean FROM d JOIN sp USING (suffix))
 ), dr AS (SELECT 1 / greatest({LEAST_RHO}, least({MOST_RHO}, coalesce(CASE WHEN sum(n - 1) > 0
             THEN (sum(pow(bad / n - m, 2) * n / (m * (1 - m))) - count(*)) / sum(n - 1) END, {LEAST_RHO}))) - 1 AS k FROM dm WHERE n > 0
-), dp AS (SELECT domain, (k * mean + bad) / (k + n) AS mean FROM dm, dr
-), hm AS (SELECT h.*, mean, greatest(1e-6, least(1 - 1e-6, mean)) AS m FROM h JOIN dp USING (domain)
+), dp AS (SELECT domain, k * mean + bad AS pa, k + n AS pn FROM dm, dr
+), hm AS (SELECT *, greatest(1e-6, least(1 - 1e-6, mean)) AS m FROM (SELECT h.*, (pa - bad) / (pn - n) AS mean FROM h JOIN dp USING (domain))
 ), hr AS (SELECT 1 / greatest({LEAST_RHO}, least({MOST_RHO}, coalesce(CASE WHEN sum(n - 1) > 0
             THEN (sum(pow(bad / n - m, 2) * n / (m * (1 - m))) - count(*)) / sum(n - 1) END, {LEAST_RHO}))) - 1 AS k FROM hm WHERE n > 0
 ), hp AS (SELECT host, k + n AS total, (k * mean + bad) / (k + n) AS mean FROM hm, hr
