@@ -43,7 +43,7 @@ def to_iri(col: Column | str, prefix: str) -> Column:
 def to_id(col: Column | str, prefix: str) -> Column:
     """Strip a mandatory prefix."""
     c = _c(col)
-    return F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 1_000_000)).when(
+    return F.when(c.startswith(prefix), c.substr(F.lit(len(prefix) + 1), F.length(c))).when(
         c.isNotNull(), F.raise_error(F.concat(F.lit("id without the expected prefix: "), c))
     )
 
@@ -88,4 +88,4 @@ def complex_parts(
 
 def numeric_id(col: Column | str) -> Column:
     """The number behind a one-letter id prefix, 0 where there is none."""
-    return F.coalesce(F.substring(_c(col), 2, 1_000_000).try_cast("long"), F.lit(0))
+    return F.coalesce(_c(col).substr(F.lit(2), F.length(_c(col))).try_cast("long"), F.lit(0))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ALL = 2_000_000_000
-
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -76,7 +74,7 @@ def first_sentences(lines: Column | str, n: int = 10) -> Column:
 
     The first line is the title and is skipped, as are section headings and blanks.
     """
-    body = F.slice(_c(lines), 2, ALL)
+    body = F.slice(_c(lines), F.lit(2), F.size(_c(lines)))
     kept = F.filter(body, lambda x: ~x.startswith("Section::") & (x != ""))
     return F.slice(sentences(F.array_join(F.transform(kept, lambda x: F.trim(x)), " ")), 1, n)
 
@@ -137,7 +135,7 @@ def edge_candidate_text(
 
 def pair_sequence(context: Column, candidate: Column, n: int) -> Column:
     """Context followed by the candidate without its first token, cut to ``n``."""
-    return first_n(F.concat(context, F.slice(candidate, 2, ALL)), n)
+    return first_n(F.concat(context, F.slice(candidate, F.lit(2), F.size(candidate))), n)
 
 
 def truncate_pair(a: Column, b: Column, n: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxograft.functions.ids import is_complex
 from taxograft.model import Sentinels
 from taxograft.plans.lineage import cut_lineage
 from taxograft.plans.order import top_k
@@ -18,7 +19,8 @@ def enrich_concepts(seeds: DataFrame, isa: DataFrame, pool_size: int, names: Sen
     """Concept pool ``(mention_id, pos, id)``: the seeds, then their neighbours, then null.
 
     ``seeds(mention_id, rank, id)``.  Seed by seed the children and then the parents are
-    added until the pool is full; the null node always closes the pool.
+    added until the pool is full; the null node always closes the pool.  A complex seed stays
+    in the pool but has no neighbours.
     """
     children = isa.select(F.col("parent_id").alias("id"), F.lit(0).alias("side"), F.col("child_id").alias("next")).distinct()
     parents = isa.select(F.col("child_id").alias("id"), F.lit(1).alias("side"), F.col("parent_id").alias("next")).distinct()
@@ -28,7 +30,8 @@ def enrich_concepts(seeds: DataFrame, isa: DataFrame, pool_size: int, names: Sen
         top_k(children.unionByName(parents), ["id", "side"], [F.asc("next")], 2 * pool_size, "_n").drop("_n")
     )
     start = seeds.select("mention_id", "rank", F.lit(-1).alias("side"), "id")
-    added = balanced_join(seeds.select("mention_id", "rank", "id"), around, "id").select(
+    simple = seeds.where(~is_complex("id")).select("mention_id", "rank", "id")
+    added = balanced_join(simple, around, "id").select(
         "mention_id", "rank", "side", F.col("next").alias("id")
     )
     first = F.struct(F.when(F.col("side") >= 0, 1).otherwise(0).alias("late"), "rank", "side")
@@ -46,10 +49,10 @@ def form_edges(seeds: DataFrame, isa: DataFrame, names: Sentinels = NAMES) -> Da
     """Edges ``(mention_id, parent_idx, child_idx)`` around each seed concept C.
 
     ``<C, null>``, ``<C+, C>``, ``<C, C->`` and ``<C+, C->`` for its parents C+ and
-    children C-.  What a concept contributes does not depend on the mention, so the edges
+    children C-; complex seeds form none.  What a concept contributes does not depend on the mention, so the edges
     are formed once per distinct concept.
     """
-    s = seeds.select("mention_id", "id").distinct()
+    s = seeds.where(~is_complex("id")).select("mention_id", "id").distinct()
     ids = cut_lineage(s.select("id").distinct())
     up = cut_lineage(isa.select(F.col("child_id").alias("id"), F.col("parent_id").alias("parent_idx")).distinct().join(ids, "id", "left_semi"))
     down = cut_lineage(isa.select(F.col("parent_id").alias("id"), F.col("child_id").alias("child_idx")).distinct().join(ids, "id", "left_semi"))

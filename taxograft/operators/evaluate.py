@@ -126,24 +126,39 @@ def edge_recall(
 ) -> DataFrame:
     """Any/all edge recall per leaf, non-leaf and all mentions.
 
-    A mention is a leaf when all its gold children are the null node.  ``targets`` (gold
-    widened by some hops) decides ``any``; ``all`` always needs the gold edges themselves.
+    A mention is a leaf when any of its gold children is the null node.  The leaf slice asks
+    for the leaf edges of such mentions only, the other slice for the (inner) edges of the
+    others; the overall rates ask for every edge.  ``targets`` (gold widened by some hops)
+    decides ``any``; ``all`` always needs the gold edges themselves.
     ``n_mentions``, a one-row table, counts the mentions before those without gold were
     skipped; the rates refer to it for the overall slice when given.
     """
     key = ["mention_id", "parent_idx", "child_idx"]
     seen = ranked.select(*key).distinct().withColumn("_hit", F.lit(True))
     exact = gold.select(*key).distinct().join(seen, key, "left").fillna(False, ["_hit"])
+    leaf = F.col("child_idx") == null
     per = exact.groupBy("mention_id").agg(
-        F.bool_and(F.col("child_idx") == null).alias("is_leaf"), F.bool_or("_hit").alias("any"), F.bool_and("_hit").alias("all")
+        F.bool_or(leaf).alias("is_leaf"), F.bool_or("_hit").alias("any"), F.bool_and("_hit").alias("all"),
+        F.bool_or(F.col("_hit") & leaf).alias("any_leaf"), F.bool_or(F.col("_hit") & ~leaf).alias("any_inner"),
+        F.bool_and(F.col("_hit") | ~leaf).alias("all_leaf"),
     )
     if targets is not None:
-        loose = targets.select(*key).distinct().join(seen, key, "left_semi").select("mention_id").distinct()
-        per = per.join(loose.withColumn("_any", F.lit(True)), "mention_id", "left").withColumn(
-            "any", F.col("any") | F.coalesce("_any", F.lit(False))
-        ).drop("_any")
-    hits = lambda c: F.sum(F.col(c).cast("int")).alias(f"n_{c}")
-    out = per.rollup("is_leaf").agg(F.count(F.lit(1)).alias("n_evaluated"), hits("any"), hits("all"))
+        loose = targets.select(*key).distinct().join(seen, key, "left_semi").groupBy("mention_id").agg(
+            F.bool_or(leaf).alias("_leaf"), F.bool_or(~leaf).alias("_inner")
+        )
+        no = F.lit(False)
+        per = per.join(loose, "mention_id", "left").withColumns({
+            "any": F.col("any") | F.col("_leaf").isNotNull(),
+            "any_leaf": F.col("any_leaf") | F.coalesce("_leaf", no), "any_inner": F.col("any_inner") | F.coalesce("_inner", no),
+        })
+    hits = lambda c, n: F.sum(c.cast("int")).alias(n)
+    pick = lambda c: F.when(F.col("is_leaf"), F.col(f"{c}_leaf"))
+    count = F.count(F.lit(1)).alias("n_evaluated")
+    by_kind = per.groupBy("is_leaf").agg(
+        count, hits(pick("any").otherwise(F.col("any_inner")), "n_any"), hits(pick("all").otherwise(F.col("all")), "n_all")
+    )
+    whole = per.agg(count, hits(F.col("any"), "n_any"), hits(F.col("all"), "n_all"))
+    out = by_kind.unionByName(whole.withColumn("is_leaf", F.lit(None).cast("boolean")))
     if n_mentions is None:
         total = F.col("n_evaluated")
     else:
@@ -255,13 +270,14 @@ def within_top_k(samples: DataFrame, k: int, col: str = "position") -> DataFrame
 
 def linking_prf(pred: DataFrame, gold: DataFrame, nil: str = "NIL", detected: DataFrame | None = None) -> DataFrame:
     """Precision, recall and F1 of ``(mention_id, entity)`` links; unseen predictions do not
-    count.  With ``detected`` only detected mentions enter the recall."""
-    if detected is not None:
-        gold = gold.join(detected.select("mention_id").distinct(), "mention_id", "left_semi")
+    count.  With ``detected``, the mentions a detector found, precision refers to these without
+    the unseen predictions; recall refers to all gold mentions either way."""
     made = pred.where(F.col("entity") != nil)
     right = made.join(gold.select("mention_id", "entity"), ["mention_id", "entity"], "left_semi")
     counts = right.agg(F.count(F.lit(1)).alias("n_correct")).withColumn(
-        "n_pred", made.agg(F.count(F.lit(1)).alias("n")).scalar()
+        "n_pred", made.agg(F.count(F.lit(1)).alias("n")).scalar() if detected is None else
+        detected.agg(F.count(F.lit(1)).alias("n")).scalar()
+        - pred.where(F.col("entity") == nil).agg(F.count(F.lit(1)).alias("n")).scalar()
     ).withColumn("n_gold", gold.agg(F.count(F.lit(1)).alias("n")).scalar())
     rates = counts.withColumn("precision", ratio("n_correct", "n_pred")).withColumn("recall", ratio("n_correct", "n_gold"))
     return rates.withColumn("f1", f1("precision", "recall"))
@@ -328,9 +344,9 @@ def macro(ml: DataFrame) -> DataFrame:
 
 def micro(ml: DataFrame, group: Column | str | None = None) -> DataFrame:
     """Accuracy, precision, recall and F1 over all decisions, optionally per label group."""
-    base = ml.agg(*_counts([])) if group is None else ml.groupBy(
-        (F.col(group) if isinstance(group, str) else group).alias("label_group")
-    ).agg(*_counts([]))
+    base = ml.agg(*_counts([])) if group is None else ml.withColumn(
+        "label_group", F.col(group) if isinstance(group, str) else group
+    ).where("label_group IS NOT NULL").groupBy("label_group").agg(*_counts([]))
     out = base.withColumn("acc", ratio("tp", "union")).withColumn("prec", ratio("tp", "pred")).withColumn("rec", ratio("tp", "pos"))
     out = out.withColumn("f1", ratio(2 * F.col("prec") * F.col("rec"), F.col("prec") + F.col("rec")))
     return out.drop("tp", "union", "pred", "pos")
@@ -339,10 +355,15 @@ def micro(ml: DataFrame, group: Column | str | None = None) -> DataFrame:
 def code_family(col: Column | str) -> Column:
     """Which of two code families a label code belongs to, by the place of its dot.
 
-    Procedure codes have the dot after two characters, diagnosis codes after more.
+    Diagnosis codes have the dot after three characters, or after four behind an ``E``;
+    procedure codes after two.  A code without a dot is a diagnosis if it ends where the dot
+    would be.  Any other code belongs to neither: null.
     """
     c = F.col(col) if isinstance(col, str) else col
-    return F.when(F.locate(".", c) == 3, "procedure").otherwise("diagnosis")
+    dot = F.locate(".", c)
+    before = F.when(dot > 0, dot - 1).otherwise(F.length(c))
+    external = c.startswith("E") & (before == 4)
+    return F.when((before == 3) | external, "diagnosis").when((dot > 0) & (before == 2), "procedure")
 
 
 def instance_average(ml: DataFrame) -> DataFrame:
@@ -369,14 +390,14 @@ def at_k(ml: DataFrame, ks: Sequence[int] = (1, 5, 8, 15)) -> DataFrame:
 
 
 def insertion(ml: DataFrame) -> DataFrame:
-    """Share of instances with any / all of their labels predicted.
+    """Share of instances with any label predicted, and with exactly their labels predicted.
 
-    ``complete`` is false when some gold label was not offered; such an instance cannot
-    have all its labels predicted.
+    ``all`` needs equal sets that are not empty.  ``complete`` is false when some gold label
+    was not offered; such an instance cannot have all its labels predicted.
     """
     y, p = F.col("y") == 1, F.col("yhat") == 1
     per = ml.groupBy("row_id").agg(
-        F.bool_or(y & p).alias("any"), (F.bool_and(~y | p) & F.bool_and("complete")).alias("all")
+        F.bool_or(y & p).alias("any"), (F.bool_and(y == p) & F.bool_or(y) & F.bool_and("complete")).alias("all")
     )
     return per.agg(
         F.avg(F.col("any").cast("double")).alias("any"), F.avg(F.col("all").cast("double")).alias("all"),
@@ -385,7 +406,8 @@ def insertion(ml: DataFrame) -> DataFrame:
 
 
 def insertion_at(ml: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    """Any / all insertion rates among the ``k`` best-scored labels."""
+    """Any / all insertion rates among the ``k`` best-scored labels; an instance without labels
+    counts for neither."""
     best = top_k(ml, "row_id", [F.desc("score"), F.asc("label")], max(ks))
     hits = best.groupBy("row_id").agg(
         *[F.count_if((F.col("rank") <= k) & (F.col("y") == 1)).alias(f"h_{k}") for k in ks]
@@ -395,7 +417,7 @@ def insertion_at(ml: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
     aggs = []
     for k in ks:
         aggs.append(F.avg((F.col(f"h_{k}") > 0).cast("double")).alias(f"any_{k}"))
-        aggs.append(F.avg(((F.col(f"h_{k}") == F.col("pos")) & F.col("complete")).cast("double")).alias(f"all_{k}"))
+        aggs.append(F.avg(((F.col(f"h_{k}") == F.col("pos")) & (F.col("pos") > 0) & F.col("complete")).cast("double")).alias(f"all_{k}"))
     return _long(joined.agg(*aggs), ks, ["any", "all"], [])
 
 

@@ -89,16 +89,19 @@ def answer_metrics(answers: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> D
 
     ``answers`` has ``pred`` (ordered option numbers) and ``gold`` arrays, one row per
     asked mention; ``n_mentions`` is the denominator of every rate.  Rows with a null
-    ``pred`` (not answered) stay in it.
+    ``pred`` (not answered) stay in it, and so do rows whose gold is ``-1`` or empty, which no
+    answer hits.  ``mean_answers`` is taken over the answered rows with another gold only.
     """
     pred = F.coalesce(F.col("pred"), F.array().cast("array<string>"))
     gold = F.col("gold")
+    usable = (F.size(gold) > 0) & ~gold.eqNullSafe(F.array(F.lit("-1")))
+    usable = F.coalesce(usable, F.lit(False))
     cols = []
     for k in (*ks, None):
         cut = pred if k is None else F.slice(pred, 1, k)
         name = "full" if k is None else str(k)
-        cols.append(F.avg(F.arrays_overlap(cut, gold).cast("double")).alias(f"any_{name}"))
-        cols.append(F.avg((F.size(F.array_except(gold, cut)) == 0).cast("double")).alias(f"all_{name}"))
+        cols.append(F.avg((usable & F.coalesce(F.arrays_overlap(cut, gold), F.lit(False))).cast("double")).alias(f"any_{name}"))
+        cols.append(F.avg((usable & (F.size(F.array_except(gold, cut)) == 0)).cast("double")).alias(f"all_{name}"))
     return answers.agg(
-        F.count(F.lit(1)).alias("n_mentions"), F.avg(F.size(pred)).alias("mean_answers"), *cols
+        F.count(F.lit(1)).alias("n_mentions"), F.avg(F.when(usable & (F.size(pred) > 0), F.size(pred))).alias("mean_answers"), *cols
     )

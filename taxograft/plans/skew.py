@@ -12,10 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hot keys are broadcast, so their number is bounded; colder keys stay unsalted.
-MAX_HOT_KEYS = 1_000
 ROWS_PER_TASK = 1_000_000
-MAX_SALTS = 4_096
+#: Hot keys up to which they are broadcast; more of them are joined like any other table.
+SENT_KEYS = 10_000
 
 
 def hot_keys(
@@ -25,7 +24,7 @@ def hot_keys(
     rows_per_task: int = ROWS_PER_TASK,
     both_sides: bool = False,
 ) -> DataFrame:
-    """At most ``MAX_HOT_KEYS`` rows ``(keys, _a, _b)``: the keys worth splitting.
+    """Rows ``(keys, _a, _b)`` of all keys worth splitting.
 
     ``_a`` is the number of slices of the left rows, ``_b`` that of the right ones.  With
     ``right`` given, the weight of a key is the number of joined rows it makes, and with
@@ -38,13 +37,11 @@ def hot_keys(
     else:
         weight = weight.withColumn("_m", F.lit(1))
     total = F.col("_n") * F.col("_m")
-    slices = F.least(F.ceil(total / F.lit(rows_per_task)), F.lit(MAX_SALTS))
+    slices = F.ceil(total / F.lit(rows_per_task))
     a = F.least(slices, F.col("_n"))
     b = F.ceil(slices / a) if both_sides else F.lit(1)
     return (
         weight.where(total > rows_per_task)
-        .orderBy(total.desc(), *keys)
-        .limit(MAX_HOT_KEYS)
         .select(*keys, a.cast("long").alias("_a"), b.cast("long").alias("_b"))
     )
 
@@ -69,7 +66,12 @@ def balanced_join(
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"balanced_join cannot do {how!r}")
     both = how == "inner" and fanout
-    hot = F.broadcast(hot_keys(left, right if fanout else None, keys, rows_per_task, both))
+    hot = hot_keys(left, right if fanout else None, keys, rows_per_task, both)
+    few = hot.limit(SENT_KEYS + 1).collect()  # a bounded number of keys and two counts
+    if not few:
+        return left.join(right, keys, how)
+    if len(few) <= SENT_KEYS:
+        hot = F.broadcast(left.sparkSession.createDataFrame(few, hot.schema))
     zero = F.lit(0).cast("long")
 
     def slot(count: str, by: Sequence[str]):

@@ -154,8 +154,9 @@ def number_tokens(lines: DataFrame) -> DataFrame:
     marked = lines.withColumns({"_doc": is_doc, "_blank": blank})
     x = running_sum(marked, ["file"], "line_no", F.col("_doc").cast("long"), "doc_no")
     x = running_sum(x, ["file"], "line_no", F.col("_blank").cast("long"), "_blanks")
+    second = F.get(F.split("value", r"\s+"), F.lit(1))
     opening = F.struct(
-        F.substring(F.get(F.split("value", r"\s+"), F.lit(1)), 2, 1_000_000).alias("name"), F.col("_blanks").alias("base")
+        second.substr(F.lit(2), F.length(second)).alias("name"), F.col("_blanks").alias("base")
     )
     x = last_seen(x, ["file"], "line_no", F.when(F.col("_doc"), opening), "_open")
     x = last_seen(x, ["file"], "line_no", F.when(F.col("_doc") | F.col("_blank"), F.col("line_no")), "_mark")
@@ -192,7 +193,7 @@ def parse_candidates_tsv(lines: DataFrame) -> DataFrame:
     """Mentions with pre-generated candidates ``(title, prior)`` and the gold title."""
     p = F.split(F.col("value"), "\t")
     title = lambda parts, skip: F.replace(
-        F.replace(F.array_join(F.slice(parts, skip + 1, 1_000_000), ","), F.lit('"'), F.lit("%22")), F.lit(" "), F.lit("_")
+        F.replace(F.array_join(F.slice(parts, F.lit(skip + 1), F.greatest(F.size(parts) - skip, F.lit(0))), ","), F.lit('"'), F.lit("%22")), F.lit(" "), F.lit("_")
     )
     tail = F.when(F.get(p, F.lit(6)) == "EMPTYCAND", F.array().cast("array<string>")).otherwise(
         F.slice(p, F.lit(7), F.greatest(F.size(p) - 8, F.lit(0)))

@@ -12,7 +12,10 @@ from taxograft.workload.search import _TITLE_TF, _TOK
 derive("seed", """
 SELECT mention_id, CAST(rank AS INT) AS rank, 'S' || cand_id AS id FROM ranked_cand WHERE rank <= 3
 UNION ALL SELECT p_partkey, 4, 'P' || p_partkey FROM part
+UNION ALL SELECT p_partkey, 5, '[EX.](role)(S1)' FROM part WHERE p_size > 40
 """)
+# Complex seeds are not expanded.
+derive("simple_seed", "SELECT * FROM seed WHERE NOT contains(id, '[')")
 derive("core_closed", """
 SELECT parent_id AS p, child_id AS c FROM isa_core
 UNION SELECT 'THING', id FROM concept WHERE id NOT IN (SELECT child_id FROM isa_core)
@@ -31,7 +34,7 @@ _FORM = """SELECT DISTINCT mention_id, parent_idx, child_idx FROM (
   UNION ALL SELECT mention_id, u.parent_id, d.child_id FROM {s} JOIN {g} u ON u.child_id = id JOIN {g} d ON d.parent_id = id)"""
 
 
-@query("form_edges", _FORM.format(s="seed", g="isa_core"))
+@query("form_edges", _FORM.format(s="simple_seed", g="isa_core"))
 def _(t):
     return N.form_edges(t.seed, t.isa_core)
 
@@ -39,7 +42,7 @@ def _(t):
 @query("enrich_concepts", """
 WITH nb AS (SELECT parent_id AS id, 0 AS side, child_id AS nxt FROM isa UNION SELECT child_id, 1, parent_id FROM isa),
 pool AS (SELECT mention_id, id, 0 AS late, rank, -1 AS side FROM seed
-  UNION ALL SELECT s.mention_id, nxt, 1, rank, nb.side FROM seed s JOIN nb ON nb.id = s.id),
+  UNION ALL SELECT s.mention_id, nxt, 1, rank, nb.side FROM simple_seed s JOIN nb ON nb.id = s.id),
 o AS (SELECT mention_id, id, min((late, rank, side)) AS o FROM pool GROUP BY mention_id, id),
 r AS (SELECT mention_id, id, row_number() OVER (PARTITION BY mention_id ORDER BY o, id) AS pos FROM o)
 SELECT mention_id, pos, id FROM r WHERE pos <= 20 UNION ALL SELECT mention_id, max(pos) + 1, 'NULL' FROM r WHERE pos <= 20 GROUP BY mention_id""")
@@ -110,7 +113,7 @@ def _(t):
 
 
 @query("assume_leaf", """
-WITH f AS (""" + _FORM.format(s="seed", g="isa_core") + """),
+WITH f AS (""" + _FORM.format(s="simple_seed", g="isa_core") + """),
 t AS (SELECT mention_id, id NOT IN (SELECT parent_id FROM isa_core) AS leaf FROM seed WHERE rank = 1)
 SELECT f.mention_id, parent_idx, child_idx, CAST(CASE WHEN child_idx <> 'NULL' THEN 0.5 WHEN leaf THEN 1000.0 ELSE -1000.0 END AS DOUBLE) AS score
 FROM f LEFT JOIN t ON t.mention_id = f.mention_id""")

@@ -189,7 +189,7 @@ SELECT cui || '||' || string_agg(name, '|' ORDER BY line_no) AS value FROM name_
 def _(t):
     # a concept has three names here
     g = t.name_row.groupBy(F.col("cui").alias("id")).agg(F.array_sort(F.collect_list(F.struct("line_no", "name"))).alias("n"))
-    return K.to_sieve(g.select("id", F.get("n.name", F.lit(0)).alias("name"), F.slice("n.name", 2, 10).alias("synonyms")))
+    return K.to_sieve(g.select("id", F.get("n.name", F.lit(0)).alias("name"), F.slice("n.name", F.lit(2), F.size("n")).alias("synonyms")))
 
 
 @query("keep_list", "SELECT DISTINCT 'http://example.org/' || code AS value FROM name_row WHERE source = 'SRC_A' AND lang = 'ENG'")
@@ -239,7 +239,7 @@ def _conll(t):
     rows = t.conversations.select("conv_id", "turn", w.alias("w"))
     tok = rows.select("conv_id", "turn", F.posexplode(F.transform("w", line)).alias("i", "value"))
     start = rows.where("turn = 0").select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit(0).alias("i"), F.concat(F.lit("-DOCSTART- ("), "conv_id").alias("value"))
-    end = rows.select("conv_id", "turn", F.lit(1_000_000).alias("i"), F.lit("").alias("value"))
+    end = rows.select("conv_id", "turn", F.size("w").alias("i"), F.lit("").alias("value"))
     lines = number_rows(tok.unionByName(start).unionByName(end), ["conv_id", "turn", "i"], "line_no")
     return lines.select(F.lit("all").alias("file"), "line_no", "value")
 

@@ -67,14 +67,16 @@ def _(t):
     return E.concept_recall(pool, t.gold_edge)
 
 
-# Large parts are leaves, the others have inner gold edges only.
+# Large parts have a leaf edge, most of them inner edges too; the others have inner edges only.
 derive("mixed_gold", """
-SELECT DISTINCT mention_id, 'N' || s_nationkey AS parent_idx, 'S' || cand_id AS child_idx FROM gold JOIN supplier ON cand_id = s_suppkey JOIN part ON mention_id = p_partkey WHERE p_size <= 30
+SELECT DISTINCT mention_id, 'N' || s_nationkey AS parent_idx, 'S' || cand_id AS child_idx FROM gold JOIN supplier ON cand_id = s_suppkey
 UNION SELECT p_partkey, 'B:' || p_brand, 'NULL' FROM part WHERE p_size > 30
+UNION SELECT p_partkey, 'T:' || p_type, 'NULL' FROM part WHERE p_size > 45
 """)
 _ER = """x AS (SELECT g.*, (g.mention_id, g.parent_idx, g.child_idx) IN (SELECT (mention_id, parent_idx, child_idx) FROM cand_edge) AS hit FROM mixed_gold g),
-m AS (SELECT mention_id, bool_and(child_idx = 'NULL') AS is_leaf, bool_or(hit) AS a, bool_and(hit) AS b FROM x GROUP BY mention_id),
-u AS (SELECT is_leaf, a, b FROM m UNION ALL SELECT NULL, a, b FROM m)"""
+m AS (SELECT mention_id, bool_or(child_idx = 'NULL') AS is_leaf, bool_or(hit) AS a, bool_and(hit) AS b,
+  bool_or(hit AND child_idx = 'NULL') AS al, bool_or(hit AND child_idx <> 'NULL') AS ai, bool_and(hit OR child_idx <> 'NULL') AS bl FROM x GROUP BY mention_id),
+u AS (SELECT is_leaf, CASE WHEN is_leaf THEN al ELSE ai END AS a, CASE WHEN is_leaf THEN bl ELSE b END AS b FROM m UNION ALL SELECT NULL, a, b FROM m)"""
 
 
 @query("edge_recall", f"""WITH {_ER} SELECT is_leaf, count(*) AS n_evaluated, sum(CAST(a AS INT)) AS n_any, sum(CAST(b AS INT)) AS n_all,
@@ -86,9 +88,9 @@ def _(t):
 
 
 @query("edge_recall_relaxed", f"""WITH {_ER}, tg AS (SELECT mention_id, parent_idx, child_idx FROM x UNION SELECT mention_id, 'T:' || p_type, 'P' || p_partkey FROM x JOIN part ON p_partkey = mention_id),
-l AS (SELECT DISTINCT mention_id FROM tg SEMI JOIN cand_edge USING (mention_id, parent_idx, child_idx)),
-m2 AS (SELECT m.mention_id, is_leaf, a OR l.mention_id IS NOT NULL AS a, b FROM m LEFT JOIN l ON l.mention_id = m.mention_id),
-u2 AS (SELECT is_leaf, a, b FROM m2 UNION ALL SELECT NULL, a, b FROM m2)
+l AS (SELECT mention_id, bool_or(child_idx = 'NULL') AS ll, bool_or(child_idx <> 'NULL') AS li FROM tg SEMI JOIN cand_edge USING (mention_id, parent_idx, child_idx) GROUP BY mention_id),
+m2 AS (SELECT m.mention_id, is_leaf, a OR l.mention_id IS NOT NULL AS a, b, al OR coalesce(ll, false) AS al, ai OR coalesce(li, false) AS ai, bl FROM m LEFT JOIN l ON l.mention_id = m.mention_id),
+u2 AS (SELECT is_leaf, CASE WHEN is_leaf THEN al ELSE ai END AS a, CASE WHEN is_leaf THEN bl ELSE b END AS b FROM m2 UNION ALL SELECT NULL, a, b FROM m2)
 SELECT is_leaf, count(*) AS n_evaluated, sum(CAST(a AS INT)) AS n_any, sum(CAST(b AS INT)) AS n_all, count(*) AS denominator, avg(CAST(a AS INT)) AS "any", avg(CAST(b AS INT)) AS "all" FROM u2 GROUP BY is_leaf""")
 def _(t):
     g = t.mixed_gold
@@ -169,12 +171,23 @@ def _(t):
     return E.linking_prf(pred, gold)
 
 
+@query("linking_prf_detected", """
+WITH p AS (SELECT mention_id, CASE WHEN score < 60 THEN 'NIL' ELSE 'S' || cand_id END AS entity FROM ranked_cand WHERE rank = 1), g AS (SELECT mention_id, 'S' || min(cand_id) AS entity FROM gold GROUP BY mention_id),
+c AS (SELECT (SELECT count(*) FROM p JOIN g USING (mention_id, entity)) AS n_correct, (SELECT count(*) FROM part) - (SELECT count(*) FROM p WHERE entity = 'NIL') AS n_pred, (SELECT count(*) FROM g) AS n_gold)
+SELECT *, coalesce(n_correct / nullif(n_pred, 0), 0) AS precision, n_correct / n_gold AS recall, coalesce(2.0 * n_correct / (n_pred + n_gold), 0) AS f1 FROM c""")
+def _(t):
+    pred = t.ranked_cand.where("rank = 1").select(
+        "mention_id", F.when(F.col("score") < 60, "NIL").otherwise(F.concat(F.lit("S"), "cand_id")).alias("entity"))
+    gold = t.gold.groupBy("mention_id").agg(F.concat(F.lit("S"), F.min("cand_id")).alias("entity"))
+    return E.linking_prf(pred, gold, detected=t.part.select(F.col("p_partkey").alias("mention_id")))
+
+
 @query("best_run", """
 SELECT 'recall' AS name, arg_max(run, (value, -run_no)) AS run, max(value) AS value FROM (
   SELECT p_brand AS run, CAST(substr(p_brand, 7) AS INT) AS run_no, CAST(max(p_size) AS DOUBLE) AS value FROM part GROUP BY p_brand)""")
 def _(t):
     m = t.part.groupBy(F.col("p_brand").alias("run")).agg(F.max("p_size").cast("double").alias("value"))
-    return E.best_run(m.select("run", F.substring("run", 7, 5).cast("int").alias("run_no"), F.lit("recall").alias("name"), "value"), "recall")
+    return E.best_run(m.select("run", F.expr("substring(run, 7)").cast("int").alias("run_no"), F.lit("recall").alias("name"), "value"), "recall")
 
 
 @query("sort_runs", "SELECT p_brand AS run, avg(p_size) AS recall FROM part GROUP BY p_brand ORDER BY recall DESC, run")
@@ -217,10 +230,14 @@ def _(t):
     return E.micro(t.ml)
 
 
-@query("micro_by_group", f"""WITH c AS (SELECT CASE WHEN label < 40 THEN 'procedure' ELSE 'diagnosis' END AS label_group, {_C} FROM ml GROUP BY 1), r AS (SELECT label_group, {_MICRO} FROM c)
+@query("micro_by_group", f"""WITH c AS (SELECT CASE label % 6 WHEN 0 THEN 'procedure' ELSE 'diagnosis' END AS label_group, {_C} FROM ml WHERE label % 6 IN (0, 1, 2, 4) GROUP BY 1), r AS (SELECT label_group, {_MICRO} FROM c)
 SELECT label_group, acc, prec, rec, {_F1} FROM r""")
 def _(t):
-    code = F.when(F.col("label") < 40, F.concat(F.lit("12."), "label")).otherwise(F.concat(F.lit("123."), "label"))
+    # dots behind two, three, four digits, four behind an E; no dot behind E and three, or five
+    forms = F.array(*(F.lit(x) for x in ("12.", "123.", "E123.", "1234.", "E123", "12345")))
+    kind = (F.col("label") % 6).cast("int")
+    dotted = F.when(kind <= 3, F.col("label").cast("string")).otherwise("")
+    code = F.concat(F.get(forms, kind), dotted)
     return E.micro(t.ml, E.code_family(code))
 
 
@@ -240,13 +257,13 @@ def _(t):
 
 
 @query("insertion", """
-WITH p AS (SELECT row_id, bool_or(y = 1 AND yhat = 1) AS a, bool_and(y = 0 OR yhat = 1) AND bool_and(complete) AS b FROM ml GROUP BY row_id)
+WITH p AS (SELECT row_id, bool_or(y = 1 AND yhat = 1) AS a, bool_and(y = yhat) AND bool_or(y = 1) AND bool_and(complete) AS b FROM ml GROUP BY row_id)
 SELECT avg(CAST(a AS INT)) AS "any", avg(CAST(b AS INT)) AS "all", count(*) AS n_instances FROM p""")
 def _(t):
     return E.insertion(t.ml)
 
 
-@query("insertion_at", f"""WITH {_TOPK} SELECT k, avg(CASE WHEN h > 0 THEN 1.0 ELSE 0 END) AS "any", avg(CASE WHEN h = pos AND comp THEN 1.0 ELSE 0 END) AS "all" FROM h JOIN p USING (row_id) GROUP BY k""")
+@query("insertion_at", f"""WITH {_TOPK} SELECT k, avg(CASE WHEN h > 0 THEN 1.0 ELSE 0 END) AS "any", avg(CASE WHEN h = pos AND pos > 0 AND comp THEN 1.0 ELSE 0 END) AS "all" FROM h JOIN p USING (row_id) GROUP BY k""")
 def _(t):
     return E.insertion_at(t.ml, (1, 5, 10))
 

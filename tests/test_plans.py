@@ -30,7 +30,7 @@ def test_balanced_join(skewed, how, fanout):
 def test_hot_key_is_salted(skewed):
     left, right = skewed
     hot = {r.k: (r._a, r._b) for r in K.hot_keys(left, right, ["k"], 20).collect()}
-    assert hot["hot"][0] > 10 and hot["hot"][1] == 1 and len(hot) <= K.MAX_HOT_KEYS
+    assert hot["hot"][0] > 10 and hot["hot"][1] == 1
 
 
 def test_hot_right_side_is_sliced(skewed):
@@ -100,3 +100,12 @@ def test_checkpoint_dir_setting_is_used():
 
     src = inspect.getsource(lineage)
     assert "spark.checkpoint.dir" in src and "localCheckpoint" not in src
+
+
+def test_every_hot_key_is_split(spark, monkeypatch):
+    left = spark.range(30_000).select((F.col("id") % 1500).cast("string").alias("k"), F.col("id").alias("v"))
+    right = spark.range(1500).select(F.col("id").cast("string").alias("k"), F.lit("w").alias("w"))
+    assert K.hot_keys(left, right, ["k"], 10).count() == 1500
+    for sent in (10_000, 100):
+        monkeypatch.setattr(K, "SENT_KEYS", sent)
+        assert K.balanced_join(left, right, "k", rows_per_task=10).count() == 30_000

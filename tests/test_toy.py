@@ -221,3 +221,70 @@ def test_enrich_concepts_equals_scan(spark):
                 if n not in pool and len(pool) < 12:
                     pool.append(n)
         assert got[m] == pool[:12] + ["NULL"]
+
+
+# ------------------------------------------------------------------ metrics by hand
+
+def test_insertion_needs_equal_sets(spark):
+    rows = [
+        (1, "a", 1, 1, 0.9, True), (1, "b", 0, 0, 0.1, True),  # exact
+        (2, "a", 1, 1, 0.9, True), (2, "b", 0, 1, 0.8, True),  # one prediction too many
+        (3, "a", 0, 0, 0.9, True), (3, "b", 0, 0, 0.1, True),  # no labels
+        (4, "a", 1, 1, 0.9, False),  # a gold label was never offered
+    ]
+    ml = spark.createDataFrame(rows, "row_id long, label string, y int, yhat int, score double, complete boolean")
+    got = E.insertion(ml).first()
+    assert (got["any"], got["all"], got["n_instances"]) == (0.75, 0.25, 4)
+    at = {r["k"]: (r["any"], r["all"]) for r in E.insertion_at(ml, (1, 2)).collect()}
+    assert at == {1: (0.75, 0.5), 2: (0.75, 0.5)}
+
+
+def test_edge_recall_of_a_mixed_mention(spark):
+    gold = [(1, "p", "NULL"), (1, "p", "c"), (2, "p", "c"), (2, "p", "d"), (3, "q", "NULL")]
+    ranked = [(1, "p", "c"), (2, "p", "c"), (2, "p", "d")]
+    frame = lambda rows: spark.createDataFrame(rows, "mention_id long, parent_idx string, child_idx string")
+    got = {r["is_leaf"]: (r["n_evaluated"], r["n_any"], r["n_all"]) for r in E.edge_recall(frame(ranked), frame(gold)).collect()}
+    # mention 1 is a leaf mention by one of its edges; its inner hit counts overall only
+    assert got == {True: (2, 0, 0), False: (1, 1, 1), None: (3, 2, 1)}
+    wide = frame(gold + [(3, "p", "c"), (1, "p", "c")])
+    got = {r["is_leaf"]: r["n_any"] for r in E.edge_recall(frame(ranked + [(3, "p", "c")]), frame(gold), targets=wide).collect()}
+    assert got == {True: 0, False: 1, None: 3}
+
+
+def test_precision_over_detected_mentions(spark):
+    pred = spark.createDataFrame([(1, "a"), (2, "b"), (3, "NIL")], "mention_id long, entity string")
+    gold = spark.createDataFrame([(1, "a"), (2, "x"), (4, "y")], "mention_id long, entity string")
+    found = spark.createDataFrame([(i,) for i in range(1, 7)], "mention_id long")
+    got = E.linking_prf(pred, gold, detected=found).first()
+    assert (got["n_pred"], got["precision"], got["recall"]) == (5, 0.2, pytest.approx(1 / 3))
+    assert E.linking_prf(pred, gold).first()["precision"] == 0.5
+
+
+def test_code_families(spark):
+    codes = ["123.4", "E123.4", "12.34", "1234.5", "123", "E123", "12", "1234", ""]
+    rows = spark.createDataFrame([(c,) for c in codes], "c string").select("c", E.code_family("c").alias("f")).collect()
+    assert [r["f"] for r in rows] == ["diagnosis", "diagnosis", "procedure", None, "diagnosis", "diagnosis", None, None, None]
+
+
+def test_mean_answers_of_answered_rows(spark):
+    from taxograft.operators.prompting import answer_metrics
+
+    rows = [(["1", "2"], ["1"]), (["3"], ["-1"]), (None, ["1"]), (["1"], []), (["1"], ["1"])]
+    got = answer_metrics(spark.createDataFrame(rows, "pred array<string>, gold array<string>"), (1,)).first()
+    assert (got["n_mentions"], got["mean_answers"], got["any_full"], got["all_full"]) == (5, 1.5, 0.4, 0.4)
+
+
+def test_complex_seeds_are_not_expanded(spark, isa):
+    seeds = spark.createDataFrame([(1, 1, "5"), (1, 2, "[EX.](r)(3)")], "mention_id long, rank int, id string")
+    assert all("[" not in r["parent_idx"] for r in N.form_edges(seeds, isa).collect())
+    pool = N.enrich_concepts(seeds, isa.union(spark.createDataFrame([("x", "[EX.](r)(3)")], isa.schema)), 9)
+    assert "[EX.](r)(3)" in {r["id"] for r in pool.collect()} and "x" not in {r["id"] for r in pool.collect()}
+
+
+def test_values_longer_than_a_million(spark):
+    long = "x" * 1_200_000
+    df = spark.createDataFrame([(long,)], "v string")
+    assert df.select(F.length(ids.to_id(F.concat(F.lit("P:"), "v"), "P:"))).first()[0] == 1_200_000
+    assert df.select(F.length(B.capitalized(F.col("v"))), F.length(B.title_case(F.col("v")))).first()[:] == (1_200_000, 1_200_000)
+    number = df.select(ids.numeric_id(F.concat(F.lit("Q"), F.repeat(F.lit("0"), 1_000_100), F.lit("7")))).first()[0]
+    assert number == 7
