@@ -110,13 +110,13 @@ def _(t):
 WITH cc AS (SELECT DISTINCT of_supplier AS id, id AS child FROM complex_id WHERE id LIKE '[EX.]%'),
 cp AS (SELECT DISTINCT 'N' || s_nationkey AS id, x.id AS parent FROM complex_id x JOIN supplier ON of_supplier = 'S' || s_suppkey
        WHERE x.id LIKE '[EX.]%' AND s_acctbal < 1000)
-SELECT cc.id, coalesce(u.parent_id, 'THING') AS parent, child FROM cc LEFT JOIN isa_core u ON u.child_id = cc.id
-UNION SELECT cp.id, parent, coalesce(d.child_id, 'NULL') FROM cp LEFT JOIN isa_core d ON d.parent_id = cp.id
+SELECT cc.id, coalesce(u.parent_id, 'THING') AS parent, child FROM cc LEFT JOIN isa u ON u.child_id = cc.id
+UNION SELECT cp.id, parent, coalesce(d.child_id, 'NULL') FROM cp LEFT JOIN isa d ON d.parent_id = cp.id
 UNION SELECT cc.id, cp.parent, cc.child FROM cc JOIN cp ON cc.id = cp.id""")
 def _(t):
     atomic = (
-        G.neighbours(t.isa_core, "parents").withColumn("side", F.lit("parents"))
-        .unionByName(G.neighbours(t.isa_core, "children").withColumn("side", F.lit("children"))))
+        G.neighbours(t.isa, "parents").withColumn("side", F.lit("parents"))
+        .unionByName(G.neighbours(t.isa, "children").withColumn("side", F.lit("children"))))
     kept = t.complex_id.where(ids.keep_complex("id"))
     children = kept.select(
         F.col("of_supplier").alias("id"), F.lit("children").alias("side"), F.col("id").alias("neighbour"))
@@ -280,18 +280,18 @@ UNION ALL SELECT 1000 + s_suppkey, 'N' || s_nationkey, 'S' || s_suppkey FROM sup
 
 
 @query("relax_targets_1_hop", """
-WITH p1 AS (SELECT mention_id, parent FROM target UNION SELECT mention_id, parent_id FROM target JOIN isa_core ON child_id = parent),
-c1 AS (SELECT mention_id, child FROM target UNION SELECT mention_id, child_id FROM target JOIN isa_core ON parent_id = child)
+WITH p1 AS (SELECT mention_id, parent FROM target UNION SELECT mention_id, parent_id FROM target JOIN isa ON child_id = parent),
+c1 AS (SELECT mention_id, child FROM target UNION SELECT mention_id, child_id FROM target JOIN isa ON parent_id = child)
 SELECT DISTINCT p1.mention_id, p1.parent, c1.child FROM p1 JOIN c1 ON p1.mention_id = c1.mention_id""")
 def _(t):
-    return G.relax_targets(t.target, t.isa_core, 1)
+    return G.relax_targets(t.target, t.isa, 1)
 
 
 @query("relax_targets_2_hops", """
-WITH p1 AS (SELECT mention_id, parent FROM target UNION SELECT mention_id, parent_id FROM target JOIN isa_core ON child_id = parent),
-c1 AS (SELECT mention_id, child FROM target UNION SELECT mention_id, child_id FROM target JOIN isa_core ON parent_id = child),
-p2 AS (SELECT * FROM p1 UNION SELECT mention_id, parent_id FROM p1 JOIN isa_core ON child_id = parent),
-c2 AS (SELECT * FROM c1 UNION SELECT mention_id, child_id FROM c1 JOIN isa_core ON parent_id = child)
+WITH p1 AS (SELECT mention_id, parent FROM target UNION SELECT mention_id, parent_id FROM target JOIN isa ON child_id = parent),
+c1 AS (SELECT mention_id, child FROM target UNION SELECT mention_id, child_id FROM target JOIN isa ON parent_id = child),
+p2 AS (SELECT * FROM p1 UNION SELECT mention_id, parent_id FROM p1 JOIN isa ON child_id = parent),
+c2 AS (SELECT * FROM c1 UNION SELECT mention_id, child_id FROM c1 JOIN isa ON parent_id = child)
 SELECT DISTINCT p2.mention_id, p2.parent, c2.child FROM p2 JOIN c2 ON p2.mention_id = c2.mention_id""")
 def _(t):
-    return G.relax_targets(t.target, t.isa_core, 2)
+    return G.relax_targets(t.target, t.isa, 2)

@@ -183,14 +183,14 @@ def _drain(t, writer):
 
 
 @query("place_stream", "WITH " + _PLACE + _PLACE_RANK.format(f="f0", leaf="CASE WHEN l.leaf THEN 1000.0 ELSE -1000.0 END",
-       join="LEFT JOIN (SELECT mention_id, id NOT IN (SELECT parent_id FROM isa_core) AS leaf FROM sd WHERE rank = 1) l ON l.mention_id = f.mention_id"))
+       join="LEFT JOIN (SELECT mention_id, id NOT IN (SELECT parent_id FROM isa) AS leaf FROM sd WHERE rank = 1) l ON l.mention_id = f.mention_id"))
 def _(t):
     from taxograft.model import Settings
 
     out = scratch(t.spark)
     mentions = _stream(t, "part").select(F.col("p_partkey").alias("mention_id"), F.col("p_name").alias("mention"))
     concepts = t.concept.select("id", F.col("title").alias("text"))
-    _drain(t, P.place_stream(mentions, concepts, t.isa_core, None, P.parquet_sink(out), Settings(seeds=5, cap=20, enrich=False, leaf_value=1000.0)))
+    _drain(t, P.place_stream(mentions, concepts, t.isa, None, P.parquet_sink(out), Settings(seeds=5, cap=20, enrich=False, leaf_value=1000.0)))
     return t.spark.read.parquet(out).drop("batch")
 
 

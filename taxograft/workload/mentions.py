@@ -18,10 +18,10 @@ WHERE r.id IS NOT NULL OR n.id IS NOT NULL
 
 
 @query("map_annotations", """
-SELECT mention_id, label_concept AS cui, parent_id AS concept FROM mention JOIN isa_core ON child_id = label_concept""")
+SELECT mention_id, label_concept AS cui, parent_id AS concept FROM mention JOIN isa ON child_id = label_concept""")
 def _(t):
     m = t.mention.select("mention_id", F.col("label_concept").alias("cui"))
-    return M.map_annotations(m, t.isa_core.select(F.col("child_id").alias("cui"), F.col("parent_id").alias("concept")))
+    return M.map_annotations(m, t.isa.select(F.col("child_id").alias("cui"), F.col("parent_id").alias("concept")))
 
 
 @query("classify_by_version", "SELECT mention_id, label_concept, label_concept_ori, is_nil FROM classified")
@@ -57,7 +57,7 @@ def _(t):
 
 
 # Gold paths of a part: its type and its brand over the null node.
-derive("gold_path", "SELECT child_id AS id, parent_id AS parent, 'NULL' AS child FROM isa_core WHERE left(child_id, 1) = 'P'")
+derive("gold_path", "SELECT child_id AS id, parent_id AS parent, 'NULL' AS child FROM isa WHERE left(child_id, 1) = 'P'")
 derive("known_edge", "SELECT parent_idx, child_idx, degree FROM edge WHERE parent NOT LIKE 'Brand#1%' AND parent NOT LIKE 'S%'")
 
 
