@@ -214,7 +214,7 @@ def local_ids(catalogue: DataFrame, order: list[str], concept: str = "idx") -> D
 
 def rows_by_concept(numbered: DataFrame, concept: str = "idx") -> DataFrame:
     """All catalogue rows of each concept in row order, numbered from 0 (long form)."""
-    counted = running_sum(numbered, [concept], "local_id", F.lit(1), "_n")
+    counted = running_sum(numbered, [concept], "local_id", F.lit(1), "_n", dense=False)
     return counted.select(concept, (F.col("_n") - 1).alias("pos"), "local_id", "title")
 
 

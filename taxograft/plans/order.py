@@ -77,8 +77,16 @@ def number_rows(
 BLOCK = 100_000
 
 
-def _blocks(df: DataFrame, order: str, size: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(order) / size))
+def _blocks(df: DataFrame, keys: Sequence[str], order: str, size: int, dense: bool) -> DataFrame:
+    """Blocks of consecutive rows of a group.
+
+    Dense order values (line numbers, positions) are cut by value, which costs nothing.
+    Others are range-partitioned by group and order and written once, so that a block is what
+    one partition holds of a group, however far apart the values lie.
+    """
+    if dense:
+        return df.withColumn("_block", F.floor(F.col(order) / size))
+    return cut_lineage(df.repartitionByRange(*keys, order).withColumn("_block", F.spark_partition_id()))
 
 
 def running_sum(
@@ -88,13 +96,14 @@ def running_sum(
     value: Column,
     name: str,
     size: int = BLOCK,
+    dense: bool = True,
 ) -> DataFrame:
-    """Running sum per group over an integer order column, for groups of any size.
+    """Running sum per group over an order column, for groups of any size.
 
-    Each group is cut into blocks of ``size`` consecutive order values; only the block
-    totals are ever sorted together.
+    Each group is cut into blocks, of ``size`` consecutive order values where these are
+    ``dense``; only the block totals are ever sorted together.
     """
-    blocked = _blocks(df, order, size).withColumn("_v", value)
+    blocked = _blocks(df, keys, order, size, dense).withColumn("_v", value)
     by_block = [*keys, "_block"]
     inside = W.partitionBy(*by_block).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     before = (
@@ -121,9 +130,10 @@ def last_seen(
     value: Column,
     name: str,
     size: int = BLOCK,
+    dense: bool = True,
 ) -> DataFrame:
     """Last non-null value up to and including each row, blocked like :func:`running_sum`."""
-    blocked = _blocks(df, order, size).withColumn("_v", value)
+    blocked = _blocks(df, keys, order, size, dense).withColumn("_v", value)
     by_block = [*keys, "_block"]
     inside = W.partitionBy(*by_block).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     before = (

@@ -269,7 +269,8 @@ def _(t):
 @query("subsumes", """
 SELECT a AS sub, b AS super FROM concept_pair JOIN ancestry ON id = a AND anc = b""")
 def _(t):
-    pairs, closure, _, _ = _pair_context(t)
+    pairs = t.concept_pair
+    closure = G.ancestors(t.isa, pairs.select(F.col("a").alias("id")))  # only the lower side is followed
     return G.subsumes(pairs.select(F.col("a").alias("sub"), F.col("b").alias("super")), closure)
 
 

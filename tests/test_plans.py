@@ -56,6 +56,18 @@ def test_running_sum_and_last_seen_over_blocks(spark):
         assert (r.s, r.last) == (total[g], last[g])
 
 
+def test_running_sum_over_sparse_order_values(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice("aaab"), rnd.randrange(-(1 << 62), 1 << 62), rnd.randrange(5)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g string, i long, x long")
+    total, want = {}, set()
+    for g, i, x in sorted(rows, key=lambda r: r[1]):
+        total[g] = total.get(g, 0) + x
+        want.add((g, i, total[g]))
+    got = O.running_sum(df, ["g"], "i", F.col("x"), "s", dense=False)
+    assert {(r.g, r.i, r.s) for r in got.collect()} == want
+
+
 def test_number_rows(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(9)
     got = O.number_rows(df, ["k"], "n").collect()
