@@ -262,7 +262,8 @@ def near_duplicates(
 
     around = pairs.union(pairs.select(F.col("pivot").alias("cid"), "pivot").distinct())
     around = cut_lineage(labelled(around).join(full.select("cid", "n"), "cid"))
-    open_ = (
+    # written first, so that the join below can split a hot pivot
+    open_ = cut_lineage(
         around.groupBy("pivot").agg(
             F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")
         )
