@@ -400,15 +400,21 @@ def hash_signatures(df: DataFrame, dim: int, tables: int, bits: int, seed: int)
 
 
 def nearest_approx(
-    queries: DataFrame, vectors: DataFrame, k: int, dim: int, tables: int = 8, bits: int = 6,
+    queries: DataFrame, vectors: DataFrame, k: int, dim: int, tables: int = 8, bits: int | None = None,
     seed: int = 1234, block_rows: int = 8_192,
 ) -> DataFrame:
     """Approximate inner-product search by hashing, with exact scores.
 
+    By default the bits of a bucket follow the number of vectors, so that a bucket holds about
+    a block of them at any size.  More ``tables`` raise the recall.
+
     An extra coordinate ``sqrt(phi - |v|^2)`` gives all vectors the same length, which
     turns the largest inner product into the nearest direction.  Rows meet when they share
     a bucket in some table; inside a bucket the search is exact and split into blocks.
     """
+    if bits is None:
+        bits = min(62, max(0, -(-vectors.count() // block_rows) - 1).bit_length())
+        tables = tables if bits else 1  # one bucket holds them all
     sq = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     phi = vectors.agg(F.max(sq).alias("phi"))
     doubles = lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
