@@ -222,7 +222,11 @@ def near_duplicates(
     keyed = classes.select(
         F.explode("keys").alias("key"), F.struct((-F.col("copies")).alias("c"), F.col("cid").alias("id")).alias("rank")
     )
-    pivots = keyed.groupBy("key").agg(F.min("rank").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    # tables that are joined on the key they were grouped by are written first: only then can a
+    # hot key be split when it is joined
+    pivots = cut_lineage(
+        keyed.groupBy("key").agg(F.min("rank").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    )
     pairs = cut_lineage(
         keyed.join(pivots, "key")
         .select(F.col("rank.id").alias("cid"), F.col("pivot.id").alias("pivot"))
@@ -262,7 +266,6 @@ def near_duplicates(
 
     around = pairs.union(pairs.select(F.col("pivot").alias("cid"), "pivot").distinct())
     around = cut_lineage(labelled(around).join(full.select("cid", "n"), "cid"))
-    # written first, so that the join below can split a hot pivot
     open_ = cut_lineage(
         around.groupBy("pivot").agg(
             F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")
@@ -286,7 +289,7 @@ def near_duplicates(
         classes.select("f1", "f2", "n", "class_id", F.col("cid").alias("node")).join(comp, "node", "left")
         .withColumn("comp", F.coalesce("comp", "node")).drop("node")
     )
-    smallest = members.groupBy("comp").agg(F.min("class_id").alias("component_id"))
+    smallest = cut_lineage(members.groupBy("comp").agg(F.min("class_id").alias("component_id")))
     named = members.join(smallest, "comp")
     out = rows_.select("uid", "doc_id", "mark", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     own = F.col("n") == 0
