@@ -8,7 +8,6 @@ from models that have not seen the row, as they will not have seen the rows to b
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
