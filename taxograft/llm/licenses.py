@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 A text is first brought to its words, joined by single spaces.  A rule is a regular expression
-over that form with a keyword (one of its words), a label and a priority.  Only rules whose
-keyword occurs among the words of a text are tried on it.  A detection is suppressed when its
+over that form with keywords, a label and a priority.  Every match of a rule has one of its
+keywords as a word, so only rules with a keyword among the words of a text are tried on it.  A detection is suppressed when its
 interval of words lies inside that of a detection of the same or a better priority; among
 detections of one interval, the earlier rule wins.  Base rules are reported before suppression.
 """
@@ -26,6 +26,12 @@ class Rule:
     label: str
     priority: int
     base: bool = False
+    #: Further keywords, where the alternatives of the pattern have no word in common.
+    also: tuple[str, ...] = ()
+
+    @property
+    def keywords(self) -> tuple[str, ...]:
+        return self.keyword, *self.also
 
 
 #: Confidence of a detection by priority: identifiers, titles with a version, titles, mentions.
@@ -41,8 +47,8 @@ BASE = (
     Rule("reserved", "all rights reserved", "reserved", 3, True),
 )
 
-# Hand-written families.  ``title`` is a pattern of the full name, ``key`` a word that it always
-# has, ``ids`` the words of the short identifier, ``versions`` the versions in use.
+# Hand-written families.  ``title`` is a pattern of the full name, ``key`` has the words of which
+# it always has one, ``ids`` the words of the short identifier, ``versions`` the versions in use.
 FAMILIES = (
     # label, title, key, ids, versions
     ("apache", "apache (?:software )?licen[sc]e", "apache", "apache", ("1 0", "1 1", "2 0")),
@@ -71,7 +77,7 @@ FAMILIES = (
     ("w3c", "w3c software (?:notice and )?licen[sc]e", "w3c", "w3c", ()),
     ("ncsa", "(?:university of illinois )?ncsa open source licen[sc]e", "ncsa", "ncsa", ()),
     ("isc", "isc licen[sc]e", "isc", "isc", ()),
-    ("mit", "(?:mit|expat|x11) licen[sc]e", "mit", "mit", ()),
+    ("mit", "(?:mit|expat|x11) licen[sc]e", "mit expat x11", "mit", ()),
     ("zlib", "zlib(?: libpng)? licen[sc]e", "zlib", "zlib", ()),
     ("unlicense", "the unlicense", "unlicense", "unlicense", ()),
     ("wtfpl", "do what the fuck you want to public licen[sc]e", "public", "wtfpl", ("1 0", "2 0")),
@@ -80,7 +86,7 @@ FAMILIES = (
     ("bsd-4-clause", "(?:original|4 clause|four clause) bsd licen[sc]e", "bsd", "bsd 4 clause", ()),
     ("sspl", "server side public licen[sc]e", "server", "sspl", ("1 0",)),
     ("busl", "business source licen[sc]e", "business", "busl", ("1 1",)),
-    ("openrail", "(?:open|responsible) (?:rail|ai) licen[sc]e", "ai", "openrail", ()),
+    ("openrail", "(?:open|responsible) (?:rail|ai) licen[sc]e", "ai rail", "openrail", ()),
 )
 
 # Elements of the Creative Commons licences, as words of the short and of the long name.
@@ -102,9 +108,9 @@ NOTICES = (
     Rule("cc0", "cc0(?: 1 0)?(?: universal)?", "cc0-1.0", 1),
     Rule("domain", "(?:released|dedicated|placed)? ?(?:in|into|to) the public domain", "public-domain", 2),
     Rule("copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", "copyright", 3),
-    Rule("copyright", "(?:this|the) (?:work|text|file|article) is (?:protected by )?copyright(?:ed)?", "copyright", 3),
+    Rule("copyright", "(?:this|the) (?:work|text|file|article) is (?:protected by )?copyright(?:ed)?", "copyright", 3, also=("copyrighted",)),
     Rule("permission", "(?:reproduced|reprinted|used) (?:with|by) permission", "permission", 2),
-    Rule("reproduced", "(?:may|must) not be (?:copied|reproduced|distributed|republished)[a-z0-9 ]{0,60}? without (?:the )?(?:prior )?(?:written )?(?:permission|consent)", "reserved", 2),
+    Rule("permission", "(?:may|must) not be (?:copied|reproduced|distributed|republished)[a-z0-9 ]{0,60}? without (?:the )?(?:prior )?(?:written )?(?:permission|consent)", "reserved", 2, also=("consent",)),
     Rule("reserved", "(?:some|no) rights reserved", "some-rights", 2),
     Rule("droits", "tous droits réservés", "reserved", 2),
     Rule("rechte", "alle rechte vorbehalten", "reserved", 2),
@@ -119,18 +125,22 @@ def rules() -> list[Rule]:
     out = list(BASE)
     for label, title, key, ids, versions in FAMILIES:
         number = {v: v.replace(" ", ".") for v in versions}
+        key, *also = key.split(" ")
+        also = tuple(also)
         for v in versions:
             short = v.removesuffix(" 0")
             said = f"(?:v|version |v )?{v}" if short == v else f"(?:v|version |v )?{short}(?: 0)?"
             first = ids.split(" ")[0]
+            # the version may be joined to an identifier of one word: gplv3, gpl3
+            glued = tuple(f"{ids}{x}{v.split(' ')[0]}" for x in ("", "v")) if first == ids else ()
             later = " (?:or later|or any later version|or at your option any later version)"
             out.append(Rule("spdx", f"spdx license identifier {ids} {v}(?: only| or later)?", f"{label}-{number[v]}", 0))
             out.append(Rule(first, f"{ids} (?:v)?{v}(?: only| or later)?", f"{label}-{number[v]}", 1))
-            out.append(Rule(key, f"{title} {said}", f"{label}-{number[v]}", 1))
-            out.append(Rule(key, f"{title} {said}{later}", f"{label}-{number[v]}+", 0))
-            out.append(Rule(first, f"{ids} ?v?{short}(?: 0)?\\+?{later}", f"{label}-{number[v]}+", 0))
+            out.append(Rule(key, f"{title} {said}", f"{label}-{number[v]}", 1, also=also))
+            out.append(Rule(key, f"{title} {said}{later}", f"{label}-{number[v]}+", 0, also=also))
+            out.append(Rule(first, f"{ids} ?v?{short}(?: 0)?\\+?{later}", f"{label}-{number[v]}+", 0, also=glued))
         out.append(Rule("spdx", f"spdx license identifier {ids}", label, 1))
-        out.append(Rule(key, title, label, 2))
+        out.append(Rule(key, title, label, 2, also=also))
         out.append(Rule(ids.split(" ")[0], f"{ids} licen[sc]ed?", label, 2))
     for short, long in CREATIVE:
         words = short.replace("-", " ")
@@ -159,10 +169,10 @@ def _spaces(x: Column) -> Column:
 def detections(docs: DataFrame, table: list[Rule]) -> tuple[DataFrame, DataFrame]:
     """``(row, doc_id, n_words)`` of each row and ``(row, rule, start, end)`` of each match,
     in words from 0, ``end`` exclusive."""
-    keywords = sorted({r.keyword for r in table})
+    keywords = sorted({k for r in table for k in r.keywords})
     known = F.array(*(F.lit(k) for k in keywords))
     listed = F.array(*(
-        F.struct(F.lit(i).alias("rule"), F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"))
+        F.struct(F.lit(i).alias("rule"), F.array(*map(F.lit, r.keywords)).alias("keywords"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"))
         for i, r in enumerate(table)
     ))
 
@@ -178,7 +188,7 @@ def detections(docs: DataFrame, table: list[Rule]) -> tuple[DataFrame, DataFrame
         return let(F.filter(F.split(form, " "), lambda w: w != ""), lambda words: F.struct(
             F.size(words).cast("long").alias("n_words"),
             let(F.array_intersect(words, known), lambda met: F.when(F.size(met) > 0, F.filter(
-                F.transform(F.filter(listed, lambda r: F.array_contains(met, r["keyword"])), lambda r: tried(form, r)),
+                F.transform(F.filter(listed, lambda r: F.arrays_overlap(met, r["keywords"])), lambda r: tried(form, r)),
                 lambda t: F.size(t["lengths"]) > 0,
             ))).alias("hits"),
         ))

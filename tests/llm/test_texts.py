@@ -170,3 +170,52 @@ def test_every_rule_needs_its_keyword(word):
     for rule in licenses.rules():
         literal = re.sub(r"\(\?:[^()]*\)\??|\[[^]]*\]\S*", " ", rule.pattern)
         assert rule.keyword in rule.pattern or rule.keyword in literal
+
+
+def alternatives(pattern):
+    """Texts that a pattern accepts: every branch, option and listed letter, of a range its first one."""
+    sre = re._parser
+
+    def expand(nodes):
+        out = [""]
+        for op, arg in nodes:
+            if op is sre.LITERAL:
+                more = [chr(arg)]
+            elif op is sre.IN:
+                more = [chr(x) if o is sre.LITERAL else chr(x[0]) for o, x in arg]
+            elif op is sre.BRANCH:
+                more = [t for branch in arg[1] for t in expand(branch)]
+            elif op is sre.SUBPATTERN:
+                more = expand(arg[-1])
+            else:
+                assert op in (sre.MAX_REPEAT, sre.MIN_REPEAT), op
+                low, high, sub = arg
+                inner = expand(sub)
+                more = ["", *inner] if (low, high) == (0, 1) else [inner[0] * low, inner[0] * min(low + 1, int(high))]
+            out = [a + b for a in out for b in dict.fromkeys(more)]
+        return out
+
+    return [t for t in expand(sre.parse(pattern)) if "+" not in t]  # never in the words of a text
+
+
+def test_every_alternative_of_every_rule_is_found(spark):
+    table, rows = licenses.rules(), []
+    for i, rule in enumerate(table):
+        texts = alternatives(rule.pattern)
+        # Creative Commons has thousands of combinations for each rule, all with its keyword
+        rows += [(i, t) for t in (texts[:: len(texts) // 20 + 1] if "creative" in rule.keyword else texts)]
+        assert all(set(t.split()) & {rule.keyword, *rule.also} for t in texts), rule
+    docs, found = licenses.detections(documents(spark, rows), table)
+    hit = docs.join(found, "row").where("doc_id = rule").select("row").distinct().count()
+    assert hit == len(rows) > 3_000
+
+
+def test_licenses_without_the_first_keyword(spark):
+    cases = {
+        "the Expat License": "mit", "an X11 licence": "mit", "Open RAIL License": "openrail", "responsible rail licence": "openrail",
+        "This work is copyrighted.": "copyright", "GPLv3 or later": "gpl-3.0+", "LGPL2 or later": "lgpl-2.0+",
+        "It may not be copied in any form without the prior written permission": "reserved",
+        "must not be distributed without consent": "reserved", "may not be republished without permission": "reserved",
+    }
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(documents(spark, list(enumerate(cases)))).collect()}
+    assert [got[i][0] for i in range(len(cases))] == list(cases.values()) and all(score > 0 for _, score in got.values())
