@@ -8,7 +8,8 @@ the documents of the corpus, relative to the entity's own information content:
 
 with ``N`` documents, ``n_e`` of them with the entity, ``n_t`` with the term, ``n_et`` with the
 term near the entity.  Terms at or above ``generalise`` are replaced by their word shape, at or
-above ``remove`` they are removed.  Base spans always stay.
+above ``remove`` they are removed, wherever they stand: a text without the entity may point to
+it by such a term.  Base spans always stay.
 """
 
 from __future__ import annotations
@@ -46,6 +47,9 @@ GENERALISE = 0.8
 REMOVE = 0.95
 #: Words counted in memory before the counts are handed on.
 FLUSH = 100_000
+#: Revealing terms up to which they are sent to the tasks that read the texts; beyond it, the
+#: words of the texts and the terms meet in a shuffled join.
+SENT_TERMS = 500_000
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -128,20 +132,56 @@ def near_terms(text: str, spans: list[tuple[int, int, int]], window: int) -> lis
     return out
 
 
+def terms_of(text: str, spans: list[tuple[int, int, int]]):
+    """``(start, end, free)`` of each word, ``free`` if it is outside all spans."""
+    at = reach = 0
+    for m in TERM.finditer(text):
+        b, e = m.span()
+        while at < len(spans) and spans[at][0] < e:
+            reach = max(reach, spans[at][2])
+            at += 1
+        yield b, e, reach <= b
+
+
 def _found(window: int):
     def run(batches):
         for batch in batches:
-            spans, near = [], []
+            near = []
+            for text in batch.column(1).to_pylist():
+                text = text or ""
+                pairs = {x[:2] for x in near_terms(text, base_spans(text), window)}
+                near.append([{"entity": n, "term": t} for n, t in pairs])
+            term = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, term)], names=["row", "near"])
+
+    return run
+
+
+def _marked(known):
+    """Base spans, and the words outside them with their disclosure: all words if ``known`` is
+    None, else those in the broadcast ``known``."""
+
+    def run(batches):
+        for batch in batches:
+            spans, words = [], []
             for text in batch.column(2).to_pylist():
                 text = text or ""
                 s = base_spans(text)
-                spans.append([{"start": b, "kind": k, "end": e} for b, k, e in s])
-                near.append([{"entity": n, "term": t, "start": b, "end": e} for n, t, b, e in near_terms(text, s, window)])
-            span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-            term = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+                spans.append([{"start": b, "kind": k, "end": e, "disclosure": None} for b, k, e in s])
+                sure = known.value if known else None
+                if known and sure.keys().isdisjoint(map(str.lower, TERM.findall(text))):
+                    words.append([])
+                    continue
+                listed = ((text[b:e].lower(), b, e) for b, e, free in terms_of(text, s) if free)
+                words.append([
+                    {"term": t, "start": b, "kind": 4, "end": e, "disclosure": sure[t] if known else None}
+                    for t, b, e in listed if not known or t in sure
+                ])
+            at = [("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("disclosure", pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(spans, span), pa.array(near, term)],
-                names=["row", "doc_id", "spans", "near"],
+                [batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct(at))),
+                 pa.array(words, pa.list_(pa.struct([("term", pa.string()), *at])))],
+                names=["row", "doc_id", "spans", "words"],
             )
 
     return run
@@ -187,30 +227,37 @@ def detect(
     for revealing terms.
 
     A null text counts as empty.  Ids may be null or repeated: rows are told apart by ``row``.
-    Every occurrence near its entity is reported; other columns are ignored.
+    Every occurrence of a revealing term outside the base spans is reported, in any text, with
+    the largest disclosure of the term; other columns are ignored.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-    found = cut_lineage(rows.mapInArrow(
-        _found(window),
-        "row long, doc_id long, spans array<struct<start:int,kind:int,end:int>>, "
-        "near array<struct<entity:string,term:string,start:int,end:int>>",
+    found = cut_lineage(rows.select("row", "text").mapInArrow(
+        _found(window), "row long, near array<struct<entity:string,term:string>>"
     ))
     counts = docs.select("text").mapInArrow(_term_counts, "term string, n long")
     total = F.lit(float(max(1, found.count())))
-    telling = disclosure(found, counts, total, support).where(F.col("disclosure") >= generalise)
-    terms = (
-        found.select("row", F.explode("near").alias("x")).select("row", "x.*")
-        .join(telling, ["entity", "term"])
-        .groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-        .groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure")).alias("more"))
-    )
-    base = F.transform("spans", lambda s: F.struct(
-        s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(None).cast("double").alias("disclosure")
-    ))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,disclosure:double>>")
-    return found.join(terms, "row", "left").select(
-        "row", "doc_id", F.array_sort(F.concat(base, F.coalesce("more", none))).alias("spans")
+    telling = cut_lineage(
+        disclosure(found, counts, total, support).where(F.col("disclosure") >= generalise)
+        .groupBy("term").agg(F.max("disclosure").alias("disclosure"))
     )
+    span = "struct<start:int,kind:int,end:int,disclosure:double>"
+    schema = f"row long, doc_id long, spans array<{span}>, words array<struct<term:string,start:int,kind:int,end:int,disclosure:double>>"
+    few = telling.limit(SENT_TERMS + 1).toArrow()
+    if few.num_rows <= SENT_TERMS:
+        known = dict(zip(few.column("term").to_pylist(), few.column("disclosure").to_pylist(), strict=True))
+        texts = rows.mapInArrow(_marked(docs.sparkSession.sparkContext.broadcast(known)), schema)
+        more = F.transform("words", lambda w: F.struct(*(w[k].alias(k) for k in ("start", "kind", "end", "disclosure"))))
+    else:
+        texts = cut_lineage(rows.mapInArrow(_marked(None), schema))
+        # a lookup of one row; frequent words are split by adaptive execution
+        marked = (
+            texts.select("row", F.explode("words").alias("w")).select("row", "w.term", "w.start", "w.kind", "w.end")
+            .join(telling, "term")
+            .groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "disclosure")).alias("more"))
+        )
+        texts = texts.join(marked, "row", "left")
+        more = F.coalesce("more", F.array().cast(f"array<{span}>"))
+    return texts.select("row", "doc_id", F.array_sort(F.concat("spans", more)).alias("spans"))
 
 
 def written(spans: Column) -> Column:

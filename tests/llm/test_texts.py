@@ -108,6 +108,29 @@ def test_terms_that_reveal_an_entity(spark):
     assert clean[30] == filler[30]
 
 
+@pytest.mark.parametrize("sent", [pii.SENT_TERMS, 0])
+def test_revealing_terms_are_marked_in_all_texts(spark, monkeypatch, sent):
+    monkeypatch.setattr(pii, "SENT_TERMS", sent)
+    filler = ["the plain words of page number %d say little" % i for i in range(400)]
+    rows = [(i, f"Zorblax wrote bob@example.com the {filler[i]} {filler[i]} once more zorblax and zorblax@example.com") for i in range(2)]
+    rows += [(2, f"{filler[2]} said ZORBLAX alone"), (None, "zorblax"), (None, "zorblax"), (3, None)]
+    rows += [(i, filler[i]) for i in range(4, 400)]
+    got = pii.report(documents(spark, rows)).where("n_term > 0").collect()
+    texts = {(r[0], r[1]) for r in rows}
+    marked = sorted(
+        (r["doc_id"] is None, r["doc_id"] or 0,
+         [t[int(b) : int(e)] for k, b, e in (s.split(":") for s in r["spans"].split(",")) if k == "term" and t[int(b) : int(e)].lower() == "zorblax"])
+        for r in got for d, t in texts if d == r["doc_id"]
+    )
+    assert marked == [
+        (False, 0, ["Zorblax", "zorblax"]), (False, 1, ["Zorblax", "zorblax"]), (False, 2, ["ZORBLAX"]),
+        (True, 0, ["zorblax"]), (True, 0, ["zorblax"]),
+    ]
+    clean = pii.sanitise(documents(spark, rows)).collect()
+    assert len(clean) == len(rows) and not any("zorblax" in r["clean_text"].lower() for r in clean)
+    assert {r["doc_id"]: r["clean_text"] for r in clean}[2] == f"{filler[2]} said XXXXXXX alone"
+
+
 def test_pii_edges(spark):
     rows = [(1, None), (1, ""), (None, "me@x.org"), (None, "me@x.org"), (2, "é😀 +49 30 1234567 " + "w " * 50_000), (2, "me@x.org")]
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_email"], r["n_phone"], r["spans"]) for r in pii.report(documents(spark, rows)).collect())
