@@ -17,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -111,24 +113,17 @@ def near_terms(text: str, spans: list[tuple[int, int, int]], window: int) -> lis
     if not spans:
         return []
     out = []
-    covered = 0
-    taken = [(b, e) for b, _, e in spans]
+    starts, ends, free = array("q"), array("q"), bytearray()
+    for b, e, f in terms_of(text, spans):
+        starts.append(b)
+        ends.append(e)
+        free.append(f)
     for b, kind, e in spans:
         name = entity(kind, text[b:e])
-        # a stretch that holds the window: words are cut from it, not from the whole text
-        low, high = max(0, b - 24 * window), e + 24 * window
-        before = list(TERM.finditer(text, low, b))
-        if low and before and before[0].start() == low:
-            before = before[1:]  # perhaps the end of a longer word
-        after = list(TERM.finditer(text, e, high))
-        if high < len(text) and after and after[-1].end() == high:
-            after = after[:-1]
-        while covered < len(taken) and taken[covered][1] <= low:
-            covered += 1
-        near = [s for s in taken[covered : covered + 2 * 24 * window] if s[0] < high]
-        for m in before[-window:] + after[:window]:
-            if not any(x < m.end() and m.start() < y for x, y in near):
-                out.append((name, m.group().lower(), m.start(), m.end()))
+        before, after = bisect_right(ends, b), bisect_left(starts, e)
+        for at in (*range(max(0, before - window), before), *range(after, min(after + window, len(starts)))):
+            if free[at]:
+                out.append((name, text[starts[at] : ends[at]].lower(), starts[at], ends[at]))
     return out
 
 

@@ -131,6 +131,18 @@ def test_revealing_terms_are_marked_in_all_texts(spark, monkeypatch, sent):
     assert {r["doc_id"]: r["clean_text"] for r in clean}[2] == f"{filler[2]} said XXXXXXX alone"
 
 
+def test_the_window_holds_its_words_however_far_apart():
+    gap = " _ - a " * 60
+    listed = [f"word{i}" for i in range(20)]
+    text = gap.join([*listed[:10], "bob@example.com", *listed[10:]])
+    near = pii.near_terms(text, pii.base_spans(text), 8)
+    assert [t for _, t, _, _ in near] == listed[2:18] and all(text[b:e] == t for _, t, b, e in near)
+    many = "1.2.3.4 " * 50_000  # as many spans without a word between them
+    assert pii.near_terms(many, pii.base_spans(many), 8) == []
+    many = "left " + " ".join(["10.0.0.100"] * 500) + " right"  # a later word is found across other spans
+    assert {t for _, t, _, _ in pii.near_terms(many, pii.base_spans(many), 8)} == {"left", "right"}
+
+
 def test_pii_edges(spark):
     rows = [(1, None), (1, ""), (None, "me@x.org"), (None, "me@x.org"), (2, "é😀 +49 30 1234567 " + "w " * 50_000), (2, "me@x.org")]
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_email"], r["n_phone"], r["spans"]) for r in pii.report(documents(spark, rows)).collect())
