@@ -4,8 +4,9 @@ The short side is sketched, not the long one: of an item with ``n`` shingles the
 smallest hash values are kept, with ``k`` fixed for each size class of items.  A document
 that contains a share ``t`` of the item lacks at most ``n - ceil(t * n)`` of its shingles,
 so with ``k`` above that number at least one kept minimum is found in the document, and no
-item can be missed, however long the document is.  Candidates are verified by the exact
-share of the item's shingles that the document has.
+item can be missed, however long the document is.  The result rests on the exact share of the
+item's shingles that the document has, counted for every pair that shares one: the kept minima
+are marked, but do not narrow the pairs down before.
 """
 
 from __future__ import annotations
