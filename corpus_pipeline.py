@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from taxograft.llm import decontaminate, exact_dup, mixing, near_dup, toxicity
 from taxograft.llm.common import prepare, table
-from taxograft.plans.lineage import ensure_checkpoint_dir
+from taxograft.plans.lineage import cut_lineage, ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -47,8 +47,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component stays."""
-    return without(docs, near_dup.near_duplicates(docs).where("NOT kept"))
+    """The document with the smallest id of each near-duplicate component stays, of several
+    texts with this id the one with the smallest hash."""
+    found = cut_lineage(near_dup.near_duplicates(docs).select("doc_id", "mark", "kept", "comp"))
+    kept = found.where("kept AND comp IS NOT NULL")
+    several = kept.groupBy("comp").agg(F.min("mark").alias("first"), F.max("mark").alias("last")).where("first <> last")
+    further = kept.join(several, "comp").where("mark <> first")
+    return without(docs, found.where("NOT kept").select("doc_id", "mark").union(further.select("doc_id", "mark")))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,7 +197,7 @@ def _blocks(threshold: Fraction, minima: int):
 def near_duplicates(
     docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5), bands: int = 26, rows: int = 4
 ) -> DataFrame:
-    """One row ``(doc_id, n_shingles, component_id, class_id, kept, mark)`` for each row of ``docs``.
+    """One row ``(doc_id, n_shingles, component_id, class_id, kept, mark, comp)`` for each row of ``docs``.
 
     Texts are linked when their sets of distinct ``width``-word shingles have a Jaccard
     similarity of at least ``threshold``; ``component_id`` is the smallest doc_id reachable.
@@ -300,4 +300,6 @@ def near_duplicates(
         # the label of a component is the smallest row number in it
         F.when(own, F.lit(True)).when(F.col("component_id").isNull(), F.col("uid") == F.col("comp"))
         .otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"), "mark",
+        # tells components apart that share their smallest doc_id
+        F.when(~own, F.col("comp")).alias("comp"),
     )

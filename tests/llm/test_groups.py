@@ -6,6 +6,7 @@ from fractions import Fraction
 
 import pytest
 
+import corpus_pipeline
 from taxograft.llm import decontaminate, exact_dup, mixing, near_dup
 from taxograft.llm.common import components
 from taxograft.llm.queries import QUERIES
@@ -61,6 +62,16 @@ def test_near_duplicates_edges(spark):
         (7, 7, True): 3, (9, 7, False): 1, (None, 7, False): 1, (None, None, True): 2}
 
 
+def test_one_row_of_each_near_group_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words, x]) for x in "abc"]
+    rows = [(7, t) for t in texts] + [(9, texts[0] + " d"), (7, "quite another text with the same id"), (7, ""), (None, "nameless")]
+    left = corpus_pipeline.near_dedup(spark, documents(spark, rows), "")
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert sorted(d or 0 for d, _ in got) == [0, 7, 7, 7] and sum(t in texts for _, t in got) == 1
+    assert {(7, "quite another text with the same id"), (7, ""), (None, "nameless")} <= set(got)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(80)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
