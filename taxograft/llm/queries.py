@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxograft.llm import (
-    decontaminate, exact_dup, fixity, hosts, licenses, mixing, near_dup, pii, quality, toxicity,
+    decontaminate, exact_dup, fixity, hosts, lexical, licenses, mixing, near_dup, pii, quality, repeats, spelling, toxicity,
 )
 from taxograft.llm.common import table
 
@@ -60,10 +60,23 @@ def op10_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
     return fixity.audit(records, fixity.damaged_replica(records)).drop("digest")
 
 
+def op11_repeated_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii_sanitisation, op2_license_scan, op3_toxicity_chain, op4_benchmark_leaks, op5_pfair_mixing,
         op6_host_reputation, op7_minhash_near_dedup, op8_quality_classifier, op9_exact_dedup, op10_merkle_fixity,
+        op11_repeated_substrings, op12_spelling_variants, op13_ranked_search,
     )
 }
 
@@ -71,4 +84,7 @@ ORACLES: dict[str, str] = {
     "op6_host_reputation": hosts.SQL,
     "op9_exact_dedup": exact_dup.SQL,
     "op10_merkle_fixity": fixity.SQL,
+    "op11_repeated_substrings": repeats.SQL,
+    "op12_spelling_variants": spelling.SQL,
+    "op13_ranked_search": lexical.SQL,
 }
