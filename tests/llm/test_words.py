@@ -116,7 +116,7 @@ def test_variants_equal_brute_force(spark):
                 w[at : at + (kind > 0)] = rng.choice("abezéàÿ") if kind < 2 else ""
             words.append("".join(w))
         rows.append((i, rng.choice([" ", ", ", "1", "\n"]).join(words)))
-    rows += [(None, "letter " * 2_000), (None, None), (7, ""), (7, "letter"), (7, "letter"), (8, "ab " * 60_000 + "x" * 3_000 + " " + "y" * 200_000)]
+    rows += [(None, "letter " * 2_000), (None, None), (7, ""), (7, "letter"), (7, "letter"), (9, "planet " * 300 + "planat " * 40 + "plonat " * 6), (8, "ab " * 60_000 + "x" * 3_000 + " " + "y" * 200_000)]
     got = spelling.spelling_variants(documents(spark, rows)).collect()
     want = plain_variants(plain_words(rows))
     assert {(r["word"], r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in got} == want
