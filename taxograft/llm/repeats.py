@@ -107,12 +107,18 @@ def _long(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64))
 
 
-def _int(a: np.ndarray) -> pa.Array:
-    return pa.array(a.astype(np.int32))
+def _pack(a, b, c):
+    """Three numbers in one long, as rows of single starts are many: 31, 16 and 16 bits."""
+    return (a << 32) | (b << 16) | c
+
+
+def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return packed >> 32, (packed >> 16) & 0xFFFF, packed & 0xFFFF
 
 
 def sampled_runs(texts: DataFrame, length: int) -> DataFrame:
-    """``(mark, size, g, f, x, before, after)`` of all runs of ``texts(mark, size, text)``."""
+    """``(mark, size, g, f, place)`` of all runs of ``texts(mark, size, text)``; ``place`` packs the
+    position of the sample and the distances of the farthest and the nearest start."""
 
     def run(batches):
         for batch in batches:
@@ -122,131 +128,144 @@ def sampled_runs(texts: DataFrame, length: int) -> DataFrame:
                 pick = pa.array(text + at)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pick), batch.column(1).take(pick), _long(g), _long(f),
-                     _int(x - offsets[text]), _int(before), _int(after)],
-                    names=["mark", "size", "g", "f", "x", "before", "after"],
+                     _long(_pack(x - offsets[text], before, after))],
+                    names=["mark", "size", "g", "f", "place"],
                 )
 
     long_enough = texts.where(F.col("size") >= length).select("mark", "size", "text")
-    return long_enough.mapInArrow(run, "mark long, size int, g long, f long, x int, before int, after int")
+    return long_enough.mapInArrow(run, "mark long, size int, g long, f long, place long")
 
 
-def settle(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+def settle(rows: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """One ranking round over ``rows(*group, f, ...)``: rows of a unique group leave.
 
-    The others get ``again``, whether their own rank ``f`` occurs again, and ``open``, whether
-    the group has several ranks.  Counts are aggregated before they are shuffled; the rows of a
-    hot key are split by the adaptive join, which has one row a key on its other side.
+    Returns the rows whose own rank ``f`` occurs again, and for groups with several ranks one row
+    of each rank, with ``again``.  Counts and extremes are aggregated before they are shuffled; the
+    rows of a hot key are split by the adaptive join, which has one row a key on its other side.
     """
-    ranks = rows.groupBy(*group, "f").agg(F.count(F.lit(1)).alias("_c"))
-    groups = ranks.groupBy(*group).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_m")).where("_n > 1")
-    known = ranks.join(groups, list(group)).select(
-        *group, "f", (F.col("_c") > 1).alias("again"), (F.col("_m") > 1).alias("open")
-    )
-    return cut_lineage(rows.join(known, [*group, "f"]))
-
-
-def one_each(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row of each rank, by a pre-aggregating minimum."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
+    group = list(group)
+    rest = [c for c in rows.columns if c not in {*group, "f"}]
+    groups = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min("f").alias("_lo"), F.max("f").alias("_hi"))
+    groups = groups.where("_n > 1").select(*group, (F.col("_lo") != F.col("_hi")).alias("open"))
+    met = cut_lineage(rows.join(groups, group))
+    mixed = met.where("open").drop("open")
+    ranks = mixed.groupBy(*group, "f").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct(*rest)).alias("_r"))
+    again = mixed.join(ranks.where("_c > 1").select(*group, "f"), [*group, "f"], "left_semi")
+    repeated = met.where("NOT open").drop("open").unionByName(again)
+    return repeated, ranks.select(*group, "f", "_r.*", (F.col("_c") > 1).alias("again"))
+
+
+def distinct_texts(texts: DataFrame, length: int) -> DataFrame:
+    """``(mark, size, zipped)``: every different text of ``length`` bytes or more once, compressed
+    before it is moved."""
 
+    def run(batches):
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            small = [codec.compress(t.encode(), asbytes=True) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(small, pa.binary())], names=["mark", "size", "zipped"]
+            )
 
-RUN = ["mark", "size", "g", "x", "before", "after"]
+    rows = texts.where(F.col("size") >= length).select("mark", "size", "text")
+    return rows.mapInArrow(run, "mark long, size int, zipped binary").dropDuplicates(["mark", "size"])
 
 
 def stretches(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of runs: ``wanted(*RUN, done)`` with ``stretch``."""
-    fields = [*RUN[2:], "done"]
-    lists = wanted.groupBy("mark", "size").agg(F.collect_list(F.struct(*fields)).alias("runs"))
+    """The bytes of runs: ``wanted(mark, size, g, place, done)`` with ``stretch``."""
+    lists = wanted.groupBy("mark", "size").agg(F.collect_list(F.struct("g", "place", "done")).alias("runs"))
 
     def run(batches):
+        codec = pa.Codec("zstd")
         for batch in batches:
-            out = {c: [] for c in ["mark", "size", *fields, "stretch"]}
-            for mark, size, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = text.encode()
+            out = {c: [] for c in schema.names}
+            for mark, size, zipped, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                raw = codec.decompress(zipped, decompressed_size=size, asbytes=True)
                 for r in found:
-                    out["mark"].append(mark)
-                    out["size"].append(size)
-                    for c in fields:
-                        out[c].append(r[c])
-                    out["stretch"].append(raw[r["x"] - r["before"] : r["x"] - r["after"] + length])
+                    x, before, after = _unpack(r["place"])
+                    values = mark, size, r["g"], r["place"], r["done"], raw[x - before : x - after + length]
+                    for name, value in zip(schema.names, values, strict=True):
+                        out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     schema = pa.schema([
-        ("mark", pa.int64()), ("size", pa.int32()), ("g", pa.int64()), ("x", pa.int32()), ("before", pa.int32()),
-        ("after", pa.int32()), ("done", pa.bool_()), ("stretch", pa.binary()),
+        ("mark", pa.int64()), ("size", pa.int32()), ("g", pa.int64()), ("place", pa.int64()), ("done", pa.bool_()),
+        ("stretch", pa.binary()),
     ])
-    met = texts.select("mark", "size", "text").join(lists, ["mark", "size"]).select("mark", "size", "text", "runs")
-    found = met.mapInArrow(run, "mark long, size int, g long, x int, before int, after int, done boolean, stretch binary")
-    return found.dropDuplicates(RUN)  # equal texts give equal rows
+    met = texts.join(lists, ["mark", "size"]).select("mark", "size", "zipped", "runs")
+    return met.mapInArrow(run, "mark long, size int, g long, place long, done boolean, stretch binary")
 
 
 def cells(found: DataFrame, length: int, cell: int) -> DataFrame:
-    """Cells of ``cell`` starts: ``(*RUN, q, core, f, low, high, done)``.
+    """Cells of ``cell`` starts: ``(mark, size, g, place, part, core, f)``.
 
-    ``found(*RUN, stretch, parts)`` has the starts to be cut in ``parts``, ranges of distances from the
-    sample.  ``q`` numbers the cells by this distance; ``core`` names what all strings of the
-    cell share, ``f`` the stretch from its farthest start ``high`` to the nearest one ``low``.
+    ``found(mark, size, g, place, stretch, parts)`` has the starts to be cut in ``parts``, packed ranges of
+    distances from the sample.  Cells are counted by this distance; ``core`` names what all
+    strings of the cell share, ``f`` the stretch of those of its starts that are in ``part``.
     """
 
     def run(batches):
         for batch in batches:
-            before, after = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (4, 5))
+            _, before, after = _unpack(batch.column(3).to_numpy())
             sizes = before - after + length
             starts = np.cumsum(sizes) - sizes
-            prints = Prints(np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=np.uint8))
-            parts = batch.column(7)
+            prints = Prints(np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8))
+            parts = batch.column(5)
             owner = parts.value_parent_indices().to_numpy().astype(np.int64)
-            flat = parts.flatten()
-            least, most, done = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            least, most = least.astype(np.int64), most.astype(np.int64)
+            least, most, done = _unpack(parts.flatten().to_numpy())
             n = most // cell - least // cell + 1
             part = np.repeat(np.arange(len(n)), n)
             q = np.arange(len(part)) - np.repeat(np.cumsum(n) - n, n) + (least // cell)[part]
             low, high = np.maximum(least[part], cell * q), np.minimum(most[part], cell * q + cell - 1)
             row = owner[part]
             base = starts[row] + before[row]
-            core = base - cell * q  # nearest start of the whole cell
+            core = base - cell * q  # the nearest start of the whole cell
             pick = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).take(pick) for i in range(6)), _int(q), _int(low), _int(high), pa.array(done[part]),
+                [*(batch.column(i).take(pick) for i in range(4)), _long(_pack(low, high, done[part])),
                  _long(prints.of(core, core - cell + 1 + length, q)),
                  _long(prints.of(base - high, base - low + length, low * length + high))],
-                names=[*RUN, "q", "low", "high", "done", "core", "f"],
+                names=["mark", "size", "g", "place", "part", "core", "f"],
             )
 
-    shape = ("mark long, size int, g long, x int, before int, after int, q int, low int, high int, done boolean, "
-             "core long, f long")
-    return found.select(*RUN, "stretch", "parts").mapInArrow(run, shape)
+    shape = "mark long, size int, g long, place long, part long, core long, f long"
+    return found.select("mark", "size", "g", "place", "stretch", "parts").mapInArrow(run, shape)
+
 
+def _bits(column: str, at: int):
+    return F.shiftright(column, 16 * at).bitwiseAND(F.lit(0xFFFF)) if at < 2 else F.shiftright(column, 32)
 
-def find_repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+
+def find_repeats(rows: DataFrame, texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """Spans ``(mark, size, start, end)`` of bytes covered by strings that occur more than once.
 
-    ``texts(mark, size, text)``: hash, bytes and text of every row.  Equal texts are rows of
-    their own, so what they hold is repeated, and give their spans once.
+    ``rows(mark, size, text)``: hash, bytes and text of every row; ``texts`` the different ones.
+    Equal texts are rows of their own, so what they hold is repeated, and give their spans once.
     """
 
-    def spans(rows: DataFrame, near: str, far: str) -> DataFrame:
-        return rows.select("mark", "size", (F.col("x") - F.col(far)).alias("start"), (F.col("x") - F.col(near) + length).alias("end"))
+    def spans(found: DataFrame, far, near) -> DataFrame:
+        x = _bits("place", 2)
+        return found.select("mark", "size", (x - far).cast("int").alias("start"), (x - near + length).cast("int").alias("end"))
 
-    def part(low: str, high: str):
-        return F.struct(F.col(low).alias("low"), F.col(high).alias("high"), "done")
+    def part(far, near, done):
+        return _pack_columns(near, far, done.cast("long"))
 
-    first = settle(sampled_runs(texts, length), ["g"])
-    going_on = one_each(first.where("open").select(*RUN, "f", F.col("again").alias("done")), ["g", "f"]).drop("f")
+    key = ["mark", "size", "place"]
+    whole, kinds = settle(sampled_runs(rows, length), ["g"])
+    going_on = kinds.select(*key, "g", F.col("again").alias("done"))
     found = cut_lineage(stretches(texts, going_on, length))
-    second = settle(cells(found.withColumn("parts", F.array(part("after", "before"))), length, CELL), ["g", "core"])
+    all_starts = F.array(part(_bits("place", 1), _bits("place", 0), F.col("done")))
+    halves, kinds = settle(cells(found.withColumn("parts", all_starts), length, CELL), ["g", "core"])
     # what occurs again is settled, but may be the partner of a cell that does not
-    open_cells = one_each(second.where("open").withColumn("done", F.expr("done OR again")), ["g", "core", "f"])
-    parts = open_cells.groupBy(*RUN).agg(F.collect_list(part("low", "high")).alias("parts"))
-    third = settle(cells(found.join(parts, RUN), length, 1), ["g", "core"])
-    return (
-        spans(first.where("again"), "after", "before")
-        .unionByName(spans(second.where("again AND NOT done"), "low", "high"))
-        .unionByName(spans(third.where("again AND NOT done"), "low", "high"))
-        .distinct()
-    )
+    settled = F.col("again") | (_bits("part", 0) > 0)
+    parts = kinds.groupBy(*key).agg(F.collect_list(part(_bits("part", 1), _bits("part", 2), settled)).alias("parts"))
+    singles, _ = settle(cells(found.join(parts, key), length, 1), ["g", "core"])
+    by_part = [spans(r.where(_bits("part", 0) == 0), _bits("part", 1), _bits("part", 2)) for r in (halves, singles)]
+    return spans(whole, _bits("place", 1), _bits("place", 0)).unionByName(by_part[0]).unionByName(by_part[1]).distinct()
+
+
+def _pack_columns(a, b, c):
+    return F.shiftleft(a.cast("long"), 32).bitwiseOR(F.shiftleft(b.cast("long"), 16)).bitwiseOR(c.cast("long"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = False) -> DataFrame:
@@ -262,18 +281,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Fal
     if it has ``length`` bytes.  A very long text is sampled in pieces but judged whole; a table
     without rows gives none.  Ties do not arise; other columns are ignored.
     """
-    if length < 4 * CELL:
-        raise ValueError(f"repeats of less than {4 * CELL} bytes cannot be sampled")
+    if not 4 * CELL <= length < 1 << 15:
+        raise ValueError(f"repeats of {length} bytes cannot be sampled")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"mark": F.xxhash64("text"), "size": F.octet_length("text")})
-    lists = find_repeats(rows, length).groupBy("mark", "size").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    texts = distinct_texts(rows, length)
+    lists = find_repeats(rows, texts, length).groupBy("mark", "size").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def run(batches):
+        codec = pa.Codec("zstd")
         for batch in batches:
             out = []
-            for doc_id, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                raw, kept, removed, at = text.encode(), [], [], 0
-                for span in sorted(found or [], key=lambda s: (s["start"], s["end"])):
+            for mark, size, zipped, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                raw, kept, removed, at = codec.decompress(zipped, decompressed_size=size, asbytes=True), [], [], 0
+                for span in sorted(found, key=lambda s: (s["start"], s["end"])):
                     if removed and span["start"] <= removed[-1][1]:
                         removed[-1][1] = max(removed[-1][1], span["end"])
                     else:
@@ -282,20 +303,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Fal
                     kept.append(raw[at:start])
                     at = end
                 left = b"".join([*kept, raw[at:]])
-                row = {
-                    "doc_id": doc_id, "n_bytes": len(raw), "n_removed": len(raw) - len(left), "n_spans": len(removed),
-                    "kept_sha256": hashlib.sha256(left).hexdigest(),
-                }
-                out.append({**row, "spans": [{"start": a, "end": b} for a, b in removed], "kept": left} if keep_bytes else row)
+                row = {"mark": mark, "size": size, "n_removed": size - len(left), "n_spans": len(removed), "sha": hashlib.sha256(left).hexdigest()}
+                more = {"spans": [{"start": a, "end": b} for a, b in removed], "kept": left} if keep_bytes else {}
+                out.append({**row, **more})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    fields = [("mark", pa.int64()), ("size", pa.int32()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string())]
+    shape = "mark long, size int, n_removed long, n_spans long, sha string"
+    own = ["doc_id", "mark", "size", F.sha2("text", 256).alias("_sha")]
+    none = F.lit(0).cast("long")
+    shown = [
+        "doc_id", F.col("size").cast("long").alias("n_bytes"), F.coalesce("n_removed", none).alias("n_removed"),
+        F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("sha", "_sha").alias("kept_sha256"),
+    ]
     if keep_bytes:
         fields += [("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())]
         shape += ", spans array<struct<start: long, end: long>>, kept binary"
+        own.append(F.encode("text", "UTF-8").alias("_all"))
+        shown += [F.coalesce("spans", F.expr("cast(array() AS array<struct<start: long, end: long>>)")).alias("spans"), F.coalesce("kept", "_all").alias("kept")]
     schema = pa.schema(fields)
-    return rows.join(lists, ["mark", "size"], "left").select("doc_id", "text", "spans").mapInArrow(run, shape)
+    cut = texts.join(lists, ["mark", "size"]).select("mark", "size", "zipped", "spans").mapInArrow(run, shape)
+    return rows.select(*own).join(cut, ["mark", "size"], "left").select(*shown)
 
 
 #: Every string of 200 bytes counted, texts cut into overlapping pieces first.
