@@ -1,80 +1,128 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source, in a seeded order, are cut into blocks.  With a target weight ``w``,
-block ``i`` of a source has the release time ``floor(i / w)`` and the deadline
-``ceil((i + 1) / w)``, and one block is dealt in every slot: the released block with the
-earliest deadline.  In every prefix, each source then deviates from its weight by less than
-one block.
-
-Weights are integer parts ``p`` of ``Q`` slots, so the schedule repeats every ``Q`` slots:
-only one frame is simulated for each set of sources that still have blocks, and a document
-finds its slot by arithmetic.  What is computed on the driver depends on the number of
-sources (a configuration), not on documents or blocks.
+Documents of a source, in a seeded order, are cut into blocks, and one block is dealt in every
+slot.  The target of a source is fluid: at every moment the sources that still have blocks
+share the next one in proportion to their weights, and a source leaves when its target reaches
+its blocks.  Block ``i`` is released in the slot in which the target passes ``i`` and due in the
+one in which it reaches ``i + 1``; of the released blocks the one with the earliest deadline is
+dealt.  The fluid targets fit into these windows, so every block is dealt inside its own, and in
+every prefix each source is less than one block off its target, before and after others have
+left.
+
+Release times and deadlines are taken from the weights exactly, in integers.  Dealing is a pass
+over the slots by one task that holds one block of each source and hands on a row for each slot;
+documents are numbered, cut and joined with their slots in parallel.  ``block`` sets how many
+slots there are: with 64 documents of 2 kB a slot stands for 128 kB of text.
 """
 
 from __future__ import annotations
 
 import heapq
-
+import sys
+from bisect import bisect_right
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxograft.plans.lineage import cut_lineage
 from taxograft.plans.order import running_totals
 
-BLOCK = 64
-#: Sum of the parts that weights are rounded to; every source has one part at least.
-PARTS = 1_000
-#: More sources than this is an error, never a cut.
-MAX_SOURCES = 2_000
-
-
-def frame(parts: list[int]) -> list[list[tuple[int, int, int]]]:
-    """For each source its ``(slot, release, deadline)`` in one frame of ``sum(parts)`` slots."""
-    total = sum(parts)
-    releases: list[tuple[int, int, int]] = sorted(
-        (i * total // p, -(-(i + 1) * total // p), s) for s, p in enumerate(parts) for i in range(p)
-    )
-    out: list[list[tuple[int, int, int]]] = [[] for _ in parts]
-    ready: list[tuple[int, int, int]] = []
-    at = 0
-    for slot in range(total):
-        while at < len(releases) and releases[at][0] <= slot:
-            release, deadline, s = releases[at]
-            heapq.heappush(ready, (deadline, s, release))
-            at += 1
-        deadline, s, release = heapq.heappop(ready)
-        out[s].append((slot, release, deadline))
-    return out
-
-
-Slots = list[tuple[int, int, int]]
-
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def phases(blocks: list[int], parts: list[int]) -> list[tuple[int, int, int, int, int, float, Slots]]:
-    """``(source, first block, frames, first slot, slots of a frame, weight, own slots)`` until
-    all blocks are dealt.
-
-    Whole frames are dealt while every source can fill them; the next frame is cut before the
-    slot that a source cannot fill.  That source has run out then and leaves, and the weights of
-    the others are carried on among themselves.
-    """
-    left, done, start = list(blocks), [0] * len(blocks), 0
-    out = []
-    while active := [s for s, n in enumerate(left) if n > 0]:
-        frames = min(left[s] // parts[s] for s in active)
-        dealt = frame([parts[s] for s in active])
-        total = whole = sum(parts[s] for s in active)
-        if not frames:
-            total = min(slots[left[s]][0] for s, slots in zip(active, dealt, strict=True) if left[s] < parts[s])
-            frames = 1
-        for s, slots in zip(active, dealt, strict=True):
-            own = [x for x in slots if x[0] < total]
-            if own:
-                out.append((s, done[s], frames, start, total, parts[s] / whole, own))
-            done[s] += frames * len(own)
-            left[s] -= frames * len(own)
-        start += frames * total
-    return out
+BLOCK = 64
+#: Slots that are handed on at once.
+BATCH = 1 << 14
+
+
+class Targets:
+    """Fluid targets of sources with ``blocks`` blocks and ``weights``, in exact arithmetic."""
+
+    def __init__(self, blocks: list[int], weights: list[float]):
+        exact = [Fraction(w) for w in weights]
+        unit = lcm(*(w.denominator for w in exact)) if exact else 1
+        self.blocks, self.weights = blocks, [int(w * unit) for w in exact]
+        # sources leave in the order of blocks / weight
+        order = sorted(range(len(blocks)), key=lambda s: Fraction(blocks[s], self.weights[s]))
+        self.order = order
+        self.leave = [blocks[s] / self.weights[s] for s in order]
+        self.gone, self.active = [0], [sum(self.weights)]
+        for s in order:
+            self.gone.append(self.gone[-1] + blocks[s])
+            self.active.append(self.active[-1] - self.weights[s])
+
+    def at(self, source: int, i: int) -> tuple[int, int, int]:
+        """Where the target of the source reaches ``i``: numerator, denominator and the sum of the
+        weights that share the slots from there."""
+        w = self.weights[source]
+        k = bisect_right(self.leave, i / w)
+        while k and self._leaves_after(k - 1, i, w):
+            k -= 1
+        while k < len(self.order) and not self._leaves_after(k, i, w):
+            k += 1
+        return self.gone[k] * w + i * self.active[k], w, self.active[k]
+
+    def _leaves_after(self, k: int, i: int, w: int) -> bool:
+        s = self.order[k]
+        return self.blocks[s] * w > i * self.weights[s]
+
+
+def deal(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int, int, int, int, float]]:
+    """``(slot, source, block, release, deadline, weight)`` of every slot, earliest deadline first;
+    ``weight`` is the share that the source has when the block is released."""
+    targets = Targets(blocks, weights)
+
+    def job(s: int, i: int) -> tuple[int, int, int, int, float]:
+        top, bottom, active = targets.at(s, i)
+        end, _, _ = targets.at(s, i + 1)
+        return top // bottom, s, i, -(-end // bottom), bottom / active
+
+    coming = [job(s, 0) for s, n in enumerate(blocks) if n]
+    heapq.heapify(coming)
+    ready: list[tuple[int, int, int, int, float]] = []
+    for slot in range(sum(blocks)):
+        while coming and coming[0][0] <= slot:
+            release, s, i, deadline, weight = coming[0]
+            heapq.heappush(ready, (deadline, s, i, release, weight))
+            if i + 1 < blocks[s]:
+                heapq.heapreplace(coming, job(s, i + 1))
+            else:
+                heapq.heappop(coming)
+        deadline, s, i, release, weight = heapq.heappop(ready)
+        yield slot, s, i, release, deadline, weight
+
+
+def schedule(sources: DataFrame) -> DataFrame:
+    """``(first, block, slot, release, deadline, weight)`` of all blocks of ``sources(first, blocks,
+    target)``; ``first`` names and orders the sources."""
+    names = ["first", "block", "slot", "release", "deadline", "weight"]
+
+    def run(batches):
+        rows = sorted(
+            row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
+        )
+        held: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*held, strict=True))
+            kinds = [pa.int64()] * 5 + [pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+        for slot, s, i, release, deadline, weight in deal([r[1] for r in rows], [r[2] for r in rows]):
+            held.append((rows[s][0], i, slot, release, deadline, weight))
+            if len(held) == BATCH:
+                yield batch()
+                held = []
+        if held:
+            yield batch()
+
+    shape = "first long, block long, slot long, release long, deadline long, weight double"
+    # one row a source, one row a slot: no document passes here
+    return sources.select("first", "blocks", "target").repartition(1).mapInArrow(run, shape)
 
 
 def mix(
@@ -85,51 +133,34 @@ def mix(
 
     ``weights`` gives a positive target weight for each source, by default the square root of
     its document count; a source without an entry gets the smallest weight given.  A null
-    source is a source of its own.  Blocks have ``block`` documents, the last one of a source
-    the rest.  Every row is dealt exactly once: a source that runs out leaves, the others keep
-    their proportions.  Inside a source, rows follow a seeded hash of doc_id; rows with null or
-    repeated ids are told apart by the order they are read in.
+    source is a source of its own; there may be any number of them.  Blocks have ``block``
+    documents, the last one of a source the rest.  Every row is dealt exactly once: a source that
+    runs out leaves, the others keep their proportions.  ``weight`` is the exact share of the source
+    among those left when its block is released.  Inside a source, rows follow a seeded hash of
+    doc_id; rows with null or repeated ids are told apart by the order they are read in.  Texts are
+    not read, so their length does not matter; equal deadlines go by the name of the source, and a
+    table without rows gives none.
     """
+    if weights and min(weights.values()) <= 0:
+        raise ValueError("weights must be positive")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")).withColumn(
         "uid", F.monotonically_increasing_id()
     ).withColumn("h", F.xxhash64(F.coalesce("doc_id", "uid"), F.lit(seed)))
     # numbered over (source, hash) ranges: a source of any size is spread over many tasks
     numbered = running_totals(rows, ["source", "h", "uid"], rn=F.lit(1).cast("long"))
-    counted = numbered.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("rn").alias("first"))
-    table = counted.orderBy("source").limit(MAX_SOURCES + 1).collect()
-    if len(table) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources to mix")
-    least = min(weights.values()) if weights else 1.0
-    target = [weights.get(r["source"], least) if weights else r["n"] ** 0.5 for r in table]
-    if any(w <= 0 for w in target):
-        raise ValueError("weights must be positive")
-    parts = [max(1, round(PARTS * w / sum(target))) for w in target]
-    plan = phases([-(-r["n"] // block) for r in table], parts)
-    schema = (
-        "source string, first long, first_block long, last_block long, start long, total int, parts int, weight double, "
-        "slots array<struct<slot:int,release:int,deadline:int>>"
-    )
-    deals = docs.sparkSession.createDataFrame(
-        [
-            (table[s]["source"], table[s]["first"], done, done + frames * len(slots), start, total, len(slots), weight, slots)
-            for s, done, frames, start, total, weight, slots in plan
-        ],
-        schema,
-    )
-    n = deals.withColumnRenamed("source", "_source")
-    joined = (
-        numbered.join(F.broadcast(n.select("_source", "first").distinct()), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-        .withColumn("at", F.col("rn") - F.col("first")).drop("first")
-        .withColumn("block", F.floor(F.col("at") / block)).withColumn("place", (F.col("at") % block).cast("int"))
-        # bounded by the number of sources: see MAX_SOURCES
-        .join(F.broadcast(n.drop("first")), F.col("source").eqNullSafe(F.col("_source"))
-              & (F.col("block") >= F.col("first_block")) & (F.col("block") < F.col("last_block")))
-    )
-    inside = F.col("block") - F.col("first_block")
-    base = F.col("start") + F.floor(inside / F.col("parts")) * F.col("total")
-    deal = F.element_at("slots", (inside % F.col("parts") + 1).cast("int"))
-    return joined.select(
-        "doc_id", "source", "block", "place",
-        *((base + deal[k]).cast("long").alias(k) for k in ("slot", "release", "deadline")),
-        "weight",
+    counted = cut_lineage(numbered.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("rn").alias("first")))
+    if weights:
+        given = docs.sparkSession.createDataFrame(list(weights.items()), "_source string, target double")
+        known = counted.join(given, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+        sources = known.withColumn("target", F.coalesce("target", F.lit(float(min(weights.values())))))
+    else:
+        sources = counted.withColumn("target", F.sqrt("n"))
+    dealt = cut_lineage(schedule(sources.withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))))
+    own = counted.select(F.col("source").alias("_source"), "first")
+    at = F.col("rn") - F.col("first")
+    return (
+        numbered.join(own, F.col("source").eqNullSafe(F.col("_source")))
+        .withColumns({"block": F.floor(at / block), "place": (at % block).cast("int")})
+        .join(dealt, ["first", "block"])
+        .select("doc_id", "source", "block", "place", "slot", "release", "deadline", "weight")
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +22,10 @@ FEATURES = 256
 WIDTH = 3.0
 RIDGE = 1.0
 BINS = 512
+#: Tasks whose sums of normal equations are added up at once.
+SUMS = 256
 #: Range of raw scores that the bins cut; rarer ones fall into the outer bins.
 LOW, HIGH = -0.5, 1.5
-#: Tasks whose sums of normal equations are added up; each is FEATURES rows of FEATURES numbers.
-SUMS = 256
 
 _B = np.arange(256)
 
@@ -133,17 +133,21 @@ def fit(rows: DataFrame, features: int = FEATURES, seed: int = 3) -> Model:
                   np.zeros(features + 1), np.array([0.0]), np.array([0.5]))
 
     def sums(batches):
+        task = TaskContext.get().partitionId()
         total = np.zeros((features + 1, features + 2))
         for pdf in batches:
             f = model.features(_matrix(pdf["x"]))
             total += f.T @ np.concatenate([f, pdf["label"].to_numpy(dtype=float)[:, None]], axis=1)
-        yield pd.DataFrame({"i": range(features + 1), "v": list(total)})
+        yield pd.DataFrame({"part": task // SUMS, "i": range(features + 1), "v": list(total)})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [int(pdf["i"].iloc[0])], "v": [np.sum(np.stack(pdf["v"].to_numpy()), axis=0)]})
+        return pd.DataFrame({"part": [0], "i": [int(pdf["i"].iloc[0])], "v": [np.sum(np.stack(pdf["v"].to_numpy()), axis=0)]})
 
     fitted = rows.where("NOT calibrate").select("x", F.col("label").cast("double").alias("label"))
-    summed = fitted.coalesce(SUMS).mapInPandas(sums, "i int, v array<double>").groupBy("i").applyInPandas(add, "i int, v array<double>")
+    shape = "part int, i int, v array<double>"
+    # a tree of two levels: rows of SUMS tasks are added before all of them are
+    some = fitted.mapInPandas(sums, shape).groupBy("part", "i").applyInPandas(add, shape)
+    summed = some.groupBy("i").applyInPandas(add, shape)
     whole = np.zeros((features + 1, features + 2))
     for r in summed.collect():
         whole[r["i"]] = r["v"]
@@ -181,8 +185,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     ``held_out`` rows have ``crc32(doc_id as text) mod 4 = 2``; a null id has no check sum and
     is not held out, nor labelled.  Of the other labelled rows, those with remainder 3 calibrate
     and the rest fit.  Several labels of one id count once, by their minimum; null labels not at
-    all.  A null text counts as empty; an empty text is scored by its statistics, all 0.  Without
-    labelled rows every score is 0.5 or the raw one.  Other columns are ignored.
+    all.  A null text counts as empty; an empty text is scored by its statistics, all 0.  Texts of
+    any length are read whole, equal texts get equal scores, and a table without rows gives none.
+    Without labelled rows every score is 0.5 or the raw one.  Other columns are ignored.
     """
     part = F.crc32(F.col("doc_id").cast("string")) % 4
     rows = cut_lineage(document_statistics(docs).withColumn("part", F.coalesce(part, F.lit(0).cast("long"))))
@@ -195,11 +200,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     model = fit(train)
 
     def run(batches):
-        for pdf in batches:
-            score = model.calibrated(model.raw(_matrix(pdf["x"])))
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["part"] == 2, "score": score,
-                "predicted": (score >= threshold).astype("int32"),
-            })
-
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+        for batch in batches:  # ids stay in Arrow: beside a null, pandas would turn them into floats
+            x = batch.column(1).flatten().to_numpy().reshape(-1, WIDE)
+            score = model.calibrated(model.raw(x))
+            held_out = batch.column(2).to_numpy() == 2
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(held_out), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
+                names=["doc_id", "held_out", "score", "predicted"],
+            )
+
+    return rows.select("doc_id", "x", "part").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

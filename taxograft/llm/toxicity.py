@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from taxograft.llm import kernels as K
 from taxograft.plans.lineage import cut_lineage
+from taxograft.plans.order import first_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -150,8 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_r
     """Train the chain on at most ``max_rows`` labelled rows, copies among them left out.
 
     ``categories`` names 0/1 expressions over the columns of ``labels``, in chain order; a
-    null counts as 0.  Labels of one doc_id are merged by their maximum; rows with a null id
-    are left out.  Without labelled rows every probability is that of an empty table, about 0.
+    null counts as 0.  Labels of one doc_id are merged by their maximum, of the texts of one
+    doc_id the one with the smallest hash is taken; rows with a null id are left out.  Without labelled rows every probability is that of an empty table, about 0.
     """
     kinds = list(categories)
     known = labels.where(F.col("doc_id").isNotNull()).select(
@@ -161,6 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_r
     chosen = known.join(present, "_id", "left_semi").orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(max_rows)
     # at most max_rows rows of a few integers: bounded whatever the size of the tables
     drawn = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id")
+    # an id may stand on many texts: the one with the smallest hash is trained on
+    drawn = first_rows(drawn.withColumn("hash", F.xxhash64("text")), ["doc_id"], ["hash", "text"]).drop("hash")
     drawn = cut_lineage(drawn.withColumn("row", F.monotonically_increasing_id()))
     sample = cut_lineage(without_copies(drawn))
     ys = [f"y{i}" for i in range(len(kinds))]

@@ -118,7 +118,7 @@ def plain_leaks(docs, bench):
     return Counter(out)
 
 
-@pytest.mark.parametrize("sent", [decontaminate.SENT_SHINGLES, 0])
+@pytest.mark.parametrize("sent", [decontaminate.SENT_BYTES, 0])
 def test_leaks_equal_brute_force(spark, sent):
     rng = random.Random(8)
     word = lambda: f"v{rng.randrange(50)}"
@@ -148,15 +148,61 @@ def test_sketch_size_misses_nothing():
         assert decontaminate.sketch_size(n, Fraction(4, 5)) > n - -(-4 * n // 5)
 
 
-@pytest.mark.parametrize("parts", [[1], [1, 1], [3, 5, 2], [500, 300, 150, 50], [7] * 13, [1, 999], [997, 1, 1, 1]])
-def test_frames_deviate_by_less_than_one_block(parts):
-    total = sum(parts)
-    order = sorted((slot, s) for s, slots in enumerate(mixing.frame(parts)) for slot, release, deadline in slots)
-    assert [slot for slot, _ in order] == list(range(total))
-    dealt = [0] * len(parts)
-    for slot, s in order:
+def test_only_sketched_items_are_candidates(spark):
+    """What many items share is not searched by, and no pair is made of it."""
+    common = " ".join(f"c{i}" for i in range(14))
+    bench = [(i, f"{common} " + " ".join(f"i{i}x{j}" for j in range(30))) for i in range(40)]
+    docs = [(i, f"{common} " + " ".join(f"d{i}x{j}" for j in range(60))) for i in range(50)] + [(99, bench[7][1])]
+    parts = decontaminate.item_shingles(items(spark, bench), 5, Fraction(4, 5))
+    kept = decontaminate.sketches(parts)
+    sizes = {r["item"]: (r["n"], r["count"]) for r in kept.groupBy("item", "n").count().collect()}
+    assert set(sizes.values()) == {(40, decontaminate.sketch_size(40, Fraction(4, 5)))}
+    hits = decontaminate.document_shingles(documents(spark, docs), 5)
+    assert decontaminate.candidates(hits, kept, Fraction(4, 5)).count() == 1
+    got = decontaminate.leaks(documents(spark, docs), items(spark, bench)).collect()
+    assert [(r["doc_id"], r["item_id"], r["n_shared"]) for r in got] == [(99, 7, 40)]
+    # without their sketches the items are not found
+    nothing = decontaminate.candidates(hits, kept.where("item < 0"), Fraction(4, 5))
+    assert nothing.count() == 0
+
+
+def fluid(blocks, weights, t):
+    """Targets at time ``t``: shares by weight, sources leave when they have their blocks."""
+    have, left, now = [Fraction(0)] * len(blocks), set(range(len(blocks))), Fraction(0)
+    w = [Fraction(x) for x in weights]
+    while left and now < t:
+        total = sum(w[s] for s in left)
+        step = min([t - now] + [(blocks[s] - have[s]) * total / w[s] for s in left])
+        for s in left:
+            have[s] += step * w[s] / total
+        now += step
+        left = {s for s in left if have[s] < blocks[s]}
+    return have
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_every_prefix_is_less_than_one_block_off(seed):
+    rng = random.Random(seed)
+    blocks = [rng.choice([1, 2, 9, 40]) for _ in range(rng.choice([1, 2, 7, 12]))]
+    weights = [rng.choice([1.0, 0.5, 2**0.5, 0.001, 3.7]) for _ in blocks]
+    dealt = [0] * len(blocks)
+    for slot, s, i, release, deadline, _ in mixing.deal(blocks, weights):
+        assert i == dealt[s] and release <= slot < deadline
         dealt[s] += 1
-        assert all(abs(d * total - p * (slot + 1)) < total for d, p in zip(dealt, parts, strict=True))
+        assert all(abs(d - x) < 1 for d, x in zip(dealt, fluid(blocks, weights, slot + 1), strict=True))
+    assert dealt == blocks
+
+
+def test_many_slots_and_sources_without_drift():
+    rng = random.Random(1)
+    blocks = [rng.randrange(1, 40) for _ in range(5_000)]
+    blocks[0] = 50_000
+    weights = [n**0.5 * rng.choice([1.0, 3.14159, 1e-3]) for n in blocks]
+    slots = 0
+    for slot, _, _, release, deadline, _ in mixing.deal(blocks, weights):
+        assert release <= slot < deadline  # the windows are those of the exact weights
+        slots += 1
+    assert slots == sum(blocks) > 100_000
 
 
 def test_mixing_deals_every_row_once_and_on_time(spark):
@@ -173,9 +219,20 @@ def test_mixing_deals_every_row_once_and_on_time(spark):
         by_slot[r["slot"]].add((r["source"], r["block"]))
     assert sorted(by_slot) == list(range(len(by_slot))) and all(len(v) == 1 for v in by_slot.values())
     first = [next(iter(by_slot[s]))[0] for s in range(40)]  # all sources still have blocks
+    total = sum(map(Fraction, weights.values()))
     for n in range(1, 41):
         c = Counter(first[:n])
-        assert all(abs(c[k] - w * n) < 1.05 for k, w in weights.items())
+        assert all(abs(c[k] - Fraction(w) * n / total) < 1 for k, w in weights.items())
+
+
+def test_mixing_of_many_sources(spark):
+    rows = [(i, "t", f"host{i % 2_500}" if i % 3 else "hot") for i in range(9_000)]
+    got = mixing.mix(documents(spark, rows), block=4).collect()
+    assert len({(r["slot"], r["place"]) for r in got}) == len(got) == 9_000
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    n = Counter(s for _, _, s in rows)
+    share = n["hot"] ** 0.5 / sum(x**0.5 for x in n.values())
+    assert all(r["weight"] == pytest.approx(share) for r in got if r["source"] == "hot" and r["block"] == 0)
 
 
 def test_mixing_edges(spark):

@@ -230,3 +230,23 @@ def test_leaks_of_the_given_tables(spark):
     got = QUERIES["op4_benchmark_leaks"](spark, BIG).collect()
     assert Counter((r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in got) == plain_leaks(docs, bench)
     assert decontaminate.sketch_size(30, Fraction(4, 5)) == 7
+
+
+def test_quality_keeps_large_ids_beside_nulls(spark):
+    ids = [9007199254740993, 9007199254740995, None, -5]
+    got = quality.score_quality(documents(spark, [(i, "some words here") for i in ids]), spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r["doc_id"] for r in got.collect()} == set(ids)
+
+
+def test_toxicity_trains_on_one_text_of_an_id(spark):
+    rows = [(1, f"word{i} common text") for i in range(400)] + [(2, "bad bad words"), (3, "good words")]
+    labels = spark.createDataFrame([(1, 0, 0), (2, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows).select("doc_id", "text")
+    seen = []
+    original = toxicity.without_copies
+    try:
+        toxicity.without_copies = lambda df: seen.append(df.count()) or original(df)
+        assert toxicity.toxicity(docs, labels).count() == len(rows)
+    finally:
+        toxicity.without_copies = original
+    assert seen == [3]
