@@ -6,7 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -256,61 +257,93 @@ def retrieval_grid(
 
 # ----------------------------------------------------------------- dense search
 
-def _block_top_k(metric: str, k: int, rows: int = 256):
-    """Kernel over one block of queries and one block of vectors: best ``k`` per query.
-
-    The helpers are nested so that workers get them by value and need no package.
-    """
+def _best_rows(metric: str, k: int, rows: int = 256):
+    """Kernel of one block of vectors, ids in order, and a batch of queries: places and scores of
+    the best ``k`` of each.  It is nested so that workers get it by value and need no package."""
     if metric not in {"ip", "cosine", "l2"}:
         raise ValueError(metric)
     digits = DIGITS
 
-    def matrix(column: pd.Series) -> np.ndarray:
-        return np.stack(column.to_numpy()).astype(np.float64)
-
     def unit_rows(m: np.ndarray) -> np.ndarray:
         n = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(n == 0, 1, n)
 
-    def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    def best(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # higher is better for every metric
         if metric == "ip":
-            return q @ v.T
-        if metric == "cosine":
-            return unit_rows(q) @ unit_rows(v).T
-        d2 = (q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * q @ v.T
-        return -np.sqrt(np.maximum(d2, 0))
-
-    def final(q: np.ndarray, v: np.ndarray, s: np.ndarray, best: np.ndarray) -> np.ndarray:
-        # distances of the chosen vectors are taken again without cancellation
-        if metric != "l2":
-            return np.take_along_axis(s, best, 1)
-        return np.round(-np.sqrt(((q[:, None, :] - v[best]) ** 2).sum(-1)), digits)
-
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out_q, out_i, out_s = [], [], []
-        if len(left) and len(right):
-            ids = right["id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, v = ids[order], matrix(right["vector"])[order]
-            qs = left["l_q"].to_numpy()
-            for at in range(0, len(left), rows):
-                q = matrix(left["l_vector"].iloc[at : at + rows])
-                s = np.round(scores(q, v), digits)
-                # stable sort on ids in order: score descending, then id ascending
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                out_q.append(np.repeat(qs[at : at + rows], best.shape[1]))
-                out_i.append(ids[best].ravel())
-                out_s.append(final(q, v, s, best).ravel())
-        if not out_q:
-            return pd.DataFrame({"q": [], "id": [], "score": []})
-        return pd.DataFrame(
-            {"q": np.concatenate(out_q), "id": np.concatenate(out_i), "score": np.concatenate(out_s)}
-        )
+            s = q @ v.T
+        elif metric == "cosine":
+            s = unit_rows(q) @ unit_rows(v).T
+        else:
+            s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * q @ v.T, 0))
+        s = np.round(s, digits)
+        # stable sort on ids in order: score descending, then id ascending
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        if metric == "l2":  # distances of the chosen vectors are taken again without cancellation
+            return order, np.round(-np.sqrt(((q[:, None, :] - v[order]) ** 2).sum(-1)), digits)
+        return order, np.take_along_axis(s, order, 1)
+
+    def kernel(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [best(q[at : at + rows], v) for at in range(0, len(q), rows)]
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
     return kernel
 
 
+#: Queries that meet one block of vectors in one task; more of them meet copies of the block.
+QUERY_ROWS = 1 << 20
+
+
+def scan_blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "ip", query_rows: int = QUERY_ROWS) -> DataFrame:
+    """The best ``k`` rows ``(q, id, score)`` of each block for each of its queries.
+
+    ``vectors(block, id, vector)`` are shuffled once, to the task of their block, where they stay
+    while ``queries(block, q, vector)`` stream past; a task holds one block and one batch.
+    """
+    load = queries.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("_n"))
+    load = cut_lineage(load)  # a row a block
+    copies = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy")
+    doubles = F.col("vector").cast("array<double>").alias("vector")
+    q_type, id_type = queries.schema["q"].dataType, vectors.schema["id"].dataType
+    right = vectors.join(load, "block").select(
+        "block", copies, F.lit(0).alias("kind"), F.lit(None).cast(q_type).alias("q"), "id", doubles)
+    left = queries.join(load, "block").select(
+        "block", F.pmod(F.xxhash64("q"), F.col("_n")).cast("int").alias("copy"), F.lit(1).alias("kind"), "q",
+        F.lit(None).cast(id_type).alias("id"), doubles)
+    rows = right.unionByName(left).repartition("block", "copy").sortWithinPartitions("block", "copy", "kind", "id")
+    kernel = _best_rows(metric, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matrix(batch: pa.RecordBatch) -> np.ndarray:
+            return batch.column(5).flatten().to_numpy().reshape(batch.num_rows, -1)
+
+        now, held, block = None, [], None
+        for batch in batches:
+            keys = batch.select(["block", "copy", "kind"]).to_pylist()
+            ends = [i for i in range(1, len(keys) + 1) if i == len(keys) or keys[i] != keys[i - 1]]
+            for start, end in zip([0, *ends], ends):
+                part, key = batch.slice(start, end - start), keys[start]
+                here = key["block"], key["copy"]
+                if here != now:
+                    now, held, block = here, [], None
+                if key["kind"] == 0:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if block is None:
+                    block = np.concatenate([matrix(p) for p in held]), pa.concat_arrays([p.column(4) for p in held])
+                order, score = kernel(matrix(part), block[0])
+                asked = pa.array(np.repeat(np.arange(len(order)), order.shape[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(3).take(asked), block[1].take(pa.array(order.ravel())), pa.array(score.ravel())],
+                    names=["q", "id", "score"],
+                )
+
+    schema = T.StructType([T.StructField("q", q_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
+
+
 def block_search(
     queries: DataFrame,
     vectors: DataFrame,
@@ -321,46 +354,25 @@ def block_search(
 ) -> DataFrame:
     """Exact top ``k`` vectors per query within each group.
 
-    Both sides of a group are cut into blocks of about ``block_rows`` rows.  Each pair of
-    blocks is one small task that multiplies two matrices and hands on ``k`` rows per
-    query, so a group of any size is spread and no list of pairs is ever produced.
+    The vectors of a group are cut into blocks of about ``block_rows`` rows, each of which is met
+    by all queries of the group.  A block hands on ``k`` rows per query, so a group of any size is
+    spread and no list of pairs is ever produced.
     """
     group = list(group)
     if not group:
         queries, vectors, group = queries.withColumn("_g", F.lit(0)), vectors.withColumn("_g", F.lit(0)), ["_g"]
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*group).agg(
-            F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name)
-        )
-
-    sizes = cut_lineage(blocks(queries, "_nq").join(blocks(vectors, "_nv"), group))
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    count = F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_n")
+    sizes = cut_lineage(vectors.groupBy(*group).agg(count))
+    name = F.to_json(F.struct(*group, F.col("_b")))
     left = (
         balanced_join(queries.select(*group, "q", "vector"), sizes, group, spread=["q"], fanout=False)
-        .withColumn("_qb", F.pmod(F.xxhash64("q"), F.col("_nq"))).withColumn("_vb", span("_nv").alias("_vb"))
-        .select(*group, "_qb", F.col("_vb").cast("long").alias("_vb"), "q", "vector")
+        .withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(name.alias("block"), "q", "vector")
     )
     right = (
         balanced_join(vectors.select(*group, "id", "vector"), sizes, group, spread=["id"], fanout=False)
-        .withColumn("_vb", F.pmod(F.xxhash64("id"), F.col("_nv"))).withColumn("_qb", span("_nq").alias("_qb"))
-        .select(*group, F.col("_qb").cast("long").alias("_qb"), "_vb", "id", "vector")
-    )
-    schema = T.StructType(
-        [
-            T.StructField("q", queries.schema["q"].dataType),
-            T.StructField("id", vectors.schema["id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
+        .withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).select(name.alias("block"), "id", "vector")
     )
-    key = [*group, "_qb", "_vb"]
-    # fresh names, as both sides may come from the same table
-    left = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns])
-    found = (
-        left.groupBy(*[f"l_{c}" for c in key]).cogroup(right.groupBy(*key))
-        .applyInPandas(_block_top_k(metric, k), schema)
-    )
-    return top_k(found, "q", best_first(), k).select("q", "rank", "id", "score")
+    return top_k(scan_blocks(left, right, k, metric), "q", best_first(), k).select("q", "rank", "id", "score")
 
 
 def nearest_exact(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "ip", block_rows: int = 8_192) -> DataFrame:
@@ -382,53 +394,144 @@ def nearest_in_domain(queries: DataFrame, vectors: DataFrame, k: int, domain: st
     return block_search(queries, vectors, k, metric, (domain,))
 
 
-def hash_signatures(df: DataFrame, dim: int, tables: int, bits: int, seed: int) -> DataFrame:
-    """Rows repeated once per hash table with the signature of random hyperplanes."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
-    powers = 1 << np.arange(bits, dtype=np.int64)
-    schema = T.StructType(
-        [*df.schema.fields, T.StructField("table", T.IntegerType()), T.StructField("bucket", T.LongType())]
-    )
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.stack(pdf["lifted"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, dim))
-            for t in range(tables):
-                yield pdf.assign(table=t, bucket=((x @ planes[t].T > 0) * powers).sum(1))
-
-    return df.mapInPandas(sign, schema)
+#: Rows a list that the centroids are trained on, rounds of training, and the largest number of
+#: lists, which bounds what a task is sent (lists x dimensions numbers); further rows of a list
+#: make further blocks.
+TRAIN_ROWS = 64
+ROUNDS = 12
+MAX_LISTS = 1 << 15
+#: Queries on which the number of probes is calibrated.
+CALIBRATE = 256
+
+
+class Lists:
+    """Inverted lists over k-means centroids: ``rows(block, list, id, vector)`` of all vectors, and
+    for each list its centroid and the radius that holds all of its vectors."""
+
+    def __init__(self, vectors: DataFrame, n_lists: int | None = None, block_rows: int = 8_192, seed: int = 1234):
+        total = vectors.count()
+        n_lists = n_lists or min(MAX_LISTS, max(16, int(total**0.5)))
+        sample = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n_lists * TRAIN_ROWS).select("vector")
+        self.centres = centres = self._train(sample, n_lists, seed)
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            half = (centres**2).sum(1) / 2
+            for batch in batches:
+                v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, centres.shape[1])
+                near = np.argmax(v @ centres.T - half, axis=1)
+                far = np.sqrt(((v - centres[near]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(near.astype(np.int32)), pa.array(far)], names=["id", "vector", "list", "far"]
+                )
+
+        schema = T.StructType([
+            T.StructField("id", vectors.schema["id"].dataType), T.StructField("vector", T.ArrayType(T.DoubleType())),
+            T.StructField("list", T.IntegerType()), T.StructField("far", T.DoubleType()),
+        ])
+        rows = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(assign, schema)
+        rows = cut_lineage(rows)
+        stats = rows.groupBy("list").agg(F.max("far").alias("r"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n"))
+        found = stats.toPandas()  # a row a list
+        self.radii = np.full(len(centres), -np.inf)  # an empty list holds nothing
+        self.radii[found["list"]] = found["r"] * (1 + 1e-9) + 1e-9
+        self.blocks = np.zeros(len(centres), dtype=np.int64)
+        self.blocks[found["list"]] = found["n"]
+        n_blocks = F.get(F.lit(self.blocks.tolist()), F.col("list"))
+        self.rows = rows.select("list", self._block(F.pmod(F.xxhash64("id"), n_blocks)), "id", "vector")
+
+    @staticmethod
+    def _block(part) -> Column:
+        return (F.shiftleft(part.cast("long"), 16).bitwiseOR(F.col("list").cast("long"))).alias("block")
+
+    @staticmethod
+    def _train(sample: DataFrame, n_lists: int, seed: int) -> np.ndarray:
+        column = sample.select(F.col("vector").cast("array<double>").alias("vector")).toArrow().column(0).combine_chunks()
+        if not len(column):
+            return np.zeros((1, 1))
+        x = column.flatten().to_numpy().reshape(len(column), -1)
+        rng = np.random.default_rng(seed)
+        centres = x[rng.choice(len(x), min(n_lists, len(x)), replace=False)].copy()
+        for _ in range(ROUNDS):
+            near = np.argmax(x @ centres.T - (centres**2).sum(1) / 2, axis=1)
+            size = np.bincount(near, minlength=len(centres))
+            total = np.zeros_like(centres)
+            np.add.at(total, near, x)
+            centres[size > 0] = total[size > 0] / size[size > 0, None]
+        return centres
+
+    def probes(self, queries: DataFrame, n: int, skip: int = 0) -> DataFrame:
+        """The lists ``skip`` to ``n`` of every query ``(q, vector[, floor])``, best centroid first, as
+        ``(block, q, vector, list, place)``.
+
+        No vector of a list has a product above ``q.c + |q| r``: lists that cannot reach the
+        ``floor`` of the query are passed over.
+        """
+        centres, radii = self.centres, self.radii
+        with_floor = "floor" in queries.columns
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if np.isinf(radii).all():
+                    continue  # no vectors
+                q = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, centres.shape[1])
+                near = np.where(np.isinf(radii), -np.inf, q @ centres.T)
+                order = np.argsort(-near, axis=1, kind="stable")[:, skip:n]
+                bound = np.take_along_axis(near + np.linalg.norm(q, axis=1)[:, None] * np.maximum(radii, 0), order, 1)
+                floor = batch.column(2).fill_null(-np.inf).to_numpy()[:, None] if with_floor else -np.inf
+                row, place = np.nonzero((bound >= floor) & ~np.isinf(bound))
+                pick = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(order[row, place].astype(np.int32)),
+                     pa.array((place + skip).astype(np.int32))], names=["q", "vector", "list", "place"],
+                )
+
+        schema = T.StructType([
+            T.StructField("q", queries.schema["q"].dataType), T.StructField("vector", T.ArrayType(T.DoubleType())),
+            T.StructField("list", T.IntegerType()), T.StructField("place", T.IntegerType()),
+        ])
+        columns = ["q", F.col("vector").cast("array<double>").alias("vector"), *(["floor"] if with_floor else [])]
+        chosen = queries.select(*columns).mapInArrow(choose, schema)
+        n_blocks = F.get(F.lit(self.blocks.tolist()), F.col("list"))
+        parts = chosen.withColumn("_p", F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))))
+        return parts.select(self._block(F.col("_p")), "q", "vector", "list", "place")
+
+    def calibrated(self, queries: DataFrame, k: int, recall: float, rows: int = CALIBRATE) -> int:
+        """The smallest number of probes that finds a share ``recall`` of the true neighbours of up to
+        ``rows`` queries, which are searched in all lists."""
+        sample = cut_lineage(queries.orderBy(F.xxhash64("q"), "q").limit(rows).select("q", "vector"))
+        every = cut_lineage(self.probes(sample, len(self.centres)))
+        true = top_k(scan_blocks(every, self.rows, k), "q", best_first(), k)
+        places = true.join(self.rows.select("id", "list"), "id").join(every.select("q", "list", "place").distinct(), ["q", "list"])
+        needed = places.groupBy("place").agg(F.count(F.lit(1)).alias("n")).orderBy("place").collect()  # a row a list
+        total, seen = sum(r["n"] for r in needed), 0
+        for r in needed:
+            seen += r["n"]
+            if seen >= recall * total:
+                return r["place"] + 1
+        return 1
 
 
 def nearest_approx(
-    queries: DataFrame, vectors: DataFrame, k: int, dim: int, tables: int = 8, bits: int | None = None,
-    seed: int = 1234, block_rows: int = 8_192,
+    queries: DataFrame, vectors: DataFrame, k: int, lists: Lists | None = None, recall: float = 0.95,
+    probes: int | None = None, n_lists: int | None = None, block_rows: int = 8_192,
 ) -> DataFrame:
-    """Approximate inner-product search by hashing, with exact scores.
+    """Approximate inner-product search ``(q, rank, id, score)`` over inverted lists, with exact scores.
 
-    By default the bits of a bucket follow the number of vectors, so that a bucket holds about
-    a block of them at any size.  More ``tables`` raise the recall.
-
-    An extra coordinate ``sqrt(phi - |v|^2)`` gives all vectors the same length, which
-    turns the largest inner product into the nearest direction.  Rows meet when they share
-    a bucket in some table; inside a bucket the search is exact and split into blocks.
+    Every vector is in the list of its nearest centroid.  A query looks into its best quarter of
+    ``probes`` lists first; the score of the ``k``-th row found is a floor, and of the others only
+    those are read whose centroid and radius allow a better one.  Without ``probes``, a sample of
+    the queries tells how many lists a share ``recall`` of the true neighbours takes.  ``lists`` may be
+    built once and searched often.
     """
-    if bits is None:
-        bits = min(62, max(0, -(-vectors.count() // block_rows) - 1).bit_length())
-        tables = tables if bits else 1  # one bucket holds them all
-    sq = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    phi = vectors.agg(F.max(sq).alias("phi"))
-    doubles = lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
-    lifted_v = vectors.select(
-        "id", "vector",
-        F.concat(doubles("vector"), F.array(F.sqrt(F.greatest(phi.scalar() - sq, F.lit(0.0))))).alias("lifted"),
-    )
-    lifted_q = queries.select("q", "vector", F.concat(doubles("vector"), F.array(F.lit(0.0))).alias("lifted"))
-    hq = cut_lineage(hash_signatures(lifted_q, dim + 1, tables, bits, seed).drop("lifted"))
-    hv = cut_lineage(hash_signatures(lifted_v, dim + 1, tables, bits, seed).drop("lifted"))
-    # a vector is met in several tables: keep enough rows to have k different ones
-    met = block_search(hq, hv, k * tables, "ip", ("table", "bucket"), block_rows)
-    once = met.groupBy("q", "id").agg(F.max("score").alias("score"))
-    return top_k(once, "q", best_first(), k).select("q", "rank", "id", "score")
+    lists = lists or Lists(vectors, n_lists, block_rows)
+    probes = probes or lists.calibrated(queries, k, recall)
+    queries = queries.select("q", "vector")
+    first = max(1, probes // 4)
+    near = cut_lineage(top_k(scan_blocks(lists.probes(queries, first), lists.rows, k), "q", best_first(), k))
+    floors = near.where(F.col("rank") == k).select("q", F.col("score").alias("floor"))
+    further = scan_blocks(lists.probes(queries.join(floors, "q", "left"), probes, first), lists.rows, k)
+    both = near.select("q", "id", "score").unionByName(further)
+    return top_k(both, "q", best_first(), k).select("q", "rank", "id", "score")
 
 
 def recall_of(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -174,7 +174,7 @@ def _(t):
 @query("nearest_approx", """
 SELECT vec_id AS q, least(10, (SELECT count(*) FROM embeddings)) AS n, least(10, (SELECT count(*) FROM embeddings)) AS n_different, true AS exact, true AS ordered FROM embeddings""")
 def _(t):
-    found = R.nearest_approx(_qv(t), _iv(t), 10, dim=64)
+    found = R.nearest_approx(_qv(t), _iv(t), 10)
     a = t.vec.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"))
     b = t.vec.select(F.col("vec_id").alias("id"), F.col("embedding").alias("y"))
     product = F.aggregate(F.zip_with("x", "y", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, p: s + p)
@@ -188,7 +188,7 @@ def _(t):
 
 @query("nearest_approx_recall", "SELECT true AS recall_at_least_nine_tenths")
 def _(t):
-    approx = R.nearest_approx(_qv(t), _iv(t), 10, dim=64)
+    approx = R.nearest_approx(_qv(t), _iv(t), 10)
     recall = R.recall_of(approx, R.nearest_exact(_qv(t), _iv(t), 10))
     return recall.select((F.col("recall") >= 0.9).alias("recall_at_least_nine_tenths"))
 

@@ -72,16 +72,42 @@ def test_block_search(spark, metric):
 
 def test_approximate_search_recall(spark):
     rng = np.random.default_rng(4)
-    v = rng.normal(size=(300, 16)) + np.repeat(rng.normal(size=(10, 16)) * 2, 30, axis=0)
+    v = rng.normal(size=(900, 16)) + np.repeat(rng.normal(size=(30, 16)) * 3, 30, axis=0)
     vd = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
     qd = vd.select(F.col("id").alias("q"), "vector")
     exact = R.nearest_exact(qd, vd, 5)
-    approx = R.nearest_approx(qd, vd, 5, dim=16, tables=12, bits=4)
-    assert R.recall_of(approx, exact).first().recall > 0.8
+    lists = R.Lists(vd, n_lists=30, block_rows=8)  # lists of several blocks
+    assert (lists.blocks > 1).any() and lists.rows.count() == 900
+    probes = lists.calibrated(qd, 5, 0.95, rows=100)
+    assert probes < 15
+    approx = R.nearest_approx(qd, vd, 5, lists, probes=probes)
+    assert R.recall_of(approx, exact).first().recall >= 0.9
     met = exact.join(approx.withColumnRenamed("score", "s2"), ["q", "id"])
     assert met.where(F.abs(F.col("score") - F.col("s2")) > 1e-6).count() == 0
 
 
+def test_all_probes_and_their_bounds_are_exact(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(400, 8)) * 0.3 + np.repeat(rng.normal(size=(10, 8)) * 5, 40, axis=0)
+    vd = spark.createDataFrame([(f"v{i:03d}", x.tolist()) for i, x in enumerate(v)], "id string, vector array<float>")
+    qd = vd.select(F.struct("id").alias("q"), "vector")
+    lists = R.Lists(vd, n_lists=20)
+    key = lambda df: sorted((r["q"][0], r["rank"], r["id"], round(r["score"], 6)) for r in df.collect())
+    exact = R.nearest_exact(qd, vd, 6)
+    assert key(R.nearest_approx(qd, vd, 6, lists, probes=20)) == key(exact)
+    floors = exact.where("rank = 6").select("q", F.col("score").alias("floor"))
+    assert lists.probes(qd.join(floors, "q"), 20).count() < 400 * 10  # most lists are passed over
+
+
+def test_search_without_rows(spark):
+    none = spark.createDataFrame([], "id long, vector array<double>")
+    some = spark.createDataFrame([(1, [1.0, 2.0])], "id long, vector array<double>")
+    ask = lambda df: df.select(F.col("id").alias("q"), "vector")
+    assert R.nearest_approx(ask(some), none, 3).count() == 0
+    assert R.nearest_approx(ask(none), some, 3).count() == 0
+    assert R.nearest_exact(ask(some), none, 3).count() == 0
+
+
 def test_recall_is_monotone_and_all_below_any(spark):
     rnd = random.Random(6)
     cands = [(m, r, rnd.randrange(30)) for m in range(20) for r in range(1, 11)]
