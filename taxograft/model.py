@@ -28,7 +28,6 @@ class Settings:
     leaf_value: float | None = None
     enrich: bool = True
     ks: tuple[int, ...] = (1, 3, 5, 10, 20, 50, 100, 150, 200, 250, 300)
-    hot_df: int = 100_000
     names: Sentinels = field(default_factory=Sentinels)
 
 

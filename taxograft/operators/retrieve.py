@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,13 +72,6 @@ def concept_count(concepts: DataFrame) -> DataFrame:
     return concepts.agg(F.count_distinct("id").alias("n"))
 
 
-def _all_scores(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    return (
-        balanced_join(postings, terms, "token", spread=["id"])
-        .groupBy("q", "id").agg(F.sum(F.col("w") * F.col("pw")).alias("score"))
-    )
-
-
 def score_pairs(pairs: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
     """Score of each distinct ``(q, id)`` pair, 0 where no term matches.
 
@@ -94,82 +88,187 @@ def score_pairs(pairs: DataFrame, terms: DataFrame, postings: DataFrame) -> Data
     )
 
 
+#: Postings of one shard, documents of one block, and queries that meet one copy of a shard.
+SHARD_POSTINGS = 1 << 22
+BLOCK_DOCS = 512
+SHARD_QUERIES = 1 << 18
+
+
+def _shard_search(k: int, block_docs: int):
+    """Index of one shard and its search.  Nested, so that workers get it by value.
+
+    Postings are kept by token, each with the largest weight in every block of ``block_docs``
+    documents.  What a query can get from a block is bounded by these maxima; the most
+    promising blocks are summed up first, and of the others only those that can still reach the
+    ``k``-th score found.
+    """
+    digits, slack = DIGITS, EPSILON
+
+    def ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+    class Shard:
+        def __init__(self, doc: np.ndarray, token: np.ndarray, weight: np.ndarray, static: np.ndarray):
+            order = np.lexsort((doc, token))
+            self.doc, token, self.weight, self.static = doc[order], token[order], weight[order], static
+            # runs of one token in one block, and the tokens' runs of runs
+            run = np.ones(len(token), dtype=bool)
+            run[1:] = (token[1:] != token[:-1]) | (self.doc[1:] // block_docs != self.doc[:-1] // block_docs)
+            self.low = np.flatnonzero(run)
+            self.size = np.diff(np.append(self.low, len(token)))
+            self.block = self.doc[self.low] // block_docs
+            self.most = np.maximum.reduceat(self.weight, self.low) if len(self.low) else np.zeros(0)
+            self.tokens, self.first = np.unique(token[self.low], return_index=True)
+            self.runs = np.diff(np.append(self.first, len(self.low)))
+            blocks = len(static) // block_docs + 1
+            self.best_static = np.zeros(blocks)
+            np.maximum.at(self.best_static, np.arange(len(static)) // block_docs, static)
+
+        def totals(self, runs: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Documents of the runs, in order, and their rounded scores."""
+            at = ranges(self.low[runs], self.size[runs])
+            docs, place = np.unique(self.doc[at], return_inverse=True)
+            score = np.bincount(place, self.weight[at] * np.repeat(weights, self.size[runs]))
+            return docs, np.round(score + self.static[docs], digits)
+
+        def search(self, tokens: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+            met = self.tokens[at] == tokens
+            at, weights = at[met], weights[met]
+            runs = ranges(self.first[at], self.runs[at])
+            if not len(runs):
+                return np.zeros(0, dtype=np.int64), np.zeros(0)
+            weights = np.repeat(weights, self.runs[at])
+            block = self.block[runs]
+            bound = np.bincount(block, weights * self.most[runs], len(self.best_static))
+            held = np.bincount(block, minlength=len(bound)) > 0
+            bound = np.where(held, bound + self.best_static, -np.inf)
+            ahead = np.argsort(-bound, kind="stable")[: max(4, -(-2 * k // block_docs))]
+            early = np.isin(block, ahead)
+            docs, score = self.totals(runs[early], weights[early])
+            floor = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else -np.inf
+            late = ~early & (bound >= floor - slack)[block]
+            if late.any():
+                more, points = self.totals(runs[late], weights[late])
+                docs, score = np.concatenate([docs, more]), np.concatenate([score, points])
+            best = np.lexsort((docs, -score))[:k]
+            return docs[best], score[best]
+
+    return Shard
+
+
 def sparse_top_k(
     terms: DataFrame,
     postings: DataFrame,
     k: int,
-    hot_df: int = 100_000,
     static: DataFrame | None = None,
+    shard_postings: int = SHARD_POSTINGS,
+    block_docs: int = BLOCK_DOCS,
 ) -> DataFrame:
     """Exact top ``k`` ids ``(q, rank, id, score)`` for ``score = sum(w * pw) (+ static)``.
 
-    ``terms(q, token, w)``, ``postings(token, id, pw)`` with non-negative weights, and
-    optionally ``static(id, static)``, a score added to every matched id.
+    ``terms(q, token, w)``, ``postings(token, id, pw)`` with non-negative weights, and optionally
+    ``static(id, static)``, a score added to every matched id.
 
-    Tokens in more than ``hot_df`` postings would pair almost every query with almost
-    every id.  Their postings are left out at first; what they could add at most tells
-    which candidates can still reach the top and which few queries need them in full.
+    Ids are dealt to shards by their hash.  Each posting of a token that is asked for is shuffled
+    once, to its shard, where it stays while the queries, one row each, stream past; all scores of an id
+    are summed there, and a shard hands on ``k`` rows per query.  However frequent a token is, no
+    pair of a query and an id is ever shuffled before it is among the best of its shard.
     """
-    terms = cut_lineage(terms.where(F.col("w") > 0))
-    postings = cut_lineage(postings.select("token", "id", "pw").join(terms.select("token").distinct(), "token", "left_semi"))
-
-    def finish(scores: DataFrame) -> DataFrame:
-        if static is not None:
-            scores = scores.join(static, "id", "left").select(
-                "q", "id", (F.col("score") + F.coalesce("static", F.lit(0.0))).alias("score")
-            )
-        scores = scores.select("q", "id", F.round("score", DIGITS).alias("score"))
-        return top_k(scores, "q", best_first(), k)
-
-    stats = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("pw").alias("mw"))
-    hot = cut_lineage(stats.where(F.col("df") > hot_df).select("token", "mw"))
-    if hot.isEmpty():
-        return finish(_all_scores(terms, postings)).select("q", "rank", "id", "score")
-
-    hot_terms = terms.join(hot, "token")
-    rare = terms.join(hot, "token", "left_anti")
-    partial = cut_lineage(_all_scores(rare, postings))
-    bound = terms.groupBy("q").agg(F.lit(0).alias("_z")).join(
-        hot_terms.groupBy("q").agg(F.sum(F.col("w") * F.col("mw")).alias("more")), "q", "left"
-    ).select("q", F.coalesce("more", F.lit(0.0)).alias("more"))
-    reached = (
-        finish(partial).groupBy("q")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("floor")).where(F.col("_n") >= k).select("q", "floor")
+    terms = cut_lineage(terms.where(F.col("w") > 0).select("q", F.xxhash64("token").alias("token"), F.col("w").cast("double").alias("w")))
+    id_type = postings.schema["id"].dataType
+    # queries are numbered, so that what is sorted and sent is flat
+    queries = cut_lineage(terms.select("q").distinct().withColumn("no", F.monotonically_increasing_id()))
+    known = postings.select(F.xxhash64("token").alias("token"), "id", F.col("pw").cast("double").alias("pw")).join(
+        terms.select("token").distinct(), "token", "left_semi"
     )
-    top_static = 0.0
+    known = cut_lineage(known)
+    n_postings, n_queries = known.count(), queries.count()
+    shards, copies = max(1, -(-n_postings // shard_postings)), max(1, -(-n_queries // SHARD_QUERIES))
+    # fewer tasks than cores: split whichever side is cheaper to split
+    more = max(1, -(-terms.sparkSession.sparkContext.defaultParallelism // (shards * copies)))
+    shards, copies = (shards * more, copies) if n_postings > 4 * n_queries else (shards, copies * more)
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    none = lambda kind: F.lit(None).cast(kind)
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
+    rows = known.select(shard, every(copies).alias("copy"), "id", "token", "pw", none("long").alias("no"))
     if static is not None:
-        top_static = static.agg(F.coalesce(F.max("static"), F.lit(0.0)).alias("m")).scalar()
-    # ids matched by hot tokens alone cannot enter when the floor is above their best case
-    limits = bound.join(reached, "q", "left").withColumn(
-        "_settled",
-        F.coalesce(F.col("floor") > F.col("more") + top_static + EPSILON, F.lit(False)) | (F.col("more") == 0),
-    )
-    limits = cut_lineage(limits)
-    whole = limits.where("NOT _settled").select("q")
-    survivors = cut_lineage(
-        balanced_join(partial, limits.where("_settled").select("q", "more", "floor"), "q", fanout=False)
-        .where(F.col("floor").isNull() | (F.col("score") + F.col("more") + top_static >= F.col("floor") - EPSILON))
-        .select("q", "id", "score")
-    )
-    extra = (
-        balanced_join(survivors.select("q", "id"), hot_terms.select("q", "token", "w"), "q")
-        .join(postings, ["token", "id"])
-        .select("q", "id", (F.col("w") * F.col("pw")).alias("score"))
-    )
-    settled = survivors.unionByName(extra).groupBy("q", "id").agg(F.sum("score").alias("score"))
-    full = _all_scores(terms.join(whole, "q", "left_semi"), postings)
-    return finish(settled.unionByName(full)).select("q", "rank", "id", "score")
+        # a row without a token beside the postings of its id
+        fixed = static.where("static IS NOT NULL").select(F.col("id").cast(id_type).alias("id"), F.col("static").cast("double").alias("pw"))
+        rows = rows.unionByName(fixed.select(
+            shard, every(copies).alias("copy"), "id", none("long").alias("token"), "pw", none("long").alias("no")))
+    asked = terms.join(queries, "q").select(
+        every(shards).alias("shard"), F.pmod(F.xxhash64("q"), F.lit(copies)).cast("int").alias("copy"),
+        none(id_type).alias("id"), "token", F.col("w").alias("pw"), "no")
+    place = F.col("shard") * F.lit(copies) + F.col("copy")
+    rows = rows.unionByName(asked).repartitionById(shards * copies, place).sortWithinPartitions(F.asc_nulls_first("no"), "id")
+    index = _shard_search(k, block_docs)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        ids, found, rest = None, None, None
+
+        def build():
+            table = pa.Table.from_batches(held).combine_chunks()
+            column = table.column("id").combine_chunks()
+            new = np.ones(len(column), dtype=bool)
+            new[1:] = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+            doc = np.cumsum(new) - 1
+            fixed = table.column("token").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+            weight = table.column("pw").to_numpy()
+            token = table.column("token").combine_chunks().fill_null(0).to_numpy()
+            extra = np.bincount(doc[fixed], weight[fixed], doc[-1] + 1)
+            return column.filter(pa.array(new)), index(doc[~fixed], token[~fixed], weight[~fixed], extra)
+
+        def answer(part: list[np.ndarray]):
+            no, token, weight = part
+            ends = np.append(np.flatnonzero(no[1:] != no[:-1]) + 1, len(no))
+            out = [[], [], []]
+            for start, end in zip([0, *ends], ends):
+                docs, score = found.search(token[start:end], weight[start:end])
+                for column, values in zip(out, (np.full(len(docs), no[start]), docs, score), strict=True):
+                    column.append(values)
+            no, docs, score = (np.concatenate(c) for c in out)
+            return pa.RecordBatch.from_arrays([pa.array(no), ids.take(pa.array(docs)), pa.array(score)], names=["no", "id", "score"])
 
-def idf_select(queries: DataFrame, concepts: DataFrame, k: int, hot_df: int = 100_000, tokenizer=None) -> DataFrame:
+        for batch in batches:
+            n = batch.column(5).null_count
+            if n:
+                held.append(batch.slice(0, n).select(["id", "token", "pw"]))
+            if n == batch.num_rows or not held:
+                continue
+            if found is None:
+                ids, found = build()
+            if not len(found.tokens):
+                return
+            part = [batch.column(i).slice(n).to_numpy() for i in (5, 3, 4)]
+            if rest is not None:
+                part = [np.concatenate(c) for c in zip(rest, part, strict=True)]
+            cut = int(np.searchsorted(part[0], part[0][-1]))  # the last query may go on in the next batch
+            rest = [c[cut:] for c in part]
+            if cut:
+                yield answer([c[:cut] for c in part])
+        if rest is not None:
+            yield answer(rest)
+
+    schema = T.StructType([T.StructField("no", T.LongType()), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
+    best = top_k(rows.mapInArrow(run, schema), "no", best_first(), k)
+    return best.join(queries, "no").select("q", "rank", "id", "score")
+
+
+def idf_select(queries: DataFrame, concepts: DataFrame, k: int, tokenizer=None, **shards) -> DataFrame:
     """Concepts ``(id, text)`` ranked by summed inverse document frequency.
 
-    ``queries(q, text)``; repeated query tokens count repeatedly.
+    ``queries(q, text)``; repeated query tokens count repeatedly.  ``shards`` are the sizes that
+    :func:`sparse_top_k` takes.
     """
     asked = cut_lineage(query_terms(queries, tokenizer))
     postings = cut_lineage(build_postings(concepts, tokenizer, asked))
     terms = idf_terms(asked, postings, concept_count(concepts))
-    return sparse_top_k(terms, postings.withColumn("pw", F.lit(1.0)), k, hot_df)
+    return sparse_top_k(terms, postings.withColumn("pw", F.lit(1.0)), k, **shards)
 
 
 def concept_idf_similarity(pairs: DataFrame, concepts: DataFrame, tokenizer=None) -> DataFrame:
@@ -186,30 +285,34 @@ def concept_idf_similarity(pairs: DataFrame, concepts: DataFrame, tokenizer=None
     return scored.select(F.col("q").alias("a"), F.col("id").alias("b"), F.col("score").alias("sim"))
 
 
-def bm25_weights(postings: DataFrame, lengths: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Postings ``(token, id, pw)`` with Okapi weights, for lengths ``(id, dl)``.
+def bm25_weights(
+    postings: DataFrame, lengths: DataFrame, k1: float = 1.5, b: float = 0.75, by: Sequence[str] = ()
+) -> DataFrame:
+    """Postings ``(*by, token, id, pw)`` with Okapi weights, for lengths ``(*by, id, dl)``.
 
-    ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``, never negative.
+    ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``, never negative.  With ``by``, documents are counted
+    and measured for each of its values (a handful of fields).
     """
-    sizes = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("m"))
-    n, mean = sizes.select("n").scalar(), sizes.select("m").scalar()
-    df = document_frequency(postings)
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    by = list(by)
+    sizes = F.broadcast(lengths.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg("dl").alias("_mean")))
+    df = postings.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"))
+    df = df.join(sizes, by) if by else df.crossJoin(sizes)  # one row a field
+    idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf")
-    weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / mean))
+    weight = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("_mean")))
+    rare = df.select(*by, "token", idf.alias("idf"), "_mean")
     # the token and the id of a posting may be hot; both joins only look up one row
-    joined = balanced_join(postings, df, "token", spread=["id"], fanout=False)
-    return joined.join(lengths, "id").select("token", "id", weight.alias("pw"))
+    joined = postings.join(rare, [*by, "token"]).join(lengths, [*by, "id"])
+    return joined.select(*by, "token", "id", weight.alias("pw"))
 
 
 def bm25(
-    queries: DataFrame, concepts: DataFrame, k: int, k1: float = 1.5, b: float = 0.75,
-    hot_df: int = 100_000, tokenizer=None,
+    queries: DataFrame, concepts: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, tokenizer=None, **shards
 ) -> DataFrame:
     asked = cut_lineage(query_terms(queries, tokenizer))
     postings = cut_lineage(build_postings(concepts, tokenizer, asked))
     weights = bm25_weights(postings, cut_lineage(text_lengths(concepts, tokenizer)), k1, b)
-    return sparse_top_k(asked.select("q", "token", F.col("qtf").cast("double").alias("w")), weights, k, hot_df)
+    return sparse_top_k(asked.select("q", "token", F.col("qtf").alias("w")), weights, k, **shards)
 
 
 def multi_field_search(
@@ -218,29 +321,32 @@ def multi_field_search(
     weights: dict[str, float],
     k: int,
     links: DataFrame | None = None,
-    hot_df: int = 100_000,
     tokenizer=None,
+    **shards,
 ) -> DataFrame:
     """Weighted sum of per-field Okapi scores plus ``log10(links + 1)``.
 
     ``fields(id, field, text)`` holds the searchable fields; ``links(id, n_links)`` the
     popularity of a document, added to whatever matched at all.
     """
-    terms = cut_lineage(query_terms(queries, tokenizer))
-    all_postings, all_terms = None, None
-    for name, weight in weights.items():
-        own = fields.where(F.col("field") == name).select("id", "text")
-        mark = lambda c: F.concat(F.lit(name + "\u0001"), c)
-        p = bm25_weights(
-            cut_lineage(build_postings(own, tokenizer, terms)), cut_lineage(text_lengths(own, tokenizer))
-        ).withColumn("token", mark(F.col("token")))
-        t = terms.select("q", mark(F.col("token")).alias("token"), (F.col("qtf") * float(weight)).alias("w"))
-        all_postings = p if all_postings is None else all_postings.unionByName(p)
-        all_terms = t if all_terms is None else all_terms.unionByName(t)
+    asked = cut_lineage(query_terms(queries, tokenizer))
+    names = list(weights)
+    used = fields.where(F.col("field").isin(names)).select("field", "id", tokenize("text", tokenizer).alias("tokens"))
+    lengths = used.groupBy("field", "id").agg(F.sum(F.size("tokens")).alias("dl")).where(F.col("dl") > 0)
+    tokens = used.select("field", "id", F.explode("tokens").alias("token"))
+    postings = (
+        tokens.join(asked.select("token").distinct(), "token", "left_semi")
+        .groupBy("field", "token", "id").agg(F.count(F.lit(1)).alias("tf"))
+    )
+    weighted = bm25_weights(cut_lineage(postings), cut_lineage(lengths), by=["field"])
+    # the field is part of the token, so all fields are searched at once
+    key = F.concat("field", F.lit("\u0001"), "token").alias("token")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.lit(float(weights[n])).alias("share")) for n in names]))
+    terms = asked.withColumn("_f", each).select("q", "token", "qtf", "_f.*").select("q", key, (F.col("qtf") * F.col("share")).alias("w"))
     static = None
     if links is not None:
         static = links.select("id", F.log10(F.col("n_links") + 1).alias("static"))
-    return sparse_top_k(all_terms, all_postings, k, hot_df, static)
+    return sparse_top_k(terms, weighted.select(key, "id", "pw"), k, static, **shards)
 
 
 def retrieval_grid(

@@ -40,7 +40,7 @@ def place_mentions(
         ))
 
     by_text = {c: terms(c) for c in texts}
-    found = {c: retrieve.sparse_top_k(by_text[c], weighted, settings.seeds, settings.hot_df) for c in texts}
+    found = {c: retrieve.sparse_top_k(by_text[c], weighted, settings.seeds) for c in texts}
     as_list = lambda c: found[c].select(F.col("q").alias("mention_id"), "rank", "id")
     if with_context:
         seeds = enrich.union_with_quota(

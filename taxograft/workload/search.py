@@ -43,7 +43,7 @@ def _(t):
 
 @query("idf_select_pruned", _IDF)
 def _(t):
-    return R.idf_select(_items(t), _docs(t), 10, hot_df=100)
+    return R.idf_select(_items(t), _docs(t), 10, shard_postings=5_000, block_docs=16)
 
 
 _BM25 = f"""WITH p AS ({_DOC_TF}), t AS ({_QRY_TF}), d AS (SELECT token, count(*) AS df FROM p GROUP BY token),
@@ -60,7 +60,7 @@ def _(t):
 
 @query("bm25_pruned", _BM25)
 def _(t):
-    return R.bm25(_items(t), _docs(t), 10, hot_df=100)
+    return R.bm25(_items(t), _docs(t), 10, shard_postings=5_000, block_docs=16)
 
 
 # Searchable fields of a document: its first line, its source and the whole text.
@@ -89,18 +89,18 @@ def _(t):
 
 @query("multi_field_search_pruned", f"WITH t AS ({_QRY_TF}), {_FIELDS} {_RANKED.format(k=10)}")
 def _(t):
-    return R.multi_field_search(_items(t), t.doc_field, _WEIGHTS, 10, t.doc_links, hot_df=100)
+    return R.multi_field_search(_items(t), t.doc_field, _WEIGHTS, 10, t.doc_links, shard_postings=5_000, block_docs=16)
 
 
 _GRID_Q = "SELECT q, token, count(*) AS qtf FROM (SELECT q, " + _TOK.format(c="text") + """ AS token FROM (
-  SELECT 'item#' || item_id AS q, text FROM benchmark UNION ALL SELECT 'system#' || conv_id, text FROM conversations WHERE role = 'system')) GROUP BY ALL"""
+  SELECT 'item#' || item_id AS q, text FROM benchmark UNION ALL SELECT 'turn#' || (conv_id * 1000 + turn), text FROM conversations)) GROUP BY ALL"""
 
 
 @query("retrieval_grid", f"""WITH t AS ({_GRID_Q}), {_FIELDS}
 SELECT split_part(q, '#', 1) AS setting, CAST(split_part(q, '#', 2) AS BIGINT) AS mention_id, rank, id, score FROM ({_RANKED.format(k=5)})""")
 def _(t):
-    system = t.conversations.where("role = 'system'").select(F.col("conv_id").alias("q"), "text")
-    return R.retrieval_grid({"item": _items(t), "system": system}, t.doc_field, _WEIGHTS, 5, t.doc_links)
+    turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("q"), "text")
+    return R.retrieval_grid({"item": _items(t), "turn": turns}, t.doc_field, _WEIGHTS, 5, t.doc_links)
 
 
 derive("doc_pair", """
