@@ -26,6 +26,11 @@ class Settings:
     cap: int = 50
     alpha: float = 0.5
     leaf_value: float | None = None
+    #: Every leaf edge gets ``leaf_value``, not only those of mentions taken for leaves.
+    leaf_always: bool = False
+    #: Seeds and edge scores by ``idf`` over texts or ``dense`` by the cosine of given vectors.
+    seeds_by: str = "idf"
+    edges_by: str = "idf"
     enrich: bool = True
     ks: tuple[int, ...] = (1, 3, 5, 10, 20, 50, 100, 150, 200, 250, 300)
     names: Sentinels = field(default_factory=Sentinels)

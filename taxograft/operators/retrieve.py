@@ -660,6 +660,17 @@ def complex_vectors(complex_ids: DataFrame, concept_vectors: DataFrame, dim: int
     )
 
 
+def node_cosines(nodes: DataFrame, concept_vectors: DataFrame, mention_vectors: DataFrame) -> DataFrame:
+    """``(mention_id, id, sim)``: cosine of each distinct pair of ``nodes(mention_id, id)`` whose vectors
+    are known."""
+    m = mention_vectors.select("mention_id", F.col("vector").alias("_mv"))
+    return (
+        balanced_join(nodes, concept_vectors.select("id", "vector"), "id", fanout=False)
+        .join(m, "mention_id")
+        .select("mention_id", "id", cosine("_mv", "vector").alias("sim"))
+    )
+
+
 def edge_cosine_score(cands: DataFrame, concept_vectors: DataFrame, mention_vectors: DataFrame) -> DataFrame:
     """Mean cosine of a mention with the parent and with the child of each edge.
 
@@ -669,13 +680,7 @@ def edge_cosine_score(cands: DataFrame, concept_vectors: DataFrame, mention_vect
         cands.select("mention_id", F.col("parent_idx").alias("id"))
         .unionByName(cands.select("mention_id", F.col("child_idx").alias("id"))).distinct()
     )
-    m = mention_vectors.select("mention_id", F.col("vector").alias("_mv"))
-    sims = (
-        balanced_join(nodes, concept_vectors.select("id", "vector"), "id", fanout=False)
-        .join(m, "mention_id")
-        .select("mention_id", "id", cosine("_mv", "vector").alias("sim"))
-    )
-    return edge_scores(cands, sims)
+    return edge_scores(cands, node_cosines(nodes, concept_vectors, mention_vectors))
 
 
 def edge_scores(cands: DataFrame, node_scores: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,65 +14,106 @@ from taxograft.plans.lineage import cut_lineage
 from taxograft.plans.skew import balanced_join
 
 
+@dataclass(frozen=True)
+class TextIndex:
+    """What the searches by text need of the concepts; built once, used for any mentions."""
+
+    postings: DataFrame
+    total: DataFrame
+
+    @staticmethod
+    def build(concepts: DataFrame) -> TextIndex:
+        return TextIndex(cut_lineage(retrieve.build_postings(concepts)), cut_lineage(retrieve.concept_count(concepts)))
+
+
 def place_mentions(
     mentions: DataFrame,
-    concepts: DataFrame,
+    concepts: DataFrame | TextIndex,
     isa: DataFrame,
     edges: DataFrame | None = None,
     settings: Settings | None = None,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked edges ``(mention_id, rank, parent_idx, child_idx, score)`` of every mention.
 
     ``mentions(mention_id, mention)`` with an optional ``context`` query text, and
-    ``concepts(id, text)``.  Equal mention texts are searched once.
+    ``concepts(id, text)``, or the index built from them.  Equal mentions are searched once.
     With a context, seeds come from both texts and edge scores are blended.
+
+    Where the settings say ``dense``, the columns ``vector`` (and ``context_vector``) of the mentions are
+    compared with ``vectors(id, vector)`` of the concepts instead of the texts; seeds and edge
+    scores may be of different kinds.  Concepts without a vector score 0 there.
     """
     settings = settings or Settings()
     names = settings.names
-    with_context = "context" in mentions.columns
-    texts = ["mention", "context"] if with_context else ["mention"]
-    asked = cut_lineage(mentions.select(F.xxhash64(*texts).alias("q"), *texts).distinct())
-    postings = cut_lineage(retrieve.build_postings(concepts))
-    total = cut_lineage(retrieve.concept_count(concepts))
-    weighted = postings.withColumn("pw", F.lit(1.0))
-
-    def terms(col: str) -> DataFrame:
-        return cut_lineage(retrieve.idf_terms(
-            retrieve.query_terms(asked.select("q", F.col(col).alias("text"))), postings, total
-        ))
-
-    by_text = {c: terms(c) for c in texts}
-    found = {c: retrieve.sparse_top_k(by_text[c], weighted, settings.seeds) for c in texts}
-    as_list = lambda c: found[c].select(F.col("q").alias("mention_id"), "rank", "id")
-    if with_context:
+    kinds = {settings.seeds_by, settings.edges_by}
+    if not kinds <= {"idf", "dense"}:
+        raise ValueError(f"searches are by idf or dense, not {sorted(kinds)}")
+    if "dense" in kinds and vectors is None:
+        raise ValueError("a dense search needs the vectors of the concepts")
+    texts = ["mention", "context"] if "context" in mentions.columns else ["mention"]
+    dense = [c for c in ("vector", "context_vector")[: len(texts)] if "dense" in kinds]
+    key = F.xxhash64(*texts, *dense).alias("q")
+    asked = cut_lineage(mentions.select(key, *texts, *dense).dropDuplicates(["q"]))
+    vector_of = dict(zip(texts, dense, strict=False))
+    by_text = {}
+    if "idf" in kinds:
+        index = concepts if isinstance(concepts, TextIndex) else TextIndex.build(concepts)
+        weighted = index.postings.withColumn("pw", F.lit(1.0))
+        by_text = {
+            c: cut_lineage(retrieve.idf_terms(
+                retrieve.query_terms(asked.select("q", F.col(c).alias("text"))), index.postings, index.total
+            )) for c in texts
+        }
+
+    def seeds_of(c: str) -> DataFrame:
+        if settings.seeds_by == "dense":
+            found = retrieve.nearest_concepts(asked.select("q", F.col(vector_of[c]).alias("vector")), vectors, settings.seeds)
+        else:
+            found = retrieve.sparse_top_k(by_text[c], weighted, settings.seeds)
+        return found.select(F.col("q").alias("mention_id"), "rank", "id")
+
+    def similar(nodes: DataFrame, c: str) -> DataFrame:
+        if settings.edges_by == "dense":
+            return retrieve.node_cosines(
+                nodes.select(F.col("q").alias("mention_id"), "id"), vectors,
+                asked.select(F.col("q").alias("mention_id"), F.col(vector_of[c]).alias("vector")),
+            ).select(F.col("mention_id").alias("q"), "id", F.col("sim").alias("score"))
+        return retrieve.score_pairs(nodes, by_text[c], weighted)
+
+    if len(texts) > 1:
         seeds = enrich.union_with_quota(
-            as_list("mention"), as_list("context"), settings.seeds, 1 - settings.alpha
+            seeds_of("mention"), seeds_of("context"), settings.seeds, 1 - settings.alpha
         ).select("mention_id", F.col("pos").alias("rank"), "id")
     else:
-        seeds = as_list("mention")
+        seeds = seeds_of("mention")
     seeds = cut_lineage(seeds)
     formed = cut_lineage(enrich.form_edges(seeds, isa, names))
     if edges is not None and settings.enrich:
-        key = ["parent_idx", "child_idx"]
-        catalogued = formed.join(edges.select(*key), key, "left_semi")
+        pair = ["parent_idx", "child_idx"]
+        catalogued = formed.join(edges.select(*pair), pair, "left_semi")
         more = enrich.enrich_edges(catalogued, edges, names).where(F.col("parent_idx") != names.top)
         formed = cut_lineage(formed.unionByName(more).distinct())
     nodes = cut_lineage(
         formed.select(F.col("mention_id").alias("q"), F.col("parent_idx").alias("id"))
         .unionByName(formed.select(F.col("mention_id").alias("q"), F.col("child_idx").alias("id"))).distinct()
     )
-    sims = retrieve.score_pairs(nodes, by_text["mention"], weighted)
-    if with_context:
-        ctx = retrieve.score_pairs(nodes, by_text["context"], weighted).withColumnRenamed("score", "ctx")
-        sims = sims.join(ctx, ["q", "id"]).select("q", "id", blend("ctx", "score", settings.alpha).alias("score"))
+    sims = similar(nodes, "mention")
+    if len(texts) > 1:
+        # a node known to one of the two searches only scores 0 in the other
+        ctx = similar(nodes, "context").withColumnRenamed("score", "ctx")
+        both = nodes.join(sims, ["q", "id"], "left").join(ctx, ["q", "id"], "left").fillna(0.0, ["score", "ctx"])
+        sims = both.select("q", "id", blend("ctx", "score", settings.alpha).alias("score"))
     scored = retrieve.edge_scores(
         formed, sims.select(F.col("q").alias("mention_id"), "id", F.col("score").alias("sim"))
     )
     if settings.leaf_value is not None:
-        scored = enrich.assume_leaf(scored, seeds, isa, settings.leaf_value, names)
+        if settings.leaf_always:
+            scored = enrich.leaf_score(scored, settings.leaf_value, True, names)
+        else:
+            scored = enrich.assume_leaf(scored, seeds, isa, settings.leaf_value, names)
     ranked = enrich.rank_edges(scored, settings.cap).withColumnRenamed("mention_id", "q")
-    keyed = mentions.select("mention_id", F.xxhash64(*texts).alias("q"))
-    return balanced_join(keyed, cut_lineage(ranked), "q").select(
+    return balanced_join(mentions.select("mention_id", key), cut_lineage(ranked), "q").select(
         "mention_id", "rank", "parent_idx", "child_idx", "score"
     )
 

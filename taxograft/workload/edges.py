@@ -236,6 +236,76 @@ def _(t):
     return _place(t, t.edge)
 
 
+# Vectors of parts and suppliers, and of the parts as mentions: those of the given table in turn.
+derive("part_vector", """
+SELECT p_partkey AS mention_id, p_name AS mention, p_name || ' ' || p_brand AS context, embedding AS vector
+FROM (SELECT part.*, p_partkey % top AS turn FROM part, (SELECT max(vec_id) AS top FROM embeddings)) JOIN embeddings ON vec_id = turn
+""", stored=True)
+derive("concept_vector", """
+SELECT id, embedding AS vector FROM concept JOIN embeddings ON id = 'P' || (vec_id + 7) OR id = 'S' || (vec_id + 3)
+""", stored=True)
+_COS = "list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))"
+_DENSE = """mv AS (SELECT mention_id, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v FROM part_vector),
+cv AS (SELECT id, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v FROM concept_vector)"""
+_DENSE_SEEDS = f"""sc AS (SELECT mention_id, b.id, round({_COS}, 9) AS score FROM mv a, cv b),
+sd AS (SELECT mention_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 5)"""
+_TEXT_SEEDS = _PLACE.split(",\nf0 AS")[0].replace("sd AS (", "sq AS (") + """,
+sd AS (SELECT p_partkey AS mention_id, id, rank FROM part_vector JOIN part ON p_partkey = part_vector.mention_id JOIN sq ON sq.mention_id = p_name)"""
+_DENSE_RANK = f""",
+f0 AS ({_FORM.format(s='sd', g='isa')}),
+x AS (SELECT DISTINCT mention_id, parent_idx AS id FROM f0 UNION SELECT mention_id, child_idx FROM f0),
+ns AS (SELECT x.mention_id, x.id, {_COS} AS sim FROM x JOIN mv a ON a.mention_id = x.mention_id JOIN cv b ON b.id = x.id),
+es AS (SELECT f.mention_id, parent_idx, child_idx, {{score}} AS score FROM f0 f
+  LEFT JOIN ns a ON a.mention_id = f.mention_id AND a.id = parent_idx LEFT JOIN ns b ON b.mention_id = f.mention_id AND b.id = child_idx),
+rk AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, parent_idx, child_idx) AS rank FROM es)
+SELECT mention_id, rank, parent_idx, child_idx, CAST(score AS DOUBLE) AS score FROM rk WHERE rank <= 20"""
+_MEAN = "round((coalesce(a.sim, 0) + coalesce(b.sim, 0)) / 2, 9)"
+
+
+def _place_dense(t, **kw):
+    concepts = t.concept.select("id", F.col("title").alias("text"))
+    mentions = t.part_vector.select("mention_id", "mention", "vector")
+    return place_mentions(mentions, concepts, t.isa, None, Settings(seeds=5, cap=20, edges_by="dense", **kw), t.concept_vector)
+
+
+@query("place_mentions_dense", f"WITH {_DENSE}, {_DENSE_SEEDS}" + _DENSE_RANK.format(score=_MEAN))
+def _(t):
+    return _place_dense(t, seeds_by="dense")
+
+
+@query("place_mentions_mixed", f"WITH {_TEXT_SEEDS}, {_DENSE}" + _DENSE_RANK.format(score=_MEAN))
+def _(t):
+    return _place_dense(t)
+
+
+@query("place_mentions_leaf_always", f"WITH {_DENSE}, {_DENSE_SEEDS}" + _DENSE_RANK.format(score=f"CASE WHEN child_idx = 'NULL' THEN 1000.0 ELSE {_MEAN} END"))
+def _(t):
+    return _place_dense(t, seeds_by="dense", leaf_value=1000.0, leaf_always=True)
+
+
+# Seeds: two by the mention, then new ones by its context; scores of both texts are blended.
+@query("place_mentions_context", f"""WITH p AS ({_TITLE_TF}), d AS (SELECT token, count(*) AS df FROM p GROUP BY token),
+m AS (SELECT p_partkey AS q, 0 AS side, p_name AS text FROM part UNION ALL SELECT p_partkey, 1, p_name || ' ' || p_brand FROM part),
+w AS (SELECT q, side, token, count(*) * log10((SELECT count(DISTINCT id) FROM concept) / any_value(df)) AS w FROM (SELECT q, side, {_TOK.format(c='text')} AS token FROM m) JOIN d USING (token) GROUP BY q, side, token),
+sc AS (SELECT q, side, id, round(sum(w), 9) AS score FROM w JOIN p USING (token) WHERE w > 0 GROUP BY q, side, id),
+bt AS (SELECT q, side, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY q, side ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 5),
+un AS (SELECT q, id, min((side, rank)) AS o FROM bt WHERE side = 1 OR rank <= 2 GROUP BY q, id),
+sd AS (SELECT q AS mention_id, id, rank FROM (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY o) AS rank FROM un) WHERE rank <= 5),
+f0 AS ({_FORM.format(s='sd', g='isa')}),
+x AS (SELECT DISTINCT mention_id, parent_idx AS id FROM f0 UNION SELECT mention_id, child_idx FROM f0),
+ns AS (SELECT mention_id, id, 0.5 * coalesce(round(sum(w) FILTER (side = 1), 9), 0) + 0.5 * coalesce(round(sum(w) FILTER (side = 0), 9), 0) AS sim
+  FROM x JOIN p USING (id) JOIN w ON w.q = mention_id AND w.token = p.token GROUP BY ALL),
+es AS (SELECT f.mention_id, parent_idx, child_idx, {_MEAN} AS score FROM f0 f
+  LEFT JOIN ns a ON a.mention_id = f.mention_id AND a.id = parent_idx LEFT JOIN ns b ON b.mention_id = f.mention_id AND b.id = child_idx),
+rk AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, parent_idx, child_idx) AS rank FROM es)
+SELECT mention_id, rank, parent_idx, child_idx, CAST(score AS DOUBLE) AS score FROM rk WHERE rank <= 20""")
+def _(t):
+    mentions = t.part.select(
+        F.col("p_partkey").alias("mention_id"), F.col("p_name").alias("mention"), F.concat_ws(" ", "p_name", "p_brand").alias("context"))
+    concepts = t.concept.select("id", F.col("title").alias("text"))
+    return place_mentions(mentions, concepts, t.isa, None, Settings(seeds=5, cap=20))
+
+
 _PLACED = ("WITH " + _PLACE + _PLACE_RANK.format(f="f0", leaf="round((coalesce(a.sim, 0) + coalesce(b.sim, 0)) / 2, 9)", join="")).replace(
     "\nSELECT p_partkey AS mention_id", ",\npl AS (SELECT p_partkey AS mention_id")
 
