@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxograft.functions.arrays import blend
@@ -25,6 +25,15 @@ class TextIndex:
     def build(concepts: DataFrame) -> TextIndex:
         return TextIndex(cut_lineage(retrieve.build_postings(concepts)), cut_lineage(retrieve.concept_count(concepts)))
 
+    def save(self, path: str) -> None:
+        """Write the index as tables under ``path``, postings sorted by token for later look-ups."""
+        self.postings.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
+        self.total.write.mode("overwrite").parquet(f"{path}/total")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> TextIndex:
+        return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/total"))
+
 
 def place_mentions(
     mentions: DataFrame,

@@ -61,12 +61,17 @@ def balanced_join(
     columns, and is repeated for the ``b`` slices of the right rows; a right row the other
     way round.  Each pair meets exactly once, so the result equals the plain join.  Only
     inner joins slice the right side.  ``how`` may be inner, left, left_semi or left_anti.
+
+    Joins that only look up one row (no ``fanout``) cannot explode: they stay lazy plain joins,
+    whose skewed partitions adaptive execution splits.  The others count their keys first.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"balanced_join cannot do {how!r}")
-    both = how == "inner" and fanout
-    hot = hot_keys(left, right if fanout else None, keys, rows_per_task, both)
+    if not fanout:
+        return left.join(right, keys, how)
+    both = how == "inner"
+    hot = hot_keys(left, right, keys, rows_per_task, both)
     few = hot.limit(SENT_KEYS + 1).collect()  # a bounded number of keys and two counts
     if not few:
         return left.join(right, keys, how)

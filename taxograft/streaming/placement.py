@@ -9,25 +9,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from taxograft.model import Settings
-from taxograft.plans.placement import place_mentions
+from taxograft.plans.placement import TextIndex, place_mentions
 
 
 def place_stream(
     stream: DataFrame,
-    concepts: DataFrame,
+    concepts: DataFrame | TextIndex,
     isa: DataFrame,
     edges: DataFrame | None,
     sink: Callable[[DataFrame, int], None],
     settings: Settings | None = None,
+    vectors: DataFrame | None = None,
 ) -> DataStreamWriter:
     """Place each micro-batch of mentions with the batch operator and hand it to ``sink``.
 
     The sink gets ``(ranked edges, batch id)``; a sink that overwrites the batch's own
-    folder makes retries harmless.
+    folder makes retries harmless.  The concepts are indexed once, before the first batch, or
+    come as an index that was saved before.
     """
+    by_idf = settings is None or "idf" in {settings.seeds_by, settings.edges_by}
+    index = TextIndex.build(concepts) if by_idf and not isinstance(concepts, TextIndex) else concepts
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        sink(place_mentions(batch, concepts, isa, edges, settings), batch_id)
+        sink(place_mentions(batch, index, isa, edges, settings, vectors), batch_id)
 
     return stream.writeStream.foreachBatch(each)
 
