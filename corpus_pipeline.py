@@ -21,6 +21,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 KEY = ["_id", "_none", "_mark"]
+#: Bytes of rejected keys up to which they are sent to the texts; beyond it, texts and keys meet in
+#: a shuffled join.
+SENT_BYTES = 16 << 20
+KEY_BYTES = 32
 
 
 def _keyed(rows: DataFrame, mark: Column) -> DataFrame:
@@ -28,8 +32,10 @@ def _keyed(rows: DataFrame, mark: Column) -> DataFrame:
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that are not in ``rejected(doc_id, mark)``."""
-    gone = _keyed(rejected, F.col("mark")).select(*KEY).distinct()
+    """Rows of ``docs`` that are not in ``rejected(doc_id, mark)``; few keys leave the texts in place."""
+    gone = cut_lineage(_keyed(rejected, F.col("mark")).select(*KEY).distinct())
+    if gone.count() * KEY_BYTES <= SENT_BYTES:
+        gone = F.broadcast(gone)
     return _keyed(docs, F.xxhash64("text")).join(gone, KEY, "left_anti").select(*COLUMNS)
 
 
@@ -78,13 +84,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written beside the shared checkpoints and read again."""
+    """All stages over ``documents``, each written beside the shared checkpoints and read again; what
+    a stage wrote is removed when the next one has been written, so the result alone is left."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     ensure_checkpoint_dir(spark)
     top = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
+    last = None
     for number, (name, stage) in enumerate(STAGES):
         out = f"{top}/{number}_{name}"
         stage(prepare(spark), docs, sf_dir).write.mode("overwrite").parquet(out)
         docs = spark.read.parquet(out)
+        if last:
+            remove(spark, last)
+        last = out
     return docs
