@@ -99,6 +99,12 @@ class Rows:
     def mean(self, dim: int) -> np.ndarray:
         return np.bincount(self.terms, self.values, dim) / len(self.sizes)
 
+    def reach(self, centre: np.ndarray) -> np.ndarray:
+        """Largest distance from the centre along every term; a row without the term lies at 0."""
+        out = np.where(np.bincount(self.terms, minlength=len(centre)) < len(self.sizes), centre, 0.0)
+        np.maximum.at(out, self.terms, np.abs(self.values - centre[self.terms]))
+        return out
+
     def take(self, rows: np.ndarray) -> Rows:
         sizes = self.sizes[rows]
         at = np.repeat(self.starts[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
@@ -119,6 +125,7 @@ class Tree:
         self.leaves: dict[int, Rows] = {}
         centres: list[np.ndarray] = []
         radii: list[float] = []
+        along: list[np.ndarray] = []
         todo = [(rows, None, 0)]
         while todo:
             part, parent, side = todo.pop()
@@ -133,6 +140,7 @@ class Tree:
             far = squares - 2 * part.dot(centre) + length + 1e-9 * (squares + length)
             centres.append(centre)
             radii.append(math.sqrt(max(float(far.max()), 0.0)) * (1 + 1e-9))
+            along.append(part.reach(centre))
             if len(part.sizes) <= leaf:
                 self.leaves[node] = part
                 continue
@@ -143,7 +151,7 @@ class Tree:
             order = np.argsort(part.dot(one - other), kind="stable")
             half = len(order) // 2
             todo += [(part.take(order[:half]), node, 0), (part.take(order[half:]), node, 1)]
-        self.centres, self.radii = np.stack(centres), np.array(radii)
+        self.centres, self.radii, self.along = np.stack(centres), np.array(radii), np.stack(along)
 
     @staticmethod
     def _dense(part: Rows, row: int, dim: int) -> np.ndarray:
@@ -155,8 +163,10 @@ class Tree:
     def bounds(self, asked: list[np.ndarray]) -> np.ndarray:
         """For each list of distinct terms an upper bound of its score in each node."""
         sizes = np.array([len(terms) for terms in asked])
-        near = np.add.reduceat(self.centres[:, np.concatenate(asked)], np.cumsum(sizes) - sizes, axis=1)
-        return ((near + self.radii[:, None] * np.sqrt(sizes)) * (1 + 1e-9) + 1).T
+        terms, starts = np.concatenate(asked), np.cumsum(sizes) - sizes
+        near = np.add.reduceat(self.centres[:, terms], starts, axis=1)
+        apart = np.add.reduceat(self.along[:, terms], starts, axis=1)
+        return ((near + np.minimum(self.radii[:, None] * np.sqrt(sizes), apart)) * (1 + 1e-9) + 1).T
 
 
 class Best:

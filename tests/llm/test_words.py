@@ -179,14 +179,16 @@ def test_ranking_of_empty_tables(spark):
     assert lexical.rank(documents(spark, [(1, "c")]), some).columns == ["item_id", "rank", "doc_id", "score"]
 
 
-def test_subtrees_are_pruned_and_bounds_hold():
-    """Tight groups of documents: whole subtrees are passed over, nothing is lost."""
+@pytest.mark.parametrize(("common", "share"), [(0, 0.25), (40, 0.7)])
+def test_subtrees_are_pruned_and_bounds_hold(common, share):
+    """Groups of documents, alike or with many other terms: subtrees are passed over, nothing is lost."""
     rng = np.random.default_rng(8)
     dim, per = 320, 64
     rows = []
     for group in range(16):
         for _ in range(per):
-            rows.append({group * 20 + t: 10**9 + int(rng.integers(0, 10**6)) for t in range(20)})
+            own = {group * 20 + t: 10**9 + int(rng.integers(0, 10**6)) for t in range(20) if not common or rng.random() < 0.8}
+            rows.append({**{int(t): int(rng.integers(1, 10**8)) for t in rng.integers(0, dim, common)}, **own})
     sizes = np.array([len(r) for r in rows])
     terms = np.concatenate([sorted(r) for r in rows])
     values = np.concatenate([[r[t] for t in sorted(r)] for r in rows]).astype(np.int64)
@@ -200,7 +202,7 @@ def test_subtrees_are_pruned_and_bounds_hold():
             assert bounds[i, node] >= leaf.exact(mark).max()
     best = [lexical.Best(10, 0) for _ in asked]
     scored = lexical.search_tree(tree, asked, best)
-    assert scored < len(asked) * len(tree.leaves) / 4
+    assert scored < len(asked) * len(tree.leaves) * share
     for i, q in enumerate(asked):
         scores = sorted(((sum(r.get(t, 0) for t in q), -d) for d, r in enumerate(rows)), reverse=True)[:10]
         assert sorted(((s, d) for s, _, d in best[i].heap), reverse=True) == scores
