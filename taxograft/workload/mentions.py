@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from taxograft.operators import graph as G
 from taxograft.operators import mentions as M
+from taxograft.operators.detect import detect_mentions
 from taxograft.workload.registry import derive, query
 
 derive("newer", """
@@ -237,4 +238,4 @@ r AS (SELECT conv_id, turn, i - 1 AS start_word, 1 AS n_words, w[i] AS mention F
 SELECT conv_id AS doc_id, turn AS sent_id, start_word, n_words, mention, id FROM r JOIN name_dict ON name = mention""")
 def _(t):
     s = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("sent_id"), "text")
-    return M.detect_mentions(s, t.name_dict)
+    return detect_mentions(s, t.name_dict)

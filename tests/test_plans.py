@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from taxograft.plans import order as O
 from taxograft.plans import skew as K
+from taxograft.sources import lines
 from taxograft.sources.lines import read_lines
 
 
@@ -96,13 +97,24 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
         spark.conf.set("spark.sql.files.openCostInBytes", "10")
-        got = read_lines(spark, str(tmp_path)).collect()
+        rows = read_lines(spark, str(tmp_path))
+        got = rows.collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.set("spark.sql.files.openCostInBytes", cost)
     assert len(got) == 5037
     for r in got:
         assert r.value == want[r.file.rsplit("/", 1)[1]][r.line_no]
+    assert sorted(r.row_no for r in got) == list(range(5037))
+
+
+def test_lines_stay_where_they_are_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_text("\n".join(f"line {i}" for i in range(300)))
+    rows = read_lines(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    monkeypatch.setattr(lines, "SENT_SPLITS", 0)
+    assert {(r.row_no, r.value) for r in read_lines(spark, str(tmp_path)).collect()} == {(i, f"line {i}") for i in range(300)}
 
 
 def test_checkpoint_dir_setting_is_used():
