@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxograft.functions.arrays import f1
+from taxograft.operators.graph import within_hops
 from taxograft.plans.lineage import cut_lineage
 from taxograft.plans.order import running_totals, top_k
+from taxograft.plans.skew import balanced_join
 
 KS = (1, 3, 5, 10, 20, 50, 100, 150, 200, 250, 300)
 GUARD = 1e-10  # fixed value: added to the denominators of the label-wise rates
@@ -79,35 +81,111 @@ def recall_any_all_at(cands: DataFrame, gold: DataFrame, ks: Sequence[int] = KS,
     return _long(sliced.rollup("slice").agg(*aggs), ks, ["any", "all"], ["slice", "n_mentions"])
 
 
+def _with_kind(gold: DataFrame, by: str) -> DataFrame:
+    """Gold with ``is_leaf`` of the row itself, or of its mention (any of its rows is one)."""
+    if by not in {"row", "mention"}:
+        raise ValueError(by)
+    if by == "row":
+        return gold
+    of_mention = gold.groupBy("mention_id").agg(F.bool_or("is_leaf").alias("is_leaf"))
+    return gold.drop("is_leaf").join(of_mention, "mention_id")
+
+
+def _all_and_sliced(df: DataFrame, aggs: Sequence[Column]) -> DataFrame:
+    """Aggregates of each mention over all of its rows (``is_leaf`` null) and over those of a slice."""
+    sets = [["mention_id"], ["mention_id", "is_leaf"]]
+    return df.groupingSets([[F.col(c) for c in x] for x in sets], "mention_id", "is_leaf").agg(*aggs)
+
+
+def rates_by_leaf(cands: DataFrame, gold: DataFrame, ks: Sequence[int] = KS, by: str = "row") -> DataFrame:
+    """Precision, recall and any/all rates at each cut-off, for all, leaf and other gold.
+
+    ``gold(mention_id, cand_id, is_leaf)``.  By ``row`` a slice asks for its own gold items only,
+    so a mention with both kinds is in both slices; by ``mention`` a mention with any leaf item is
+    in the leaf slice with all of its items.  ``is_leaf`` is null for the rates over everything.
+    """
+    key = ["mention_id", "cand_id"]
+    kinds = _with_kind(gold.groupBy(*key).agg(F.coalesce(F.bool_or("is_leaf"), F.lit(False)).alias("is_leaf")), by)
+    ranks = gold_ranks(cands, gold).join(kinds, key)
+    within = [F.coalesce(F.col("rank") <= k, F.lit(False)) for k in ks]
+    per = _all_and_sliced(ranks, [
+        F.count(F.lit(1)).alias("n"), *[F.count_if(w).alias(f"tp_{k}") for k, w in zip(ks, within)]
+    ])
+    aggs = [F.count(F.lit(1)).alias("n_mentions"), F.sum("n").alias("n_gold")]
+    for k in ks:
+        tp = F.col(f"tp_{k}")
+        aggs += [
+            F.sum(tp).alias(f"tp_{k}"), F.avg((tp > 0).cast("double")).alias(f"any_{k}"),
+            F.avg((tp == F.col("n")).cast("double")).alias(f"all_{k}"),
+        ]
+    rows = _long(per.groupBy("is_leaf").agg(*aggs), ks, ["tp", "any", "all"], ["is_leaf", "n_mentions", "n_gold"])
+    return rows.select(
+        "is_leaf", "k", "n_mentions", "n_gold", "tp", ratio("tp", F.col("n_mentions") * F.col("k")).alias("precision"),
+        ratio("tp", "n_gold").alias("recall"), "any", "all",
+    )
+
+
+def leaf_mentions(gold: DataFrame, null: str = "NULL") -> DataFrame:
+    """``(mention_id, is_leaf)``: whether any gold child of the mention is the null node."""
+    return gold.groupBy("mention_id").agg(F.bool_or(F.col("child_idx") == null).alias("is_leaf"))
+
+
+def similarity_by_leaf(ranked: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """:func:`similarity_at` for all, leaf and other rows of ``ranked(mention_id, rank, sim, is_leaf)``."""
+    return _similarity(ranked, ks, ["is_leaf"])
+
+
 def similarity_at(ranked: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
     """Mean over mentions of the average, least and largest similarity among the first k.
 
     ``ranked(mention_id, rank, sim)``; rows without a similarity are left out, and so are
     mentions that have none left.
     """
+    return _similarity(ranked, ks, [])
+
+
+def _similarity(ranked: DataFrame, ks: Sequence[int], slices: list[str]) -> DataFrame:
     valid = ranked.where(F.col("sim").isNotNull() & (F.col("sim") >= 0))
     parts = []
     for k in ks:
         within = F.when(F.col("rank") <= k, F.col("sim"))
         parts += [F.avg(within).alias(f"avg_{k}"), F.min(within).alias(f"min_{k}"), F.max(within).alias(f"max_{k}")]
-    per = valid.groupBy("mention_id").agg(*parts)
+    per = _all_and_sliced(valid, parts) if slices else valid.groupBy("mention_id").agg(*parts)
     aggs = []
     for k in ks:
         aggs.append(F.count(f"avg_{k}").alias(f"n_evaluated_{k}"))
         aggs += [F.avg(f"{n}_{k}").alias(f"wp_{n}_{k}") for n in ("avg", "min", "max")]
-    return _long(per.agg(*aggs), ks, ["n_evaluated", "wp_avg", "wp_min", "wp_max"], [])
+    return _long(per.groupBy(*slices).agg(*aggs), ks, ["n_evaluated", "wp_avg", "wp_min", "wp_max"], slices)
 
 
-def concept_recall(pool: DataFrame, gold: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+def concept_recall(
+    pool: DataFrame, gold: DataFrame, leaves: DataFrame | None = None, isa: DataFrame | None = None, hops: int = 0
+) -> DataFrame:
     """Share of mentions whose pool of concepts has a gold parent, child, or both.
 
     ``pool(mention_id, id)`` and ``gold(mention_id, parent_idx, child_idx)``; both sides
     must come from the same gold edge.  ``leaves(mention_id, is_leaf)`` adds slices.
+
+    With ``hops``, ancestors of a gold parent and descendants of a gold child within that many
+    links of ``isa(child_id, parent_id)`` count too.  Both are found by going up, from the gold
+    parents and from the pool, so the many children of a hub are never listed.
     """
     have = pool.select("mention_id", "id").distinct()
-    p = have.select("mention_id", F.col("id").alias("parent_idx"), F.lit(True).alias("_p"))
-    c = have.select("mention_id", F.col("id").alias("child_idx"), F.lit(True).alias("_c"))
     g = gold.select("mention_id", "parent_idx", "child_idx").distinct()
+    p = have.select("mention_id", F.col("id").alias("parent_idx"))
+    c = have.select("mention_id", F.col("id").alias("child_idx"))
+    if hops:
+        if isa is None:
+            raise ValueError("hops need the links")
+        have, g = cut_lineage(have), cut_lineage(g)
+        asked = g.select("mention_id", "parent_idx").distinct()
+        above = within_hops(asked.select(F.col("parent_idx").alias("id")), isa, hops)
+        accepted = balanced_join(asked.withColumnRenamed("parent_idx", "id"), above, "id")
+        p = accepted.select("mention_id", F.col("id").alias("parent_idx"), F.col("anc").alias("id")).join(
+            have, ["mention_id", "id"], "left_semi").select("mention_id", "parent_idx").distinct()
+        c = balanced_join(have, within_hops(have.select("id"), isa, hops), "id").select(
+            "mention_id", F.col("anc").alias("child_idx")).distinct()
+    p, c = p.withColumn("_p", F.lit(True)), c.withColumn("_c", F.lit(True))
     hit = g.join(p, ["mention_id", "parent_idx"], "left").join(c, ["mention_id", "child_idx"], "left").fillna(False, ["_p", "_c"])
     per = hit.groupBy("mention_id").agg(
         F.bool_or("_p").alias("parent"), F.bool_or("_c").alias("child"), F.bool_or(F.col("_p") & F.col("_c")).alias("both")

@@ -430,6 +430,17 @@ def subsumes(pairs: DataFrame, closure: DataFrame) -> DataFrame:
     )
 
 
+def within_hops(nodes: DataFrame, isa: DataFrame, hops: int) -> DataFrame:
+    """``(id, anc)``: each node ``(id)`` with itself and its ancestors at most ``hops`` links away."""
+    up = cut_lineage(isa.select(F.col("child_id").alias("anc"), F.col("parent_id").alias("next")).distinct())
+    front = cut_lineage(nodes.select("id").distinct().withColumn("anc", F.col("id")))
+    reach = front
+    for _ in range(hops):
+        front = cut_lineage(balanced_join(front, up, "anc").select("id", F.col("next").alias("anc")).distinct())
+        reach = reach.unionByName(front)
+    return cut_lineage(reach.distinct())
+
+
 def relax_targets(gold: DataFrame, isa: DataFrame, hops: int = 1) -> DataFrame:
     """Gold edges widened by ``hops``: ancestors of the gold parent and descendants of the
     gold child within that many links, in every combination."""

@@ -99,6 +99,79 @@ def _(t):
     return E.edge_recall(t.cand_edge, g, targets=g.unionByName(own))
 
 
+# Candidates with leaf edges among them, and gold of both kinds.
+derive("leafy_cand", """
+SELECT mention_id, rank, parent_idx, child_idx FROM cand_edge
+UNION ALL SELECT p_partkey, 1 + p_size % 7, 'B:' || p_brand, 'NULL' FROM part WHERE p_size % 3 > 0
+""")
+
+
+def _leafy(t):
+    edge = F.struct("parent_idx", "child_idx").alias("cand_id")
+    gold = t.mixed_gold.select("mention_id", edge, (F.col("child_idx") == "NULL").alias("is_leaf"))
+    return t.leafy_cand.select("mention_id", "rank", edge), gold
+
+
+_RATES = """WITH f AS (SELECT mention_id, parent_idx, child_idx, min(rank) AS rank FROM leafy_cand GROUP BY ALL),
+x AS (SELECT g.*, g.child_idx = 'NULL' AS leaf_row, bool_or(g.child_idx = 'NULL') OVER (PARTITION BY g.mention_id) AS leaf_mention, f.rank FROM mixed_gold g LEFT JOIN f USING (mention_id, parent_idx, child_idx)),
+u AS (SELECT mention_id, {by} AS is_leaf, rank FROM x UNION ALL SELECT mention_id, NULL, rank FROM x),
+m AS (SELECT mention_id, is_leaf, k, count(*) AS n, count(*) FILTER (rank <= k) AS tp FROM u, (VALUES (1), (3), (5), (10), (20)) v(k) GROUP BY ALL)
+SELECT is_leaf, k, count(*) AS n_mentions, sum(n) AS n_gold, sum(tp) AS tp, sum(tp) / (count(*) * k) AS precision, sum(tp) / sum(n) AS recall,
+ avg(CASE WHEN tp > 0 THEN 1.0 ELSE 0 END) AS "any", avg(CASE WHEN tp = n THEN 1.0 ELSE 0 END) AS "all" FROM m GROUP BY is_leaf, k"""
+
+
+@query("rates_by_leaf_row", _RATES.format(by="leaf_row"))
+def _(t):
+    return E.rates_by_leaf(*_leafy(t), ks=_KS)
+
+
+@query("rates_by_leaf_mention", _RATES.format(by="leaf_mention"))
+def _(t):
+    return E.rates_by_leaf(*_leafy(t), ks=_KS, by="mention")
+
+
+@query("similarity_by_leaf", """
+WITH s AS (SELECT r.mention_id, r.rank, CASE WHEN score > 20 THEN score / 100 END AS sim, (r.cand_id + r.mention_id) % 3 = 0 AS leaf FROM ranked_cand r),
+u AS (SELECT mention_id, rank, sim, leaf AS is_leaf FROM s UNION ALL SELECT mention_id, rank, sim, NULL FROM s),
+p AS (SELECT mention_id, is_leaf, k, avg(sim) AS a, min(sim) AS mi, max(sim) AS ma FROM u JOIN (VALUES (1), (5), (10)) v(k) ON rank <= k WHERE sim IS NOT NULL GROUP BY ALL)
+SELECT is_leaf, k, count(*) AS n_evaluated, round(avg(a), 9) AS wp_avg, round(avg(mi), 9) AS wp_min, round(avg(ma), 9) AS wp_max FROM p GROUP BY is_leaf, k""")
+def _(t):
+    sim = F.when(F.col("score") > 20, F.col("score") / 100)
+    leaf = (F.col("cand_id") + F.col("mention_id")) % 3 == 0
+    out = E.similarity_by_leaf(t.ranked_cand.select("mention_id", "rank", sim.alias("sim"), leaf.alias("is_leaf")))
+    return out.select("is_leaf", "k", "n_evaluated", *[F.round(c, 9).alias(c) for c in ("wp_avg", "wp_min", "wp_max")])
+
+
+# Pools: the concepts of every second candidate edge.
+derive("concept_pool", """
+SELECT mention_id, parent_idx AS id FROM cand_edge WHERE rank % 2 = 0 UNION SELECT mention_id, child_idx FROM cand_edge WHERE rank % 3 = 0
+UNION SELECT p_partkey, 'R0' FROM part WHERE p_size % 4 = 0
+""")
+_POOLED = """h AS (SELECT g.mention_id, g.child_idx = 'NULL' AS leaf, {p} AS p, {c} AS c FROM mixed_gold g),
+m AS (SELECT mention_id, bool_or(leaf) AS is_leaf, bool_or(p) AS parent, bool_or(c) AS child, bool_or(p AND c) AS bth FROM h GROUP BY mention_id),
+u AS (SELECT * FROM m UNION ALL SELECT mention_id, NULL, parent, child, bth FROM m)
+SELECT is_leaf, count(*) AS n_evaluated, avg(CAST(parent AS INT)) AS recall_parent, avg(CAST(child AS INT)) AS recall_child, avg(CAST(bth AS INT)) AS recall_both FROM u GROUP BY is_leaf"""
+
+
+@query("concept_recall_by_leaf", "WITH " + _POOLED.format(
+    p="(g.mention_id, g.parent_idx) IN (SELECT (mention_id, id) FROM concept_pool)", c="(g.mention_id, g.child_idx) IN (SELECT (mention_id, id) FROM concept_pool)"))
+def _(t):
+    return E.concept_recall(t.concept_pool, t.mixed_gold, E.leaf_mentions(t.mixed_gold))
+
+
+_WIDE = """gold_up0 AS (SELECT DISTINCT parent_idx AS id, parent_idx AS a FROM mixed_gold), gold_up1 AS (SELECT * FROM gold_up0 UNION SELECT gold_up0.id, parent_id FROM gold_up0 JOIN isa ON child_id = a),
+gold_up2 AS (SELECT * FROM gold_up1 UNION SELECT gold_up1.id, parent_id FROM gold_up1 JOIN isa ON child_id = a),
+gold_down0 AS (SELECT DISTINCT child_idx AS id, child_idx AS d FROM mixed_gold), gold_down1 AS (SELECT * FROM gold_down0 UNION SELECT gold_down0.id, child_id FROM gold_down0 JOIN isa ON parent_id = d),
+gold_down2 AS (SELECT * FROM gold_down1 UNION SELECT gold_down1.id, child_id FROM gold_down1 JOIN isa ON parent_id = d),
+hit_up AS (SELECT DISTINCT mention_id, gold_up2.id FROM concept_pool pool JOIN gold_up2 ON pool.id = a), hit_down AS (SELECT DISTINCT mention_id, gold_down2.id FROM concept_pool pool JOIN gold_down2 ON pool.id = d), """
+
+
+@query("concept_recall_relaxed", "WITH " + _WIDE + _POOLED.format(
+    p="(g.mention_id, g.parent_idx) IN (SELECT (mention_id, id) FROM hit_up)", c="(g.mention_id, g.child_idx) IN (SELECT (mention_id, id) FROM hit_down)"))
+def _(t):
+    return E.concept_recall(t.concept_pool, t.mixed_gold, E.leaf_mentions(t.mixed_gold), t.isa, 2)
+
+
 @query("mean_rank", """
 SELECT count(*) AS n_mentions, count(r) AS n_found, avg(r) AS mr, round(avg(coalesce(1.0 / r, 0)), 9) AS mrr FROM best_rank""")
 def _(t):
