@@ -25,7 +25,7 @@ HEADLINE = [
     "bm25",
     "multi_field_search",
     "nearest_exact",
-    "enrich_edges",
+    "enrich_leaf",
     "place_mentions_enriched",
     "recall_any_all_at",
     "auc",

@@ -545,14 +545,19 @@ def in_batch_accuracy(scores: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def pool_synonyms(cands: DataFrame, entities: DataFrame, how: str = "max", k: int = 10) -> DataFrame:
+def pool_synonyms(
+    cands: DataFrame, entities: DataFrame, how: str = "max", k: int = 10, factor: int | None = None
+) -> DataFrame:
     """Synonym-row candidates merged into their concept, ranked and cut to ``k``.
 
     ``cands(mention_id, local_id, score)`` should hold more than ``k`` rows per mention;
-    ``entities(local_id, canonical_id)`` names each row's concept.
+    ``entities(local_id, canonical_id)`` names each row's concept.  With ``factor`` only the best
+    ``k * factor`` rows of a mention are merged (equal scores by ascending row id).
     """
     if how not in {"max", "avg"}:
         raise ValueError(how)
+    if factor is not None:
+        cands = top_k(cands, "mention_id", [F.desc("score"), F.asc("local_id")], k * factor, "_row").drop("_row")
     fn = F.max if how == "max" else F.avg
     merged = cands.join(entities.select("local_id", "canonical_id"), "local_id").groupBy(
         "mention_id", F.col("canonical_id").alias("cand_id")

@@ -16,18 +16,18 @@ UNION ALL SELECT p_partkey, 5, '[EX.](role)(S1)' FROM part WHERE p_size > 40
 """)
 # Complex seeds are not expanded.
 derive("simple_seed", "SELECT * FROM seed WHERE NOT contains(id, '[')")
-# What these queries return on the whole graph is too large to compare row by row.
-derive("core_closed", """
-SELECT parent_id AS p, child_id AS c FROM isa_core
-UNION SELECT 'THING', id FROM concept WHERE id NOT IN (SELECT child_id FROM isa_core)
-UNION SELECT id, 'NULL' FROM concept WHERE id NOT IN (SELECT parent_id FROM isa_core)
-""")
-derive("core_edge", """
-SELECT p AS parent_idx, c AS child_idx, min(degree) AS degree FROM (
-  SELECT p, c, 0 AS degree FROM core_closed
-  UNION ALL SELECT x.p, y.c, 1 FROM core_closed x JOIN core_closed y ON x.c = y.p)
-GROUP BY p, c
-""", stored=True)
+# What these queries return on the whole graph is compared by a count and a digest of a mention's
+# edges: all rows are computed, and every one of them changes the sum.
+_DIGEST = """ SELECT mention_id, count(*) AS n_edges, CAST(sum(CAST('0x' || substr(md5({row}), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM ({{rows}}) GROUP BY mention_id"""
+_EDGE_DIGEST = _DIGEST.format(row="parent_idx || '|' || child_idx")
+
+
+def _digest(edges, *more):
+    row = F.md5(F.concat_ws("|", "parent_idx", "child_idx", *more))
+    number = F.conv(F.substring(row, 1, 8), 16, 10).cast("long")
+    return edges.groupBy("mention_id").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(number).alias("digest"))
+
+
 _FORM = """SELECT DISTINCT mention_id, parent_idx, child_idx FROM (
   SELECT mention_id, id AS parent_idx, 'NULL' AS child_idx FROM {s}
   UNION ALL SELECT mention_id, parent_id, id FROM {s} JOIN {g} ON child_id = id
@@ -35,9 +35,9 @@ _FORM = """SELECT DISTINCT mention_id, parent_idx, child_idx FROM (
   UNION ALL SELECT mention_id, u.parent_id, d.child_id FROM {s} JOIN {g} u ON u.child_id = id JOIN {g} d ON d.parent_id = id)"""
 
 
-@query("form_edges", _FORM.format(s="simple_seed", g="isa_core"))
+@query("form_edges", _EDGE_DIGEST.format(rows=_FORM.format(s="simple_seed", g="isa")))
 def _(t):
-    return N.form_edges(t.seed, t.isa_core)
+    return _digest(N.form_edges(t.seed, t.isa))
 
 
 @query("enrich_concepts", """
@@ -72,14 +72,14 @@ def _(t):
     return N.enrich_leaf(t.cand_edge, t.edge)
 
 
-@query("enrich_hops", "WITH " + _HOPS.format(c="cand_edge", k="core_edge") + " SELECT * FROM hp")
+@query("enrich_hops", "WITH " + _HOPS.format(c="cand_edge", k="edge") + _EDGE_DIGEST.format(rows="SELECT * FROM hp"))
 def _(t):
-    return N.enrich_hops(t.cand_edge, t.core_edge)
+    return _digest(N.enrich_hops(t.cand_edge, t.edge))
 
 
-@query("enrich_edges", "WITH " + _LEAF.format(c="cand_edge", k="core_edge") + ", " + _HOPS.format(c="lf", k="core_edge") + " SELECT * FROM hp")
+@query("enrich_edges", "WITH " + _LEAF.format(c="cand_edge", k="edge") + ", " + _HOPS.format(c="lf", k="edge") + _EDGE_DIGEST.format(rows="SELECT * FROM hp"))
 def _(t):
-    return N.enrich_edges(t.cand_edge, t.core_edge)
+    return _digest(N.enrich_edges(t.cand_edge, t.edge))
 
 
 _SEF = """WITH sd AS (SELECT * FROM cand_edge WHERE rank <= 3), """ + _LEAF.format(c="sd", k="edge") + ", " + _HOPS.format(c="lf", k="edge") + """,
@@ -96,13 +96,24 @@ def _(t):
     return N.seed_enrich_fill(t.cand_edge, t.edge, 3, 12)
 
 
+# Every enriched edge has a score of its own here.
+@query("seed_enrich_fill_scored", _SEF.replace(
+    "al AS (SELECT h.*, c.score FROM hp h LEFT JOIN cand_edge c USING (mention_id, parent_idx, child_idx)",
+    "al AS (SELECT h.*, CAST((mention_id * 7 + length(parent_idx) * 3 + length(child_idx) * 5) % 100 AS DOUBLE) AS score FROM hp h"))
+def _(t):
+    seeds = t.cand_edge.where("rank <= 3")
+    score = (F.col("mention_id") * 7 + F.length("parent_idx") * 3 + F.length("child_idx") * 5) % 100
+    scores = N.enrich_edges(seeds, t.edge).withColumn("score", score.cast("double"))
+    return N.seed_enrich_fill(t.cand_edge, t.edge, 3, 12, scores=scores)
+
+
 @query("edge_ids", """
-WITH k AS (SELECT parent_idx, child_idx, row_number() OVER (ORDER BY parent_idx, child_idx) - 1 AS edge_id FROM edge WHERE degree = 0)
+WITH k AS (SELECT parent_idx, child_idx, row_number() OVER (ORDER BY parent_idx, child_idx) - 1 AS edge_id FROM edge)
 SELECT mention_id, c.parent_idx, c.child_idx, coalesce(edge_id, -1) AS edge_id FROM cand_edge c LEFT JOIN k USING (parent_idx, child_idx)""")
 def _(t):
     from taxograft.operators.catalogue import number_edges
 
-    known = number_edges(t.edge.where("degree = 0"))
+    known = number_edges(t.edge)
     return N.edge_ids(t.cand_edge.select("mention_id", "parent_idx", "child_idx"), known)
 
 
@@ -114,12 +125,14 @@ def _(t):
 
 
 @query("assume_leaf", """
-WITH f AS (""" + _FORM.format(s="simple_seed", g="isa_core") + """),
-t AS (SELECT mention_id, id NOT IN (SELECT parent_id FROM isa_core) AS leaf FROM seed WHERE rank = 1)
-SELECT f.mention_id, parent_idx, child_idx, CAST(CASE WHEN child_idx <> 'NULL' THEN 0.5 WHEN leaf THEN 1000.0 ELSE -1000.0 END AS DOUBLE) AS score
-FROM f LEFT JOIN t ON t.mention_id = f.mention_id""")
+WITH f AS (""" + _FORM.format(s="simple_seed", g="isa") + """),
+t AS (SELECT mention_id, id NOT IN (SELECT parent_id FROM isa) AS leaf FROM seed WHERE rank = 1)""" + _DIGEST.format(
+    row="parent_idx || '|' || child_idx || '|' || score").format(rows="""
+SELECT f.mention_id, parent_idx, child_idx, CASE WHEN child_idx <> 'NULL' THEN 5 WHEN leaf THEN 1000 ELSE -1000 END AS score
+FROM f LEFT JOIN t ON t.mention_id = f.mention_id"""))
 def _(t):
-    return N.assume_leaf(N.form_edges(t.seed, t.isa_core).withColumn("score", F.lit(0.5)), t.seed, t.isa_core, 1000)
+    edges = N.form_edges(t.seed, t.isa).withColumn("score", F.lit(5.0))
+    return _digest(N.assume_leaf(edges, t.seed, t.isa, 1000), F.col("score").cast("int").cast("string"))
 
 
 @query("rank_edges", """

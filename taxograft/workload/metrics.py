@@ -401,6 +401,15 @@ def _(t):
     return E.pool_synonyms(t.cand.withColumnRenamed("cand_id", "local_id"), e, "avg", 5)
 
 
+@query("pool_synonyms_factor", """
+WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, cand_id) AS pos FROM cand) WHERE pos <= 10),
+m AS (SELECT mention_id, CAST(floor(cand_id / 3) AS BIGINT) AS cand_id, avg(score) AS score FROM f GROUP BY ALL)
+SELECT mention_id, cand_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, cand_id) AS rank FROM m) WHERE rank <= 5""")
+def _(t):
+    e = t.supplier.select(F.col("s_suppkey").alias("local_id"), F.floor(F.col("s_suppkey") / 3).alias("canonical_id"))
+    return E.pool_synonyms(t.cand.withColumnRenamed("cand_id", "local_id"), e, "avg", 5, 2)
+
+
 @query("pad_candidates", """
 SELECT m.mention_id, rank, cand_id, CASE WHEN cand_id IS NULL THEN 0 ELSE 1 END AS mask FROM (
   SELECT mention_id, unnest(range(1, 21)) AS rank FROM (SELECT DISTINCT mention_id FROM cand)) m LEFT JOIN ranked_cand r USING (mention_id, rank)""")
