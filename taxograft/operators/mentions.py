@@ -141,20 +141,96 @@ def recompose_splits(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("final_split", F.explode(target))
 
 
+#: Spans of one document that meet its text at once, and the characters they are spread over.
+SPANS, STRETCH = 1_000, 65_536
+
+
+def span_contexts(docs: DataFrame, n: int = 128) -> DataFrame:
+    """``contexts``, an array ``(context_left, mention, context_right)``, in place of ``text``.
+
+    ``docs(text, spans, ...)`` with ``spans`` an array of structs with ``start`` and ``end``; the
+    entries stand in the same order.  A text is met once, whatever the number of its spans: a small
+    helper walks from a span to both sides until it has ``n // 2`` words.  A missing offset or text
+    gives nulls, offsets beyond the text are cut to it.
+    """
+    half = n // 2
+    rest = [c for c in docs.columns if c != "text"]
+    item = "struct<context_left:string,mention:string,context_right:string>"
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+
+    def run(batches):
+        import pyarrow as pa
+
+        def words_before(text, at):
+            out = []
+            while at > 0 and len(out) < half:
+                blank = text.rfind(" ", 0, at)
+                if blank + 1 < at:
+                    out.append(text[blank + 1 : at])
+                at = blank
+            return " ".join(reversed(out))
+
+        def words_after(text, at):
+            out = []
+            while at < len(text) and len(out) < half:
+                blank = text.find(" ", at)
+                blank = len(text) if blank < 0 else blank
+                if blank > at:
+                    out.append(text[at:blank])
+                at = blank + 1
+            return " ".join(out)
+
+        def context(text, span):
+            if text is None or span is None:
+                return (None, None, None)
+            start, end = (None if x is None else max(0, min(x, len(text))) for x in (span["start"], span["end"]))
+            return (
+                None if start is None else words_before(text, start),
+                None if start is None or end is None else text[start:end],
+                None if end is None else words_after(text, end),
+            )
+
+        names = ("context_left", "mention", "context_right")
+        shape = pa.list_(pa.struct([(x, pa.string()) for x in names]))
+        for batch in batches:
+            places = batch.column("places").to_pylist()
+            found = [
+                None if spans is None else [dict(zip(names, context(text, x))) for x in spans]
+                for text, spans in zip(batch.column("text").to_pylist(), places)
+            ]
+            kept = [batch.column(c) for c in rest]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, shape)], names=[*rest, "contexts"])
+
+    places = F.transform("spans", lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end")))
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in rest], f"contexts array<{item}>"])
+    return docs.select(*rest, "text", places.alias("places")).mapInArrow(run, schema)
+
+
 def context_window(docs: DataFrame, spans: DataFrame, n: int = 128) -> DataFrame:
     """``n // 2`` words of document text on each side of a character span.
 
-    ``docs(doc_id, text)`` and ``spans(doc_id, start, end, ...)``.
+    ``docs(doc_id, text)`` and ``spans(doc_id, start, end, ...)``.  The spans of a document are
+    packed by their place, about ``SPANS`` of them at most, and each pack meets the text once, so
+    neither a long text nor a document with very many spans is copied for every span.  Repeated
+    spans are packed once and repeated at the end.
     """
-    joined = balanced_join(spans, docs.select("doc_id", "text"), "doc_id", fanout=False)
-    left = F.filter(words(F.substring(F.col("text"), F.lit(1), F.col("start"))), lambda w: w != "")
-    right = F.filter(words(F.substring(F.col("text"), F.col("end") + 1, F.length("text"))), lambda w: w != "")
-    return joined.select(
-        *spans.columns,
-        F.array_join(last_n(left, n // 2), " ").alias("context_left"),
-        F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("mention"),
-        F.array_join(first_n(right, n // 2), " ").alias("context_right"),
+    own = spans.columns
+    once = spans.where(F.col("doc_id").isNotNull()).groupBy(*own).agg(F.count(F.lit(1)).alias("_n"))
+    once = once.withColumn("_stretch", F.coalesce(F.floor(F.col("start") / STRETCH), F.lit(-1)))
+    sizes = once.groupBy("doc_id", "_stretch").agg(F.ceil(F.count(F.lit(1)) / SPANS).alias("_packs"))
+    # more than one pack only where a stretch has very many spans
+    many = sizes.where("_packs > 1")
+    packed = once.join(many, ["doc_id", "_stretch"], "left").withColumn(
+        "_pack", F.pmod(F.xxhash64(*own), F.coalesce("_packs", F.lit(1)))
+    )
+    one = F.struct(*[c for c in [*own, "_n"] if c != "doc_id"])
+    packs = packed.groupBy("doc_id", "_stretch", "_pack").agg(F.collect_list(one).alias("spans"))
+    met = balanced_join(packs.select("doc_id", "spans"), docs.select("doc_id", "text"), "doc_id", fanout=False)
+    flat = span_contexts(met, n).select("doc_id", F.explode(F.arrays_zip("spans", "contexts")).alias("_z")).select(
+        "doc_id", "_z.spans.*", "_z.contexts.*"
     )
+    repeated = flat.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))))
+    return repeated.select(*own, "context_left", "mention", "context_right")
 
 
 def query_contexts(mentions: DataFrame, sizes: Sequence[int] = (10, 25)) -> DataFrame:

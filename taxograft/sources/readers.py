@@ -82,29 +82,36 @@ def read_rf2(spark: SparkSession, path: str) -> DataFrame:
 
 # ---------------------------------------------------------------------- corpora
 
-def parse_pubtator(blocks: DataFrame) -> DataFrame:
-    """Annotated spans ``(doc_id, text, start, end, mention, cui)`` of blocks ``value``.
+def pubtator_docs(blocks: DataFrame) -> DataFrame:
+    """Documents ``(doc_id, text, spans)`` of blocks ``value``, those without spans too.
 
     A block has ``id|t|title``, ``id|a|abstract`` and one tab-separated line per span; the
     text is title and abstract joined by a blank.  Offsets must agree with the text.
+    ``spans(start, end, mention, cui)`` stay with their text, which is met once.
     """
     lines = F.split(strip("value"), "\n")
     title = F.regexp_extract("value", r"(?md)^[^|\n]*\|t\|([^\n]*)$", 1)
     abstract = F.regexp_extract("value", r"(?md)^[^|\n]*\|a\|([^\n]*)$", 1)
-    spans = F.filter(
-        F.transform(lines, lambda x: F.split(x, "\t")), lambda p: F.size(p) >= 5
+    parts = F.filter(F.transform(lines, lambda x: F.split(x, "\t")), lambda p: F.size(p) >= 5)
+    span = lambda p: F.struct(
+        F.get(p, F.lit(1)).cast("int").alias("start"), F.get(p, F.lit(2)).cast("int").alias("end"),
+        F.get(p, F.lit(3)).alias("mention"), F.regexp_replace(F.element_at(p, -1), "^UMLS:", "").alias("cui"),
     )
-    docs = blocks.where(F.col("value").contains("|t|")).select(
+    return blocks.where(F.col("value").contains("|t|")).select(
         F.regexp_extract("value", r"^\s*([^|\s]+)\|t\|", 1).alias("doc_id"),
-        F.concat_ws(" ", title, abstract).alias("text"), F.explode(spans).alias("p"),
-    )
-    last = F.element_at("p", -1)
-    return docs.select(
-        "doc_id", "text", F.get("p", F.lit(1)).cast("int").alias("start"), F.get("p", F.lit(2)).cast("int").alias("end"),
-        F.get("p", F.lit(3)).alias("mention"), F.regexp_replace(last, "^UMLS:", "").alias("cui"),
+        F.concat_ws(" ", title, abstract).alias("text"), F.transform(parts, span).alias("spans"),
     )
 
 
+def parse_pubtator(blocks: DataFrame) -> DataFrame:
+    """One row per span ``(doc_id, text, start, end, mention, cui)`` of :func:`pubtator_docs`.
+
+    The text is repeated for each span, as this format has it; with ``mentions.span_contexts``
+    the documents give contexts without that.
+    """
+    return pubtator_docs(blocks).select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", "text", "s.*")
+
+
 def read_pubtator(spark: SparkSession, path: str) -> DataFrame:
     return parse_pubtator(spark.read.option("lineSep", "\n\n").text(path))
 

@@ -2,6 +2,7 @@
 
 import bz2
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -70,6 +71,42 @@ def test_context_window_shorter_than_budget(spark):
     assert (r.context_left, r.mention, r.context_right) == ("a b c", "mention", "d e")
 
 
+def test_context_window_equals_splitting(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = {i: " ".join(rng.choice(["a", "bb", "", "ä😀", "c.", "x" * 30]) for _ in range(rng.randint(0, 400))) for i in range(6)}
+    texts[6] = None
+    texts[7] = ""
+    texts[8] = "no spans"
+    spans = [(d, s, s + rng.randint(0, 40), f"t{i}") for d in range(8) for i, s in enumerate(rng.choices(range(0, 1200), k=30))]
+    spans += [spans[0], spans[0], (0, None, 5, "n"), (0, 5, None, "m"), (None, 0, 1, "z"), (99, 0, 1, "gone")]
+
+    def want(d, start, end, tag):
+        t = texts[d]
+        side = lambda x: [w for w in x.split(" ") if w]
+        if t is None:
+            return (d, start, end, tag, None, None, None)
+        left = None if start is None else " ".join(side(t[:start])[-4:])
+        mid = None if start is None or end is None else t[start:end]
+        return (d, start, end, tag, left, mid, None if end is None else " ".join(side(t[end:])[:4]))
+
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    rows = spark.createDataFrame(spans, "doc_id int, start int, end int, tag string")
+    expected = sorted((want(*s) for s in spans if s[0] in texts), key=str)
+    for size, stretch in ((1_000, 65_536), (3, 100)):
+        monkeypatch.setattr(M, "SPANS", size)
+        monkeypatch.setattr(M, "STRETCH", stretch)
+        assert sorted((tuple(r) for r in M.context_window(docs, rows, 8).collect()), key=str) == expected
+
+
+def test_documents_without_spans_survive(spark):
+    blocks = spark.createDataFrame([("11|t|Lung disease\n11|a|Was seen.\n11\t0\t4\tLung\tT\tUMLS:C1",), ("12|t|X\n12|a|Y",)], "value string")
+    got = {r.doc_id: (r.text, [tuple(x) for x in r.spans]) for r in S.pubtator_docs(blocks).collect()}
+    assert got == {"11": ("Lung disease Was seen.", [(0, 4, "Lung", "C1")]), "12": ("X Y", [])}
+    near = {r.doc_id: [tuple(c) for c in r.contexts] for r in M.span_contexts(S.pubtator_docs(blocks), 4).collect()}
+    assert near == {"11": [("", "Lung", "disease Was")], "12": []}
+    assert S.parse_pubtator(blocks).count() == 1
+
+
 def test_worlds_and_sentences(spark, tmp_path):
     (tmp_path / "w1.json").write_text(json.dumps({"document_id": "1", "title": "t", "text": "x" * 300}) + "\n")
     (tmp_path / "w2.json").write_text(json.dumps({"document_id": "2", "title": "t", "text": "y"}) + "\n")
