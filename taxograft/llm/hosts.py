@@ -37,6 +37,10 @@ LEAST_RHO, MOST_RHO = 1e-4, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: An IP address as a host.
+ADDRESS = r"^([0-9]+([.][0-9]+){3}|\[.*\])$"
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty for null or without ``://``."""
     at = F.instr(url, "://")
@@ -55,12 +59,15 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
 
 
 def levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain and public suffix of a host, its port left out."""
+    """Registered domain and public suffix of a host, its port left out; an IP address (four
+    numbers, or in brackets) is its own domain and suffix, so it shares nothing with others."""
     bare = F.regexp_replace(host, ":[0-9]*$", "")
     two = F.substring_index(bare, ".", -2)
     listed = two.isin(*TWO_LABELS)
     domain = F.when(listed, F.substring_index(bare, ".", -3)).otherwise(two)
-    return domain, F.when(listed, two).otherwise(F.substring_index(bare, ".", -1))
+    suffix = F.when(listed, two).otherwise(F.substring_index(bare, ".", -1))
+    address = bare.rlike(ADDRESS)
+    return F.when(address, bare).otherwise(domain), F.when(address, bare).otherwise(suffix)
 
 
 def _strength(children: DataFrame) -> Column:
@@ -170,8 +177,8 @@ WITH p AS (
   SELECT host, n, bad, array_to_string(string_split(bare, '.')[-2:], '.') AS two, bare FROM h0
 ), h AS (
   SELECT host, n, bad,
-    CASE WHEN two IN {TWO_LABELS} THEN array_to_string(string_split(bare, '.')[-3:], '.') ELSE two END AS domain,
-    CASE WHEN two IN {TWO_LABELS} THEN two ELSE string_split(bare, '.')[-1] END AS suffix FROM h1
+    CASE WHEN regexp_matches(bare, '{ADDRESS}') THEN bare WHEN two IN {TWO_LABELS} THEN array_to_string(string_split(bare, '.')[-3:], '.') ELSE two END AS domain,
+    CASE WHEN regexp_matches(bare, '{ADDRESS}') THEN bare WHEN two IN {TWO_LABELS} THEN two ELSE string_split(bare, '.')[-1] END AS suffix FROM h1
 ), d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL
 ), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL
 ), g AS (SELECT coalesce(sum(bad), 0) + {PRIOR_BAD * PRIOR_LABELS} AS pa, coalesce(sum(n), 0) + {PRIOR_LABELS} AS pn FROM h
