@@ -43,7 +43,8 @@ def catalogue(pages: DataFrame, archive: Column) -> DataFrame:
     ).withColumn("uid", F.monotonically_increasing_id())
     placed = running_totals(rows, ["archive", "page_id", "uid"], end=F.col("length"))
     first = placed.groupBy("archive").agg(F.min(F.col("end") - F.col("length")).alias("first"))
-    return placed.join(first, "archive").select(
+    first = first.withColumnRenamed("archive", "_archive")
+    return placed.join(first, F.col("archive").eqNullSafe(F.col("_archive"))).select(
         "archive", (F.col("end") - F.col("length") - F.col("first")).alias("offset"), "length", "digest", "page_id"
     )
 
@@ -69,7 +70,7 @@ def tree(records: DataFrame, levels: int, leaf_bytes: int = LEAF_BYTES, fanout:
 
 def _different(a: DataFrame, b: DataFrame) -> DataFrame:
     b = b.select(F.col("archive").alias("_archive"), F.col("node").alias("_node"), F.col("hash").alias("_hash"))
-    both = a.join(b, (F.col("archive") == F.col("_archive")) & (F.col("node") == F.col("_node")), "full_outer")
+    both = a.join(b, F.col("archive").eqNullSafe(F.col("_archive")) & (F.col("node") == F.col("_node")), "full_outer")
     return both.where(~F.col("hash").eqNullSafe(F.col("_hash"))).select(
         F.coalesce("archive", "_archive").alias("archive"), F.coalesce("node", "_node").alias("node")
     )
@@ -81,8 +82,8 @@ def audit(left: DataFrame, right: DataFrame, leaf_bytes: int = LEAF_BYTES, fanou
     one), ``extra`` (only there).
 
     An archive that one replica lacks is damaged as a whole; two empty replicas give no rows.
-    Records are told apart by archive and offset, which a replica has to keep; archives are not
-    null.
+    Records are told apart by archive and offset, which a replica has to keep.  Records of a null
+    archive are an archive of their own; offsets are not null.
     """
     left, right = cut_lineage(left), cut_lineage(right)
     last = left.select("offset").union(right.select("offset")).agg(F.max("offset").alias("o")).first()["o"] or 0
@@ -93,15 +94,15 @@ def audit(left: DataFrame, right: DataFrame, leaf_bytes: int = LEAF_BYTES, fanou
     bad = _different(a[levels], b[levels])
     for k in range(levels - 1, -1, -1):
         up = bad.select(F.col("archive").alias("_a"), F.col("node").alias("_n"))
-        below = lambda t: t.join(up, (F.col("archive") == F.col("_a")) & (F.floor(F.col("node") / fanout) == F.col("_n")), "left_semi")  # noqa: E731, B023
+        below = lambda t: t.join(up, F.col("archive").eqNullSafe(F.col("_a")) & (F.floor(F.col("node") / fanout) == F.col("_n")), "left_semi")  # noqa: E731, B023
         bad = cut_lineage(_different(below(a[k]), below(b[k])))
     up = bad.select(F.col("archive").alias("_a"), F.col("node").alias("_n"))
-    inside = lambda t: t.join(up, (F.col("archive") == F.col("_a")) & (F.floor(F.col("offset") / leaf_bytes) == F.col("_n")), "left_semi")
+    inside = lambda t: t.join(up, F.col("archive").eqNullSafe(F.col("_a")) & (F.floor(F.col("offset") / leaf_bytes) == F.col("_n")), "left_semi")
     x = inside(left)
     y = inside(right).select(*(F.col(c).alias(f"_{c}") for c in ("archive", "offset", "length", "digest", "page_id")))
-    both = x.join(y, (F.col("archive") == F.col("_archive")) & (F.col("offset") == F.col("_offset")), "full_outer")
+    both = x.join(y, F.col("archive").eqNullSafe(F.col("_archive")) & (F.col("offset") == F.col("_offset")), "full_outer")
     status = (
-        F.when(F.col("_archive").isNull(), "missing").when(F.col("archive").isNull(), "extra")
+        F.when(F.col("_offset").isNull(), "missing").when(F.col("offset").isNull(), "extra")
         .when((F.col("digest") != F.col("_digest")) | (F.col("length") != F.col("_length")), "changed")
     )
     return both.withColumn("status", status).where("status IS NOT NULL").select(

@@ -168,6 +168,28 @@ def test_audit_finds_damage_and_nothing_else(spark):
     assert fixity.catalogue(pages(spark, []), host).count() == 0
 
 
+def test_addresses_share_no_reputation(spark):
+    rows, outcomes = [], []
+    for host, n, bad in (("10.0.5.1", 60, 60), ("99.7.5.1:80", 0, 0), ("[::1]:8080", 60, 58), ("[::2]", 0, 0), ("ok.org", 200, 2), ("fine.com", 200, 1)):
+        for i in range(max(n, 1)):
+            rows.append((len(rows), f"http://{host}/{i}", ""))
+            if i < n:
+                outcomes.append((rows[-1][0], int(i < bad)))
+    got = hosts.filter_urls(pages(spark, rows), spark.createDataFrame(outcomes, "page_id long, bad int"))
+    assert {r["host"]: r["verdict"] for r in got.collect()} == {
+        "10.0.5.1": "block", "99.7.5.1:80": "allow", "[::1]:8080": "block", "[::2]": "allow", "ok.org": "allow", "fine.com": "allow"}
+
+
+def test_null_archives_are_audited(spark):
+    rows = [(i, f"http://h/{i}", "x" * i) for i in range(60)]
+    left = fixity.catalogue(pages(spark, rows), F.when(F.col("page_id") % 2 == 0, "a"))
+    assert left.count() == 60 and left.where("archive IS NULL AND offset = 0").count() == 1
+    right = left.where("page_id <> 7").withColumn("digest", F.when(F.col("page_id").isin(4, 9), "bad").otherwise(F.col("digest")))
+    for a, b, lost in ((left, right, "missing"), (right, left, "extra")):
+        got = {(r["archive"], r["page_id"], r["status"]) for r in fixity.audit(a, b, leaf_bytes=512, fanout=2).collect()}
+        assert got == {(None, 7, lost), ("a", 4, "changed"), (None, 9, "changed")}
+
+
 def stage_rows(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select(*corpus_pipeline.COLUMNS)
     odd = [(None, None, None, None, None), (None, "null id text of some words", "en", "s", 1), (7_000, None, "en", None, 0), (7_001, "", None, "s", 0),
