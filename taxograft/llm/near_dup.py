@@ -8,9 +8,9 @@
    packed signatures give the collision-corrected similarity; pairs that may reach the
    threshold are confirmed on the full shingle sets.
 4. Classes around one pivot that are still in different components are compared with each
-   other, block by block: bit counts first, then exact set sizes.  Blocks have a bounded
-   number of shingles, so a group of any size is many small tasks, and only links that join
-   two components leave a block.
+   other in tiles: blocks of bounded size, and only blocks whose set sizes may reach the
+   threshold.  A tile first gets packed signatures; shingle sets are sent for those classes only
+   that have a partner there by bit counts.  Links that join two components leave a tile.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ BITS = 2
 #: Standard errors by which an estimate may fall short before a pair is dismissed.
 MARGIN = 5.0
 #: Bounds of one block of a group: shingles, and classes.
-BLOCK_SHINGLES = 300_000
-BLOCK_CLASSES = 512
+BLOCK_SHINGLES = 500_000
+BLOCK_CLASSES = 1_024
+TILE = ["pivot", "band", "cross", "i", "j"]
 #: Vocabulary columns of one exact matrix product.
 COLUMNS = 4_096
 
@@ -98,19 +99,17 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, schema)
 
 
-def sets(docs: DataFrame, width: int) -> DataFrame:
-    """``(f1, f2, n, items)``: the shingle set of every row, sorted."""
+def sets(texts: DataFrame, width: int) -> DataFrame:
+    """``(cid, items)``: the sorted shingle set of every row of ``texts(cid, text)``."""
 
     def run(batches):
         for batch in batches:
-            for _, _, values, offs in _cut(batch.column(1), width):
-                f1, f2 = _fingerprints(values, offs)
+            for at, to, values, offs in _cut(batch.column(1), width):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(f1), pa.array(f2), pa.array(np.diff(offs)), K.list_column(values, offs)],
-                    names=["f1", "f2", "n", "items"],
+                    [batch.column(0)[at:to], K.list_column(values, offs)], names=["cid", "items"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "f1 long, f2 long, n long, items array<long>")
+    return texts.select("cid", "text").mapInArrow(run, "cid long, items array<long>")
 
 
 def least_estimate(threshold: float, minima: int) -> float:
@@ -132,68 +131,121 @@ def estimate(a, b, minima: int):
     return (1 - differ / F.lit(float(minima)) - chance) / (1 - chance)
 
 
-def _blocks(threshold: Fraction, minima: int):
-    """Kernel over one pair of blocks: links between classes of different components."""
+def _suspects(threshold: Fraction, minima: int):
+    """Kernel over one tile of signatures: the rows with a partner in another component."""
     low = least_estimate(float(threshold), minima)
     chance = 0.5**BITS
     most = int(np.floor(minima * (1 - chance - low * (1 - chance))))  # differing places
     num, den = threshold.numerator, threshold.denominator
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left = pdf[pdf["block"] == i]
-        right = pdf[pdf["block"] == j]
+        sig = np.stack(pdf["sig"].to_numpy()).astype(np.int64).view(np.uint64)
+        left, right = np.flatnonzero(pdf["left"]), np.flatnonzero(pdf["right"])
+        comp, n = pdf["comp"].to_numpy(), pdf["n"].to_numpy()
+        differ = np.zeros((len(left), len(right)), dtype=np.uint16)
+        for c in range(sig.shape[1]):
+            x = sig[left, c][:, None] ^ sig[right, c][None, :]
+            differ += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
+        may = (differ <= most) & (comp[left][:, None] != comp[right][None, :])
+        na, nb = n[left][:, None], n[right][None, :]
+        may &= den * np.minimum(na, nb) >= num * np.maximum(na, nb)
+        rows = np.union1d(left[may.any(axis=1)], right[may.any(axis=0)])
+        return pdf.iloc[rows][[*TILE, "left", "right", "cid", "comp", "n"]]
+
+    return run
+
+
+def _links(threshold: Fraction):
+    """Kernel over one tile of shingle sets: links between classes of different components."""
+    num, den = threshold.numerator, threshold.denominator
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["left"]], pdf[pdf["right"]]
         found: list[tuple[int, int]] = []
         if len(left) and len(right):
-            sa = np.stack(left["sig"].to_numpy()).astype(np.int64).view(np.uint64)
-            sb = np.stack(right["sig"].to_numpy()).astype(np.int64).view(np.uint64)
+            xa, xb = left["items"].to_list(), right["items"].to_list()
+            vocabulary = np.intersect1d(np.concatenate(xa), np.concatenate(xb))
+            common = np.zeros((len(xa), len(xb)), dtype=np.int64)
+            for at in range(0, len(vocabulary), COLUMNS):
+                part = vocabulary[at : at + COLUMNS]
+
+                def matrix(rows):
+                    m = np.zeros((len(rows), len(part)), dtype=np.float32)
+                    for k, items in enumerate(rows):
+                        has = items[np.searchsorted(items, part[0]) : np.searchsorted(items, part[-1], "right")]
+                        p = np.searchsorted(part, has)
+                        m[k, p[part[p] == has]] = 1
+                    return m
+
+                # at most COLUMNS a product, so its sums are whole numbers in float32
+                common += (matrix(xa) @ matrix(xb).T).astype(np.int64)
+            union = left["n"].to_numpy()[:, None] + right["n"].to_numpy()[None, :] - common
             ca, cb = left["comp"].to_numpy(), right["comp"].to_numpy()
-            na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-            differ = np.zeros((len(sa), len(sb)), dtype=np.uint16)
-            for c in range(sa.shape[1]):
-                x = sa[:, c][:, None] ^ sb[:, c][None, :]
-                differ += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
-            may = (differ <= most) & (ca[:, None] != cb[None, :])
-            may &= den * np.minimum(na[:, None], nb[None, :]) >= num * np.maximum(na[:, None], nb[None, :])
-            ra, rb = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
-            if len(ra):
-                xa = [left["items"].iloc[k] for k in ra]
-                xb = [right["items"].iloc[k] for k in rb]
-                vocabulary = np.intersect1d(np.concatenate(xa), np.concatenate(xb))
-                common = np.zeros((len(ra), len(rb)), dtype=np.float32)
-                for at in range(0, len(vocabulary), COLUMNS):
-                    part = vocabulary[at : at + COLUMNS]
-
-                    def matrix(rows):
-                        m = np.zeros((len(rows), len(part)), dtype=np.float32)
-                        for k, items in enumerate(rows):
-                            has = items[(items >= part[0]) & (items <= part[-1])]
-                            p = np.searchsorted(part, has)
-                            m[k, p[part[np.minimum(p, len(part) - 1)] == has]] = 1
-                        return m
-
-                    common += matrix(xa) @ matrix(xb).T
-                union = na[ra][:, None] + nb[rb][None, :] - common
-                linked = may[np.ix_(ra, rb)] & (den * common >= num * union)
-                up: dict[int, int] = {}
-
-                def top(x):
-                    while up.setdefault(x, x) != x:
-                        up[x] = up[up[x]]
-                        x = up[x]
-                    return x
-
-                ia, ib = left["cid"].to_numpy(), right["cid"].to_numpy()
-                for p, q in zip(*np.nonzero(linked), strict=True):
-                    x, y = top(int(ca[ra[p]])), top(int(cb[rb[q]]))
-                    if x != y:
-                        up[x] = y
-                        found.append((int(ia[ra[p]]), int(ib[rb[q]])))
+            linked = (ca[:, None] != cb[None, :]) & (den * common >= num * union)
+            up: dict[int, int] = {}
+
+            def top(x):
+                while up.setdefault(x, x) != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                return x
+
+            ia, ib = left["cid"].to_numpy(), right["cid"].to_numpy()
+            for p, q in zip(*np.nonzero(linked), strict=True):
+                x, y = top(int(ca[p])), top(int(cb[q]))
+                if x != y:
+                    up[x] = y
+                    found.append((int(ia[p]), int(ib[q])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def suspects(around: DataFrame, threshold: Fraction, minima: int) -> DataFrame:
+    """The members of open groups that need their sets, once for each tile they need them in.
+
+    ``around(pivot, cid, comp, n, sig)`` are the classes around each pivot.  A group is open when
+    it holds more than one component.  Its classes fall into bands of set sizes, so that sizes
+    within the threshold are in one band or two neighbouring ones, and each band into blocks.
+    """
+    step = float(np.log(1 / float(threshold))) * (1 + 1e-6) or 1e-9
+    open_ = around.groupBy("pivot").agg(
+        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")
+    ).where("c0 <> c1 AND m > 2").select("pivot")
+    rows = around.join(open_, "pivot").withColumn("band", F.floor(F.log(F.col("n")) / step).cast("long"))
+    bands = rows.groupBy("pivot", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+    bands = bands.select("pivot", "band", F.least("m", F.ceil(F.greatest(
+        F.col("total") / BLOCK_SHINGLES, F.col("m") / BLOCK_CLASSES
+    ))).cast("int").alias("blocks"))
+    near = lambda name, by: bands.select(
+        "pivot", (F.col("band") + by).alias("band"), F.col("blocks").alias(name)
+    )
+    bands = cut_lineage(
+        bands.join(near("above", -1), ["pivot", "band"], "left").join(near("below", 1), ["pivot", "band"], "left")
+        .na.fill(0, ["above", "below"])
+    )
+
+    def tiles(blocks, body):
+        numbers = F.slice(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1), 1, blocks)
+        return F.transform(numbers, lambda o: F.struct(
+            *(c.alias(name) for c, name in zip(body(o), ["band", "cross", "i", "j", "left", "right"], strict=True))
+        ))
+
+    block, band, yes, no = F.col("block"), F.col("band"), F.lit(True), F.lit(False)
+    spread = (
+        rows.join(bands, ["pivot", "band"])
+        .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        .withColumn("tile", F.explode(F.concat(
+            tiles(F.col("blocks"), lambda o: (band, no, F.least(block, o), F.greatest(block, o), block <= o, block >= o)),
+            tiles(F.col("above"), lambda o: (band, yes, block, o, yes, no)),
+            tiles(F.col("below"), lambda o: (band - 1, yes, o, block, no, yes)),
+        )))
+        .select("pivot", "tile.*", "cid", "comp", "n", "sig")
+    )
+    schema = "pivot long, band long, cross boolean, i int, j int, left boolean, right boolean, cid long, comp long, n long"
+    return spread.groupBy(*TILE).applyInPandas(_suspects(threshold, minima), schema)
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5), bands: int = 26, rows: int = 4
 ) -> DataFrame:
@@ -215,9 +267,10 @@ def near_duplicates(
     filled = rows_.where("n > 0")
     classes = cut_lineage(
         filled.groupBy("f1", "f2", "n").agg(
-            F.min("uid").alias("cid"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"),
+            F.min("uid").alias("cid"), F.count(F.lit(1)).alias("copies"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("row"),
             F.first("sig").alias("sig"), F.first("keys").alias("keys"),
-        )
+        ).withColumn("class_id", F.col("row.doc_id"))
     )
     keyed = classes.select(
         F.explode("keys").alias("key"), F.struct((-F.col("copies")).alias("c"), F.col("cid").alias("id")).alias("rank")
@@ -232,58 +285,48 @@ def near_duplicates(
         .select(F.col("rank.id").alias("cid"), F.col("pivot.id").alias("pivot"))
         .where("cid <> pivot").distinct()
     )
-    wanted = cut_lineage(
+    # the text of one row of every candidate, found by its id and the hash of its text
+    wanted = (
         pairs.select("cid").union(pairs.select("pivot")).distinct()
-        .join(classes.drop("keys"), "cid")
+        .join(classes.select("cid", "row"), "cid")
+        .select("cid", F.coalesce("row.doc_id", F.lit(0)).alias("id"), "row.no_id", "row.mark")
     )
-    # the texts of the candidates only; the fingerprint tells rows that share an id apart
-    ids = wanted.select(F.col("class_id").alias("_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    full = cut_lineage(
-        sets(texts, width).dropDuplicates(["f1", "f2", "n"])
-        .join(wanted, ["f1", "f2", "n"]).select("cid", "n", "sig", "items")
+    texts = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"),
+        F.xxhash64("text").alias("mark"), "text",
     )
+    row = ["id", "no_id", "mark"]
+    full = cut_lineage(sets(texts.join(wanted, row).dropDuplicates(row), width))
     k = bands * rows
-    side = lambda name, tag: full.select(
-        F.col("cid").alias(name), F.col("n").alias(f"n{tag}"), F.col("sig").alias(f"s{tag}"), F.col("items").alias(f"x{tag}")
-    )
     num, den = threshold.numerator, threshold.denominator
+    signed = lambda name, tag: classes.select(
+        F.col("cid").alias(name), F.col("n").alias(f"n{tag}"), F.col("sig").alias(f"s{tag}")
+    )
     near = (
-        pairs.join(side("cid", "a"), "cid").join(side("pivot", "b"), "pivot")
+        pairs.join(signed("cid", "a"), "cid").join(signed("pivot", "b"), "pivot")
+        .where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
         .where(estimate(F.col("sa"), F.col("sb"), k) >= least_estimate(float(threshold), k))
+        .select("cid", "pivot", "na", "nb")
     )
+    side = lambda name, tag: full.select(F.col("cid").alias(name), F.col("items").alias(f"x{tag}"))
     common = F.size(F.array_intersect("xa", "xb"))
     star = cut_lineage(
-        near.where(den * common >= num * (F.col("na") + F.col("nb") - common))
+        near.join(side("cid", "a"), "cid").join(side("pivot", "b"), "pivot")
+        .where(den * common >= num * (F.col("na") + F.col("nb") - common))
         .select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
     )
     first = components(star)
 
-    def labelled(df: DataFrame) -> DataFrame:
-        return df.join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
-            "comp", F.coalesce("comp", "cid")
-        )
-
     around = pairs.union(pairs.select(F.col("pivot").alias("cid"), "pivot").distinct())
-    around = cut_lineage(labelled(around).join(full.select("cid", "n"), "cid"))
-    open_ = cut_lineage(
-        around.groupBy("pivot").agg(
-            F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")
-        )
-        .where("c0 <> c1 AND m > 2")
-        .select("pivot", F.ceil(F.greatest(
-            F.col("total") / BLOCK_SHINGLES, F.col("m") / BLOCK_CLASSES
-        )).cast("int").alias("blocks"))
+    around = cut_lineage(
+        around.join(first.withColumnRenamed("node", "cid"), "cid", "left")
+        .withColumn("comp", F.coalesce("comp", "cid"))
+        .join(classes.select("cid", "n", "sig"), "cid")
     )
-    spread = (
-        around.join(open_, "pivot")
-        .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("pivot", "cid", "comp", "block",
-                F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(full, "cid")
+    rest = (
+        suspects(around, threshold, k).join(full, "cid")
+        .groupBy(*TILE).applyInPandas(_links(threshold), "a long, b long")
     )
-    rest = spread.groupBy("pivot", "i", "j").applyInPandas(_blocks(threshold, k), "a long, b long")
     comp = components(star.union(cut_lineage(rest)))
     members = cut_lineage(
         classes.select("f1", "f2", "n", "class_id", F.col("cid").alias("node")).join(comp, "node", "left")

@@ -62,6 +62,53 @@ def test_near_duplicates_edges(spark):
         (7, 7, True): 3, (9, 7, False): 1, (None, 7, False): 1, (None, None, True): 2}
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(5)
+    long = [f"l{rng.randrange(10**9)}" for _ in range(120_000)]
+    rows = [(3, " ".join(long)), (2, " ".join(edited(rng, long, 4_000))), (1, " ".join(edited(rng, long, 9_000))), (0, " ".join(long[:90_000]))]
+    got = near_dup.near_duplicates(documents(spark, rows)).collect()
+    comp, size = near_components(rows, 5, 4, 5)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(
+        (d, n, c) for (d, _), n, c in zip(rows, size, comp, strict=True))
+
+
+def around(spark, rows):
+    return spark.createDataFrame(rows, "pivot long, cid long, comp long, n long, sig array<long>")
+
+
+def signature(rng):
+    return [rng.getrandbits(64) - 2**63 for _ in range(4)]
+
+
+def test_unlike_classes_of_a_bucket_send_no_sets(spark):
+    rng = random.Random(6)
+    rows = [(0, i, i, rng.randrange(50, 400), signature(rng)) for i in range(20_000)]
+    assert near_dup.suspects(around(spark, rows), Fraction(4, 5), 128).count() == 0
+    same = signature(rng)
+    rows += [(0, 30_000, 30_000, 100, same), (0, 30_001, 30_001, 81, same), (0, 30_002, 30_002, 79, same), (0, 30_003, 30_000, 100, same)]
+    got = near_dup.suspects(around(spark, rows), Fraction(4, 5), 128).select("cid").distinct().collect()
+    # 79 is too small beside 100, but not beside 81
+    assert {r["cid"] for r in got} == {30_000, 30_001, 30_002, 30_003}
+
+
+@pytest.mark.parametrize("t", [Fraction(17, 20), Fraction(4, 5), Fraction(1)])
+def test_every_pair_within_the_threshold_meets_in_one_tile(spark, t, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_CLASSES", 7)
+    rng = random.Random(7)
+    sizes = [rng.choice([1, 4, 5, 16, 17, 20, 25, 80, 100, 125, 10**6, 10**6 * 5 // 4]) for _ in range(60)]
+    same = signature(rng)
+    rows = [(9, i, i, n, same) for i, n in enumerate(sizes)] + [(8, 70, 1, 5, same), (8, 71, 1, 5, same), (8, 72, 1, 5, same)]
+    met = Counter()
+    tiles = defaultdict(list)
+    for r in near_dup.suspects(around(spark, rows), t, 128).collect():
+        tiles[tuple(r[c] for c in near_dup.TILE)].append(r)
+    for members in tiles.values():
+        pairs = {frozenset((a["cid"], b["cid"])) for a in members if a["left"] for b in members if b["right"] and a["cid"] != b["cid"]}
+        met.update(pairs)
+    want = {frozenset((i, j)) for i in range(60) for j in range(i) if t.denominator * min(sizes[i], sizes[j]) >= t.numerator * max(sizes[i], sizes[j])}
+    assert want <= set(met) and set(met.values()) == {1}
+
+
 def test_one_row_of_each_near_group_stays(spark):
     words = [f"w{i}" for i in range(60)]
     texts = [" ".join([*words, x]) for x in "abc"]
