@@ -163,7 +163,8 @@ def _links(threshold: Fraction):
         left, right = pdf[pdf["left"]], pdf[pdf["right"]]
         found: list[tuple[int, int]] = []
         if len(left) and len(right):
-            xa, xb = left["items"].to_list(), right["items"].to_list()
+            # sets are sorted as unsigned numbers
+            xa, xb = ([np.asarray(x, dtype=np.int64).view(np.uint64) for x in side["items"]] for side in (left, right))
             vocabulary = np.intersect1d(np.concatenate(xa), np.concatenate(xb))
             common = np.zeros((len(xa), len(xb)), dtype=np.int64)
             for at in range(0, len(vocabulary), COLUMNS):

@@ -4,6 +4,8 @@ import random
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -36,6 +38,7 @@ def family_rows(seed, sizes):
 @pytest.mark.parametrize(("width", "t", "rows"), [(3, Fraction(17, 20), 5), (5, Fraction(4, 5), 4)])
 def test_near_duplicates_equal_brute_force(spark, width, t, rows, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_CLASSES", 16)  # several blocks
+    monkeypatch.setattr(near_dup, "COLUMNS", 64)
     data = family_rows(4, [1] * 20 + [2] * 10 + [7] * 6 + [90])
     data += [(1, None), (2, ""), (3, "  \n"), (4, "one"), (5, "ONE"), (6, "one two"), (None, "null id here"), (8, "null id here"), (None, "alone and nameless")]
     got = near_dup.near_duplicates(documents(spark, data), width, t, 26, rows).collect()
@@ -109,6 +112,35 @@ def test_every_pair_within_the_threshold_meets_in_one_tile(spark, t, monkeypatch
     assert want <= set(met) and set(met.values()) == {1}
 
 
+def test_links_of_a_tile_equal_brute_force(monkeypatch):
+    """Hashes above 2^63, vocabularies of many column pieces, links that share no piece border."""
+    monkeypatch.setattr(near_dup, "COLUMNS", 50)
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**64, 1_500, dtype=np.uint64)
+    sets = []
+    for _ in range(12):
+        base = rng.choice(pool, rng.integers(40, 400), replace=False)
+        sets += [np.unique(np.concatenate([base[: len(base) - cut], rng.choice(pool, add)])) for cut, add in ((0, 0), (6, 2), (9, 0), (30, 5))]
+    rows = pd.DataFrame({
+        "left": [i % 2 == 0 for i in range(48)], "right": [i % 3 != 0 for i in range(48)], "cid": range(48), "comp": range(48),
+        "n": [len(s) for s in sets], "items": [s.view(np.int64) for s in sets],
+    })
+    got = near_dup._links(Fraction(17, 20))(rows)
+    linked = lambda i, j: 20 * len(np.intersect1d(sets[i], sets[j])) >= 17 * len(np.union1d(sets[i], sets[j]))
+    want = {(i, j) for i in range(0, 48, 2) for j in range(48) if j % 3 and i != j and linked(i, j)}
+    found = set(zip(got["a"], got["b"], strict=True))
+    assert found and found <= want
+
+    def least(pairs):
+        up = list(range(48))
+        for _ in range(48):
+            for a, b in pairs:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    assert least(found) == least(want)
+
+
 def test_one_row_of_each_near_group_stays(spark):
     words = [f"w{i}" for i in range(60)]
     texts = [" ".join([*words, x]) for x in "abc"]
