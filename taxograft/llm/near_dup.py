@@ -210,20 +210,28 @@ def suspects(around: DataFrame, threshold: Fraction, minima: int) -> DataFrame:
     within the threshold are in one band or two neighbouring ones, and each band into blocks.
     """
     step = float(np.log(1 / float(threshold))) * (1 + 1e-6) or 1e-9
-    open_ = around.groupBy("pivot").agg(
-        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")
-    ).where("c0 <> c1 AND m > 2").select("pivot")
-    rows = around.join(open_, "pivot").withColumn("band", F.floor(F.log(F.col("n")) / step).cast("long"))
-    bands = rows.groupBy("pivot", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
-    bands = bands.select("pivot", "band", F.least("m", F.ceil(F.greatest(
+    rows = around.withColumn("band", F.floor(F.log(F.col("n")) / step).cast("long"))
+    bands = cut_lineage(rows.groupBy("pivot", "band").agg(
+        F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min("comp").alias("c0"), F.max("comp").alias("c1")
+    ))
+    open_ = bands.groupBy("pivot").agg(
+        F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("m").alias("m"),
+        (F.sum("m") <= BLOCK_CLASSES).alias("few"), (F.sum("total") <= BLOCK_SHINGLES).alias("short"),
+    ).where("c0 <> c1 AND m > 2").select("pivot", (F.col("few") & F.col("short")).alias("whole"))
+    bands = bands.join(open_, "pivot").select("pivot", "band", "whole", F.least("m", F.ceil(F.greatest(
         F.col("total") / BLOCK_SHINGLES, F.col("m") / BLOCK_CLASSES
     ))).cast("int").alias("blocks"))
-    near = lambda name, by: bands.select(
+    near = lambda name, by: bands.where(~F.col("whole")).select(
         "pivot", (F.col("band") + by).alias("band"), F.col("blocks").alias(name)
     )
+    # a group that fits one block is one tile, whatever its bands
     bands = cut_lineage(
         bands.join(near("above", -1), ["pivot", "band"], "left").join(near("below", 1), ["pivot", "band"], "left")
-        .na.fill(0, ["above", "below"])
+        .select(
+            "pivot", "band", F.when(F.col("whole"), F.lit(0)).otherwise(F.col("band")).alias("own"),
+            F.when(F.col("whole"), F.lit(1)).otherwise(F.col("blocks")).alias("blocks"),
+            F.coalesce("above", F.lit(0)).alias("above"), F.coalesce("below", F.lit(0)).alias("below"),
+        )
     )
 
     def tiles(blocks, body):
@@ -232,7 +240,7 @@ def suspects(around: DataFrame, threshold: Fraction, minima: int) -> DataFrame:
             *(c.alias(name) for c, name in zip(body(o), ["band", "cross", "i", "j", "left", "right"], strict=True))
         ))
 
-    block, band, yes, no = F.col("block"), F.col("band"), F.lit(True), F.lit(False)
+    block, band, yes, no = F.col("block"), F.col("own"), F.lit(True), F.lit(False)
     spread = (
         rows.join(bands, ["pivot", "band"])
         .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
