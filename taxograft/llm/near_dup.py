@@ -252,7 +252,9 @@ def suspects(around: DataFrame, threshold: Fraction, minima: int) -> DataFrame:
         .select("pivot", "tile.*", "cid", "comp", "n", "sig")
     )
     schema = "pivot long, band long, cross boolean, i int, j int, left boolean, right boolean, cid long, comp long, n long"
-    return spread.groupBy(*TILE).applyInPandas(_suspects(threshold, minima), schema)
+    # signatures are few bytes but much work: a stated number of tasks is not coalesced by size
+    tasks = int(around.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread.repartition(tasks, *TILE).groupBy(*TILE).applyInPandas(_suspects(threshold, minima), schema)
 
 
 def near_duplicates(
