@@ -5,14 +5,18 @@ from pyspark.sql import functions as F
 from taxograft.functions import ids
 from taxograft.operators import catalogue as C
 from taxograft.operators import graph as G
-from taxograft.workload.registry import derive, query
+from taxograft.workload.registry import derive, not_in, query
 
 # Links closed by the virtual top and null nodes.
 derive("closed", """
 SELECT parent_id AS p, child_id AS c FROM isa
 UNION SELECT 'THING', id FROM concept WHERE id NOT IN (SELECT child_id FROM isa)
 UNION SELECT id, 'NULL' FROM concept WHERE id NOT IN (SELECT parent_id FROM isa)
-""")
+""", spark=f"""
+SELECT parent_id AS p, child_id AS c FROM isa
+UNION SELECT 'THING', id FROM {not_in("concept", "id", "child_id", "isa")}
+UNION SELECT id, 'NULL' FROM {not_in("concept", "id", "parent_id", "isa")}
+""", stored=True)
 derive("edge_pair", """
 SELECT p, c, min(degree) AS degree FROM (
   SELECT p, c, 0 AS degree FROM closed

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxograft.plans.lineage import cut_lineage
+from taxograft.plans.lineage import store
 from taxograft.session import tune
 
 TABLES = [
@@ -21,20 +21,34 @@ LONG_TEXTS = {"documents": "doc_id", "pages": "page_id"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}  # without the derived inputs, see oracle()
 INPUTS: dict[str, str] = {}
+SPARK_INPUTS: dict[str, str] = {}  # where Spark needs another text for the same rows
 STORED: set[str] = set()
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def derive(name: str, sql: str, stored: bool = False) -> None:
+def derive(name: str, sql: str, stored: bool = False, spark: str | None = None) -> None:
     """Name an input that both engines derive from the given tables with one SQL text.
 
-    A ``stored`` input is written once per session, as a real taxonomy table would be.
+    A ``stored`` input is written once per session, as a real taxonomy table would be.  ``spark`` is a
+    text that gives the same rows where Spark's plan for the common one does not scale.
     """
     INPUTS[name] = sql.strip()
+    if spark is not None:
+        SPARK_INPUTS[name] = spark.strip()
     if stored:
         STORED.add(name)
 
 
+def not_in(source: str, x: str, column: str, table: str) -> str:
+    """``source WHERE x NOT IN (SELECT column FROM table)`` without sending the table to every task.
+
+    Spark broadcasts the subquery of a NOT IN, whatever its size.  This is an anti join; the conditions
+    keep what NOT IN does: a null in the column leaves no row, a null ``x`` only passes an empty table.
+    """
+    return f"""{source} LEFT ANTI JOIN (SELECT DISTINCT {column} AS _x FROM {table}) ON {x} = _x
+WHERE (SELECT count(*) - count({column}) FROM {table}) = 0 AND ({x} IS NOT NULL OR (SELECT count(*) FROM {table}) = 0)"""
+
+
 def _needs(sql: str) -> list[str]:
     return [n for n in INPUTS if re.search(rf"\b{n}\b", sql)]
 
@@ -84,15 +98,32 @@ class Inputs:
         if name in STORED:
             key = (self.spark.sparkContext.applicationId, self.folder, name)
             if key not in _written:
-                _written[key] = cut_lineage(self.sql(f"SELECT * FROM {name}"))
+                _written[key] = store(self._derived(name), name)
             return _written[key]
         if name in INPUTS:
-            return self.sql(f"SELECT * FROM {name}")
+            return self._derived(name)
         raise AttributeError(name)
 
-    def sql(self, text: str) -> DataFrame:
-        full = oracle(text)
-        used = {t: getattr(self, t) for t in TABLES if re.search(rf"\b{t}\b", full)}
+    def _derived(self, name: str) -> DataFrame:
+        """The rows of an input, from the given tables and from stored inputs, which are read and not derived again."""
+        parts: dict[str, str] = {}
+        stored: list[str] = []
+
+        def visit(text: str) -> None:
+            for n in INPUTS:
+                if n == name or n in parts or n in stored or not re.search(rf"\b(from|join)\s+{n}\b", text, re.I):
+                    continue
+                if n in STORED:
+                    stored.append(n)
+                else:
+                    body = SPARK_INPUTS.get(n, INPUTS[n])
+                    visit(body)
+                    parts[n] = body
+
+        body = SPARK_INPUTS.get(name, INPUTS[name])
+        visit(body)
+        full = "\n".join([*([f"WITH {', '.join(f'{n} AS ({t})' for n, t in parts.items())}"] if parts else []), body])
+        used = {t: getattr(self, t) for t in [*TABLES, *stored] if t in stored or re.search(rf"\b{t}\b", full)}
         for name, df in used.items():
             df.createOrReplaceTempView(name)
         return self.spark.sql(full)
