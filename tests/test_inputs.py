@@ -37,3 +37,27 @@ def test_stored_inputs_are_read_from_files(spark, folder):
     plan = inputs.known_edge._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Union" not in plan
     assert inputs.edge.where(F.col("degree").isNull()).isEmpty()
+
+
+def test_shared_inner_id_is_looked_up_once(spark, monkeypatch):
+    from taxograft.operators import graph as G
+
+    written, cut = [], G.cut_lineage
+
+    def watched(df):
+        written.append(cut(df))
+        return written[-1]
+
+    monkeypatch.setattr(G, "cut_lineage", watched)
+    rows = [("S", f"[EX.](<R> <P{i}>)") for i in range(50)] + [("S", "[EX.](<GONE> <P1>)"), ("S", "[EX.](<GONE> <P2>)"), ("T", "P1"), (None, None)]
+    universe = spark.createDataFrame([("R",), (None,), *((f"P{i}",) for i in range(50))], "id string")
+    out = G.known_complex(spark.createDataFrame(rows, "id string, neighbour string"), universe)
+    assert {(r.id, r.neighbour) for r in out.collect()} == {r for r in rows if "GONE" not in (r[1] or "")}
+    assert [r.id for r in written[0].collect()] == ["GONE"]
+
+
+def test_expanded_pairs_are_not_sorted_to_be_summed_up(spark, folder):
+    from taxograft.workload import QUERIES
+
+    plan = QUERIES["expand_to_pairs"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
