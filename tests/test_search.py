@@ -1,6 +1,7 @@
 """Pruned sparse search, block search and metrics against brute force."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -70,6 +71,52 @@ def test_block_search(spark, metric):
         assert r.id == best[r["rank"] - 1]
 
 
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+@pytest.mark.parametrize("held_rows", [20, 1 << 15])
+def test_blocks_held_together_hand_on_k_rows(spark, monkeypatch, metric, held_rows):
+    rng = np.random.default_rng(5)
+    q, v = rng.integers(-2, 3, (19, 4)) + 0.0, rng.integers(-2, 3, (90, 4)) + 0.0  # many equal scores
+    q[:, 0], v[:, 0] = 1, 1
+    qd = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "q long, vector array<double>")
+    vd = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    n = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = {"ip": q @ v.T, "cosine": n(q) @ n(v).T, "l2": -np.linalg.norm(q[:, None] - v[None], axis=2)}[metric]
+    sent, scan = [], R.scan_blocks
+
+    def watched(*args, **kw):
+        sent.append(scan(*args, **kw))
+        return sent[-1]
+
+    monkeypatch.setattr(R, "scan_blocks", watched)
+    got = R.block_search(qd, vd, 3, metric, block_rows=7, held_rows=held_rows).collect()
+    for r in got:
+        assert r.id == np.argsort(-np.round(s[r.q], 9), kind="stable")[r["rank"] - 1]
+    assert len(got) == 19 * 3 and sent[0].count() == 19 * 3 * max(1, -(-90 // held_rows))
+
+
+def test_probes_in_small_batches(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(200, 4))
+    vd = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>").coalesce(1)
+    qd = vd.withColumnRenamed("id", "q")
+    lists = R.Lists(vd, n_lists=20)
+    once = sorted(map(str, lists.probes(qd, 9).collect()))
+    monkeypatch.setattr(R, "PROBED_ROWS", 3)
+    assert sorted(map(str, lists.probes(qd, 9).collect())) == once and len(once) == 200 * 9
+
+
+def test_ngrams_are_hashed_once(spark):
+    df = R.encode(spark.createDataFrame([("Abcab",), ("",), (None,)], "t string"), "t", dim=8)
+    got = {r.t: r.vector for r in df.collect()}
+    text = " abcab "
+    want = [0.0] * 8
+    for i in range(len(text) - 2):
+        want[zlib.crc32(text[i : i + 3].encode()) % 8] += 1
+    assert got["Abcab"] == want and sum(got[""]) == 1 and got[None] == [0.0] * 8
+    # what is counted is a value, not the hashing of all n-grams again for each of the places
+    assert "filter(transform" not in df._jdf.queryExecution().analyzed().toString()
+
+
 def test_approximate_search_recall(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(900, 16)) + np.repeat(rng.normal(size=(30, 16)) * 3, 30, axis=0)
