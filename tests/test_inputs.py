@@ -61,3 +61,12 @@ def test_expanded_pairs_are_not_sorted_to_be_summed_up(spark, folder):
 
     plan = QUERIES["expand_to_pairs"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_concept_vectors_are_no_nested_loop(spark):
+    spark.createDataFrame([("P8", "p"), ("P8", "q"), ("S4", "s"), ("N1", "n"), (None, "z")], "id string, title string").createOrReplaceTempView("concept")
+    vectors = [(1, [0.5]), (1, [0.25]), (None, [1.0]), (9, None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").createOrReplaceTempView("embeddings")
+    text = SPARK_INPUTS.get("concept_vector", INPUTS["concept_vector"])
+    assert _rows(spark.sql(text)) == _rows(spark.sql(INPUTS["concept_vector"])) and spark.sql(text).count() == 6
+    assert "NestedLoop" not in spark.sql(text)._jdf.queryExecution().executedPlan().toString()
