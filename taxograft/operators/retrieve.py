@@ -88,8 +88,9 @@ def score_pairs(pairs: DataFrame, terms: DataFrame, postings: DataFrame) -> Data
     )
 
 
-#: Postings of one shard, documents of one block, and queries that meet one copy of a shard.
+#: Postings of one shard, those that a task holds at least, documents of one block, and queries that meet one copy of a shard.
 SHARD_POSTINGS = 1 << 22
+HELD_POSTINGS = 1 << 20
 BLOCK_DOCS = 512
 SHARD_QUERIES = 1 << 18
 
@@ -131,7 +132,10 @@ def _shard_search(k: int, block_docs: int):
             score = np.bincount(place, self.weight[at] * np.repeat(weights, self.size[runs]))
             return docs, np.round(score + self.static[docs], digits)
 
-        def search(self, tokens: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def search(self, tokens: np.ndarray, weights: np.ndarray, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+            """The best documents; of those below ``least`` some or none."""
+            if not len(self.tokens):
+                return np.zeros(0, dtype=np.int64), np.zeros(0)
             at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
             met = self.tokens[at] == tokens
             at, weights = at[met], weights[met]
@@ -143,18 +147,42 @@ def _shard_search(k: int, block_docs: int):
             bound = np.bincount(block, weights * self.most[runs], len(self.best_static))
             held = np.bincount(block, minlength=len(bound)) > 0
             bound = np.where(held, bound + self.best_static, -np.inf)
+            if bound.max() < least - slack:
+                return np.zeros(0, dtype=np.int64), np.zeros(0)
             ahead = np.argsort(-bound, kind="stable")[: max(4, -(-2 * k // block_docs))]
             early = np.isin(block, ahead)
             docs, score = self.totals(runs[early], weights[early])
             floor = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else -np.inf
-            late = ~early & (bound >= floor - slack)[block]
+            late = ~early & (bound >= max(floor, least) - slack)[block]
             if late.any():
                 more, points = self.totals(runs[late], weights[late])
                 docs, score = np.concatenate([docs, more]), np.concatenate([score, points])
             best = np.lexsort((docs, -score))[:k]
             return docs[best], score[best]
 
-    return Shard
+    class Shards:
+        """The shards of one task, each of about ``size`` postings, cut between documents."""
+
+        def __init__(self, doc: np.ndarray, token: np.ndarray, weight: np.ndarray, static: np.ndarray, size: int):
+            ends = np.cumsum(np.bincount(doc, minlength=len(static)))  # postings up to the end of each document
+            cuts = np.searchsorted(ends, np.arange(size, len(doc), size)) + 1
+            self.cuts = np.unique(np.concatenate([[0], cuts, [len(static)]]))
+            self.parts = []
+            for low, high in zip(self.cuts, self.cuts[1:]):
+                a, b = ends[low - 1] if low else 0, ends[high - 1]
+                self.parts.append(Shard(doc[a:b] - low, token[a:b], weight[a:b], static[low:high]))
+
+        def search(self, tokens: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            docs, score = np.zeros(0, dtype=np.int64), np.zeros(0)
+            for low, part in zip(self.cuts, self.parts):
+                more, points = part.search(tokens, weights, score[-1] if len(score) >= k else -np.inf)
+                if len(more):
+                    docs, score = np.concatenate([docs, more + low]), np.concatenate([score, points])
+                    best = np.lexsort((docs, -score))[:k]
+                    docs, score = docs[best], score[best]
+            return docs, score
+
+    return Shards
 
 
 def sparse_top_k(
@@ -170,9 +198,10 @@ def sparse_top_k(
     ``terms(q, token, w)``, ``postings(token, id, pw)`` with non-negative weights, and optionally
     ``static(id, static)``, a score added to every matched id.
 
-    Ids are dealt to shards by their hash.  Each posting of a token that is asked for is shuffled
-    once, to its shard, where it stays while the queries, one row each, stream past; all scores of an id
-    are summed there, and a shard hands on ``k`` rows per query.  However frequent a token is, no
+    Ids are dealt to tasks by their hash, and a task holds as many shards as make ``HELD_POSTINGS``; where there are
+    more terms than that, as many postings as terms, up to ``SHARD_POSTINGS``.  Each posting of a token that is asked for is shuffled
+    once, to its task, where it stays while the terms of the queries, sent once a task, stream past; all scores of an id
+    are summed there, and a task hands on ``k`` rows per query.  However frequent a token is, no
     pair of a query and an id is ever shuffled before it is among the best of its shard.
     """
     terms = cut_lineage(terms.where(F.col("w") > 0).select("q", F.xxhash64("token").alias("token"), F.col("w").cast("double").alias("w")))
@@ -184,7 +213,8 @@ def sparse_top_k(
     )
     known = cut_lineage(known)
     n_postings, n_queries = known.count(), queries.count()
-    shards, copies = max(1, -(-n_postings // shard_postings)), max(1, -(-n_queries // SHARD_QUERIES))
+    held_postings = min(SHARD_POSTINGS, max(HELD_POSTINGS, terms.count()))
+    shards, copies = max(1, -(-n_postings // held_postings)), max(1, -(-n_queries // SHARD_QUERIES))
     # fewer tasks than cores: split whichever side is cheaper to split
     more = max(1, -(-terms.sparkSession.sparkContext.defaultParallelism // (shards * copies)))
     shards, copies = (shards * more, copies) if n_postings > 4 * n_queries else (shards, copies * more)
@@ -221,7 +251,7 @@ def sparse_top_k(
             weight = table.column("pw").to_numpy()
             token = table.column("token").combine_chunks().fill_null(0).to_numpy()
             extra = np.bincount(doc[fixed], weight[fixed], doc[-1] + 1)
-            return column.filter(pa.array(new)), index(doc[~fixed], token[~fixed], weight[~fixed], extra)
+            return column.filter(pa.array(new)), index(doc[~fixed], token[~fixed], weight[~fixed], extra, shard_postings)
 
         def answer(part: list[np.ndarray]):
             no, token, weight = part
@@ -242,8 +272,6 @@ def sparse_top_k(
                 continue
             if found is None:
                 ids, found = build()
-            if not len(found.tokens):
-                return
             part = [batch.column(i).slice(n).to_numpy() for i in (5, 3, 4)]
             if rest is not None:
                 part = [np.concatenate(c) for c in zip(rest, part, strict=True)]

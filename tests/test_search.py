@@ -1,6 +1,7 @@
 """Pruned sparse search, block search and metrics against brute force."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -52,6 +53,29 @@ def test_sparse_pruning_is_exact(spark, shard_postings, block_docs, with_static)
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-8)
 
 
+def test_small_shards_share_tasks(spark, monkeypatch):
+    rnd = random.Random(1)
+    postings = [(f"t{rnd.randrange(30)}", i, 1.0) for i in range(200) for _ in range(3)]
+    postings = sorted(set(postings))
+    terms = [(q, f"t{t}", 1.0 + t / 100) for q in range(9) for t in rnd.sample(range(30), 4)]
+    want = brute_sparse(terms, postings, {}, 5)
+    tasks = {}
+    for held in (1 << 20, 25):
+        monkeypatch.setattr(R, "HELD_POSTINGS", held)
+        monkeypatch.setattr(R, "SHARD_POSTINGS", held)
+        df = R.sparse_top_k(
+            spark.createDataFrame(terms, "q long, token string, w double"),
+            spark.createDataFrame(postings, "token string, id long, pw double"), 5, None, 7, 2)
+        got = {}
+        for r in df.orderBy("q", "rank").collect():
+            got.setdefault(r.q, []).append(r.id)
+        assert got == {q: [i for i, _ in rows] for q, rows in want.items()}
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        tasks[held] = int(re.search(r", (\d+)\), REPARTITION_BY_NUM", plan).group(1))
+    cores = spark.sparkContext.defaultParallelism
+    assert tasks[1 << 20] <= cores and tasks[25] > cores
+
+
 @pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
 def test_block_search(spark, metric):
     rng = np.random.default_rng(3)
