@@ -28,11 +28,22 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def gold_ranks(cands: DataFrame, gold: DataFrame) -> DataFrame:
-    """Every distinct gold item with the rank at which it was found, or null."""
-    g = gold.select("mention_id", "cand_id").distinct()
-    found = cands.groupBy("mention_id", "cand_id").agg(F.min("rank").alias("rank"))
-    return g.join(found, ["mention_id", "cand_id"], "left")
+#: Rows of candidates and gold that one task compares.
+TASK_ROWS = 1 << 20
+
+
+def gold_ranks(cands: DataFrame, gold: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Every distinct gold item with the rank at which it was found, or null.
+
+    With ``tasks``, both sides are dealt to so many tasks before they are grouped, which then hold their share only,
+    however few partitions the candidates come in.
+    """
+    key = ["mention_id", "cand_id"]
+    g, c = gold.select(*key), cands.select(*key, "rank")
+    if tasks is not None:
+        g, c = g.repartition(tasks, *key), c.repartition(tasks, *key)
+    found = c.groupBy(*key).agg(F.min("rank").alias("rank"))
+    return g.distinct().join(found, key, "left")
 
 
 def gold_position(cands: DataFrame, gold: DataFrame, missing: int = -1) -> DataFrame:
@@ -50,9 +61,14 @@ def _long(df: DataFrame, ks: Sequence[int], keep: Sequence[str], name) -> DataFr
     return df.select(*name, F.explode(F.array(*structs)).alias("r")).select(*name, "r.*")
 
 
-def precision_recall_at(cands: DataFrame, gold: DataFrame, ks: Sequence[int] = KS) -> DataFrame:
-    """Precision ``TP / (mentions * k)`` and recall ``TP / gold items`` at each cut-off."""
-    ranks = gold_ranks(cands, gold)
+def precision_recall_at(
+    cands: DataFrame, gold: DataFrame, ks: Sequence[int] = KS, ranks: DataFrame | None = None
+) -> DataFrame:
+    """Precision ``TP / (mentions * k)`` and recall ``TP / gold items`` at each cut-off.
+
+    ``ranks`` are the :func:`gold_ranks`, where they are known already.
+    """
+    ranks = gold_ranks(cands, gold) if ranks is None else ranks
     n_mentions = gold.agg(F.count_distinct("mention_id").alias("n"))
     one = ranks.agg(
         F.count(F.lit(1)).alias("n_gold"), *[F.count_if(F.col("rank") <= k).alias(f"tp_{k}") for k in ks]
@@ -63,12 +79,15 @@ def precision_recall_at(cands: DataFrame, gold: DataFrame, ks: Sequence[int] = K
     )
 
 
-def recall_any_all_at(cands: DataFrame, gold: DataFrame, ks: Sequence[int] = KS, by: DataFrame | None = None) -> DataFrame:
+def recall_any_all_at(
+    cands: DataFrame, gold: DataFrame, ks: Sequence[int] = KS, by: DataFrame | None = None, ranks: DataFrame | None = None
+) -> DataFrame:
     """Share of mentions with any / all gold items among the first ``k``.
 
-    ``by(mention_id, slice)`` adds one group per slice next to the overall one (null).
+    ``by(mention_id, slice)`` adds one group per slice next to the overall one (null); ``ranks`` are the
+    :func:`gold_ranks`, where they are known already.
     """
-    per = gold_ranks(cands, gold).groupBy("mention_id").agg(
+    per = (gold_ranks(cands, gold) if ranks is None else ranks).groupBy("mention_id").agg(
         *[F.coalesce(F.bool_or(F.col("rank") <= k), F.lit(False)).alias(f"any_{k}") for k in ks],
         *[F.bool_and(F.coalesce(F.col("rank") <= k, F.lit(False))).alias(f"all_{k}") for k in ks],
     )

@@ -136,6 +136,10 @@ def evaluate_placement(ranked: DataFrame, gold: DataFrame, settings: Settings |
     edge = F.struct("parent_idx", "child_idx").alias("cand_id")
     cands = cut_lineage(ranked.select("mention_id", "rank", edge))
     wanted = gold.select("mention_id", edge)
-    rates = evaluate.precision_recall_at(cands, wanted, settings.ks)
-    per_mention = evaluate.recall_any_all_at(cands, wanted, settings.ks).drop("n_mentions")
+    # mentions of one text bring all their edges in a few partitions: they are dealt out by their number
+    rows = cands.count() + wanted.count()
+    tasks = max(cands.sparkSession.sparkContext.defaultParallelism, -(-rows // evaluate.TASK_ROWS))
+    ranks = cut_lineage(evaluate.gold_ranks(cands, wanted, tasks).select("mention_id", "rank"))
+    rates = evaluate.precision_recall_at(cands, wanted, settings.ks, ranks)
+    per_mention = evaluate.recall_any_all_at(cands, wanted, settings.ks, ranks=ranks).drop("n_mentions")
     return rates.join(per_mention, "k")
