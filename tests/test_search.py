@@ -217,3 +217,59 @@ def test_hooks(spark):
         spark.createDataFrame([("[EX.](<r> <a>)",), ("[EX.](<r> <q>)",)], "id string"),
         spark.createDataFrame([("a", [1.0, 3.0]), ("r", [3.0, 5.0])], "id string, vector array<double>"), 2)
     assert {r.id: r.vector for r in z.collect()} == {"[EX.](<r> <a>)": [2.0, 4.0], "[EX.](<r> <q>)": [3.0, 5.0]}
+
+
+def test_fields_share_their_terms(spark):
+    # one row a query and not one a field; a title repeats a word of its sentence
+    fields = spark.createDataFrame(
+        [(1, "title", "red fox"), (1, "sentence", "red red fox runs"), (2, "title", "blue"), (2, "sentence", "red dog"),
+         (3, "title", "dog"), (3, "sentence", "blue fox"), (4, "note", "red fox")], "id long, field string, text string")
+    queries = spark.createDataFrame([("x", "red fox"), ("y", "dog dog unknown"), ("z", "unknown")], "q string, text string")
+    weights = {"title": 1.0, "sentence": 0.5, "note": 0.0}
+    sizes = []
+    real = R.sparse_top_k
+
+    def spy(terms, postings, k, *rest, **kw):
+        sizes.append(terms.count())
+        return real(terms, postings, k, *rest, **kw)
+
+    R.sparse_top_k = spy
+    try:
+        rows = R.multi_field_search(queries, fields, weights, 3).collect()
+    finally:
+        R.sparse_top_k = real
+    assert sizes == [5]
+    texts = {(r.id, r.field): r.text.split() for r in fields.collect()}
+    want = {}
+    for q, words in (("x", ["red", "fox"]), ("y", ["dog", "dog"])):
+        for (i, field), text in texts.items():
+            of = [t for (_, f), t in texts.items() if f == field]
+            mean = sum(map(len, of)) / len(of)
+            for w in words:
+                tf, df = text.count(w), sum(w in t for t in of)
+                if tf and weights[field] > 0:
+                    idf = np.log(1 + (len(of) - df + 0.5) / (df + 0.5))
+                    part = weights[field] * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(text) / mean))
+                    want[q, i] = want.get((q, i), 0.0) + part
+    assert {(r.q, r.id): r.score for r in rows} == pytest.approx(want, abs=1e-8)
+
+
+def test_terms_are_packed(spark, monkeypatch):
+    monkeypatch.setattr(R, "PACK_TERMS", 4)
+    rnd = random.Random(5)
+    postings = sorted({(f"t{rnd.randrange(60)}", i) for i in range(150) for _ in range(9)})
+    postings = [(t, None if i == 0 else f"d{i:03d}", 1.0 + i / 1000) for t, i in postings]
+    terms = [(q, f"t{t}", 1.0 + t / 100) for q in range(40) for t in rnd.sample(range(90), 20)]
+    df = R.sparse_top_k(
+        spark.createDataFrame(terms, "q long, token string, w double"),
+        spark.createDataFrame(postings, "token string, id string, pw double"), 150)
+    got = {(r.q, r.id): r.score for r in df.collect()}
+    want, by_token = {}, {}
+    for t, i, w in postings:
+        by_token.setdefault(t, []).append((i, w))
+    for q, t, w in terms:
+        for i, pw in by_token.get(t, []):
+            want[q, i] = want.get((q, i), 0.0) + w * pw
+    assert got == pytest.approx(want, abs=1e-8)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "tokens" in plan and "ws" in plan
