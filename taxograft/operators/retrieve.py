@@ -72,20 +72,48 @@ def concept_count(concepts: DataFrame) -> DataFrame:
     return concepts.agg(F.count_distinct("id").alias("n"))
 
 
+def _listed(df: DataFrame, key: str, value: str, side: str) -> DataFrame:
+    """``(key, <side>_tokens, <side>_values)``: the tokens of a text with a value each, sorted; one row a text."""
+    pairs = F.struct(F.xxhash64("token").alias("t"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))
+    listed = df.groupBy(key).agg(F.sort_array(F.collect_list(pairs)).alias("_l"))
+    return listed.select(key, F.col("_l.t").alias(f"{side}_tokens"), F.col("_l.v").alias(f"{side}_values"))
+
+
+def _overlap(a: str, b: str) -> Column:
+    """Sum of the products of the values of equal tokens of two sorted lists, null where a list is."""
+
+    def marked(side: str, no: int):
+        return F.zip_with(
+            f"{side}_tokens", f"{side}_values", lambda t, v: F.struct(t.alias("t"), F.lit(no).alias("s"), v.alias("v")))
+
+    # two sorted runs are merged; a token of the second list meets what the first has just had of it
+    merged = F.sort_array(F.concat(marked(a, 0), marked(b, 1)))
+    start = F.struct(F.lit(None).cast("long").alias("t"), F.lit(0.0).alias("v"), F.lit(0.0).alias("sum"))
+
+    def step(acc, x):
+        held = F.when(acc["t"] == x["t"], acc["v"]).otherwise(0.0)
+        first = x["s"] == 0
+        return F.struct(
+            x["t"].alias("t"), F.when(first, held + x["v"]).otherwise(held).alias("v"),
+            F.when(first, acc["sum"]).otherwise(acc["sum"] + held * x["v"]).alias("sum"))
+
+    return F.round(F.aggregate(merged, start, step, lambda acc: acc["sum"]), DIGITS)
+
+
 def score_pairs(pairs: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
     """Score of each distinct ``(q, id)`` pair, 0 where no term matches.
 
-    Only the tokens of the ids that occur are looked up.
+    The tokens of a text are one row, so a pair takes its two lists along and is never multiplied by tokens.
     """
     wanted = pairs.select("q", "id").distinct()
-    hits = (
-        balanced_join(wanted, postings.select("token", "id", "pw"), "id")
-        .join(terms, ["q", "token"])
-        .groupBy("q", "id").agg(F.sum(F.col("w") * F.col("pw")).alias("score"))
-    )
-    return wanted.join(hits, ["q", "id"], "left").select(
-        "q", "id", F.round(F.coalesce("score", F.lit(0.0)), DIGITS).alias("score")
-    )
+    both = wanted.join(_listed(terms, "q", "w", "a"), "q", "left").join(_listed(postings, "id", "pw", "b"), "id", "left")
+    return both.select("q", "id", F.coalesce(_overlap("a", "b"), F.lit(0.0)).alias("score"))
+
+
+def _idf_postings(postings: DataFrame, df: DataFrame, n_concepts: DataFrame) -> DataFrame:
+    """Postings ``(token, id, pw)`` with ``pw = log10(D / df)``, for ``df(token, df)``."""
+    idf = F.log10(n_concepts.scalar() / F.col("df"))
+    return balanced_join(postings, df, "token", fanout=False).select("token", "id", idf.alias("pw"))
 
 
 #: Postings of one shard, those that a task holds at least and at most, documents of one block, queries that meet one copy
@@ -341,15 +369,14 @@ def idf_select(queries: DataFrame, concepts: DataFrame, k: int, tokenizer=None,
 
 def concept_idf_similarity(pairs: DataFrame, concepts: DataFrame, tokenizer=None) -> DataFrame:
     """Summed idf over the tokens of ``a`` (with repeats) that ``b`` has, per pair ``(a, b)``."""
-    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    postings = cut_lineage(build_postings(concepts, tokenizer))
-    used = concepts.join(named, "id", "left_semi")
-    terms = idf_terms(
-        query_terms(used.select(F.col("id").alias("q"), "text"), tokenizer), postings, concept_count(concepts)
-    )
-    scored = score_pairs(
-        pairs.select(F.col("a").alias("q"), F.col("b").alias("id")), cut_lineage(terms), postings.withColumn("pw", F.lit(1.0))
-    )
+    # texts meet in the task of their id, where their tokens are counted: no single token is shuffled
+    texts = concepts.select("id", "text").repartition("id")
+    df = cut_lineage(document_frequency(build_postings(texts, tokenizer)))
+    told = texts.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
+    weighted = _idf_postings(build_postings(told, tokenizer), df, concept_count(concepts))
+    asked = texts.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+    terms = query_terms(asked.select(F.col("id").alias("q"), "text"), tokenizer).withColumnRenamed("qtf", "w")
+    scored = score_pairs(pairs.select(F.col("a").alias("q"), F.col("b").alias("id")), terms, weighted)
     return scored.select(F.col("q").alias("a"), F.col("id").alias("b"), F.col("score").alias("sim"))
 
 
@@ -798,15 +825,15 @@ def edge_scores(cands: DataFrame, node_scores: DataFrame) -> DataFrame:
 def edge_idf_score(cands: DataFrame, mentions: DataFrame, concepts: DataFrame, tokenizer=None) -> DataFrame:
     """Mean idf score of the parent and the child of each candidate edge."""
     postings = cut_lineage(build_postings(concepts, tokenizer))
-    terms = cut_lineage(idf_terms(
-        query_terms(mentions.select(F.col("mention_id").alias("q"), F.col("mention").alias("text")), tokenizer),
-        postings, concept_count(concepts),
-    ))
-    nodes = cands.select(F.col("mention_id").alias("q"), F.col("parent_idx").alias("id")).unionByName(
-        cands.select(F.col("mention_id").alias("q"), F.col("child_idx").alias("id"))
-    )
-    sims = score_pairs(nodes, terms, postings.withColumn("pw", F.lit(1.0)))
-    return edge_scores(cands, sims.select(F.col("q").alias("mention_id"), "id", F.col("score").alias("sim")))
+    weighted = _idf_postings(postings, document_frequency(postings), concept_count(concepts))
+    nodes = cut_lineage(_listed(weighted, "id", "pw", "_node"))
+    terms = query_terms(mentions.select(F.col("mention_id").alias("q"), F.col("mention").alias("text")), tokenizer)
+    # an edge takes the terms of its mention along and looks up both nodes: edges are shuffled once a look-up
+    scored = cands.join(_listed(terms, "q", "qtf", "_q").withColumnRenamed("q", "mention_id"), "mention_id", "left")
+    for end, score in (("parent_idx", "_p"), ("child_idx", "_c")):
+        scored = scored.join(nodes.withColumnRenamed("id", end), end, "left")
+        scored = scored.withColumn(score, F.coalesce(_overlap("_q", "_node"), F.lit(0.0))).drop("_node_tokens", "_node_values")
+    return scored.select(*cands.columns, F.round((F.col("_p") + F.col("_c")) / 2, DIGITS).alias("score"))
 
 
 # -------------------------------------------------------------------- hooks
