@@ -75,7 +75,8 @@ def concept_count(concepts: DataFrame) -> DataFrame:
 def _listed(df: DataFrame, key: str, value: str, side: str) -> DataFrame:
     """``(key, <side>_tokens, <side>_values)``: the tokens of a text with a value each, sorted; one row a text."""
     pairs = F.struct(F.xxhash64("token").alias("t"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))
-    listed = df.groupBy(key).agg(F.sort_array(F.collect_list(pairs)).alias("_l"))
+    # a null key meets nothing, so its rows are not gathered
+    listed = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(pairs)).alias("_l"))
     return listed.select(key, F.col("_l.t").alias(f"{side}_tokens"), F.col("_l.v").alias(f"{side}_values"))
 
 
@@ -833,7 +834,7 @@ def edge_idf_score(cands: DataFrame, mentions: DataFrame, concepts: DataFrame, t
     for end, score in (("parent_idx", "_p"), ("child_idx", "_c")):
         scored = scored.join(nodes.withColumnRenamed("id", end), end, "left")
         scored = scored.withColumn(score, F.coalesce(_overlap("_q", "_node"), F.lit(0.0))).drop("_node_tokens", "_node_values")
-    return scored.select(*cands.columns, F.round((F.col("_p") + F.col("_c")) / 2, DIGITS).alias("score"))
+    return scored.select(*[c for c in cands.columns if c != "score"], F.round((F.col("_p") + F.col("_c")) / 2, DIGITS).alias("score"))
 
 
 # -------------------------------------------------------------------- hooks

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from taxograft.operators import retrieve as R
 
@@ -32,6 +33,7 @@ def test_repeated_ids_and_edges(spark):
     mentions = spark.createDataFrame([(1, "red red dog"), (2, None)], "mention_id long, mention string")
     df = R.edge_idf_score(cands, mentions, concepts)
     assert df.columns == [*cands.columns, "score"]
+    assert R.edge_idf_score(cands.withColumn("score", F.lit(9.0)), mentions, concepts).columns == df.columns
     full = 2 * idf["red"] + idf["dog"]
     got = sorted(((r.extra, r.mention_id or 0, r.score) for r in df.collect()))
     want = [(1, 0, 0.0), (7, 1, (full + idf["dog"]) / 2), (7, 2, 0.0), (8, 1, (full + idf["dog"]) / 2), (9, 1, idf["dog"] / 2)]
